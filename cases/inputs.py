@@ -154,9 +154,9 @@ def _boxes(key, select, where):
         FROM ({select}) q CROSS JOIN (VALUES {_SIDES}) s(seq, a1, b1, a2, b2) {where}"""
 
 
-_LOT = """SELECT c * 441 + i * 21 + j AS lot_id, 20000{f} * c - 1200 + 120 * i AS cx,
+_LOT = """SELECT c, c * 441 + i * 21 + j AS lot_id, 20000{f} * c - 1200 + 120 * i AS cx,
                  20000{f} * c - 1200 + 120 * j AS cy, 20{f} AS h FROM nodes WHERE (i * 21 + j) % 3 = 0"""
-_BG = """SELECT {bg} AS bg, 20000{f} * c - 900 + 600 * i AS cx, 20000{f} * c - 900 + 600 * j AS cy, 300{f} AS h
+_BG = """SELECT c, {bg} AS bg, 20000{f} * c - 900 + 600 * i AS cx, 20000{f} * c - 900 + 600 * j AS cy, 300{f} AS h
          FROM nodes WHERE i < 4 AND j < 4"""
 
 
@@ -178,7 +178,7 @@ def curbs(spark, sf_dir) -> DataFrame:
 
 LOTS = f"lots AS ({_LOT.format(f='::DOUBLE')})"
 BLOCK_GROUPS = "bgs AS (" + _BG.format(f="::DOUBLE", bg="'bg' || lpad(c::VARCHAR, 6, '0') || '_' || i || j") + ")"
-CURBS = "curbs AS (SELECT id AS curb_id, x1 + 4 AS x1, y1 + 4 AS y1, x2 + 4 AS x2, y2 + 4 AS y2 FROM grid)"
+CURBS = "curbs AS (SELECT c, id AS curb_id, x1 + 4 AS x1, y1 + 4 AS y1, x2 + 4 AS x2, y2 + 4 AS y2 FROM grid)"
 
 
 def rounded(df: DataFrame, digits: int = 3) -> DataFrame:

@@ -1,125 +1,138 @@
-"""Planar geometry as column arithmetic; everything stays inside whole-stage code generation."""
+"""Planar geometry as column arithmetic; everything stays inside whole-stage code generation.
+
+Arguments are column names, numbers or other SQL fragments; results are columns.
+"""
 from pyspark.sql import Column, functions as F
 
 LINE_TYPE = "array<struct<x:double,y:double,m:bigint>>"
 
 
-def _c(v):
-    return v if isinstance(v, Column) else F.col(v) if isinstance(v, str) else F.lit(v)
+def distance_sql(x1, y1, x2, y2) -> str:
+    dx, dy = f"(({x1}) - ({x2}))", f"(({y1}) - ({y2}))"
+    return f"sqrt({dx} * {dx} + {dy} * {dy})"
+
+
+def between_sql(a, b, share) -> str:
+    return f"(({a}) + ({share}) * (({b}) - ({a})))"
+
+
+def share_along_sql(px, py, x1, y1, x2, y2) -> str:
+    dx, dy = f"(({x2}) - ({x1}))", f"(({y2}) - ({y1}))"
+    return (f"coalesce(greatest(0D, least(1D, ((({px}) - ({x1})) * {dx} + (({py}) - ({y1})) * {dy})"
+            f" / nullif({dx} * {dx} + {dy} * {dy}, 0D))), 0D)")
+
+
+def segment_distance_sql(px, py, x1, y1, x2, y2) -> str:
+    s = share_along_sql(px, py, x1, y1, x2, y2)
+    return distance_sql(px, py, between_sql(x1, x2, s), between_sql(y1, y2, s))
 
 
 def point_m(x, y, m) -> Column:
-    return F.struct(_c(x).alias("x"), _c(y).alias("y"), _c(m).alias("m"))
+    return F.expr(f"named_struct('x', {x}, 'y', {y}, 'm', {m})")
 
 
 def distance(x1, y1, x2, y2) -> Column:
-    dx, dy = _c(x1) - _c(x2), _c(y1) - _c(y2)
-    return F.sqrt(dx * dx + dy * dy)
+    return F.expr(distance_sql(x1, y1, x2, y2))
 
 
 def share_along(px, py, x1, y1, x2, y2) -> Column:
     """Position of the closest point of a segment, 0 at its start and 1 at its end."""
-    px, py, x1, y1, x2, y2 = map(_c, (px, py, x1, y1, x2, y2))
-    dx, dy = x2 - x1, y2 - y1
-    raw = ((px - x1) * dx + (py - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+    return F.expr(share_along_sql(px, py, x1, y1, x2, y2))
 
 
 def between(a, b, share) -> Column:
-    return _c(a) + _c(share) * (_c(b) - _c(a))
+    return F.expr(between_sql(a, b, share))
 
 
 def segment_distance(px, py, x1, y1, x2, y2) -> Column:
-    s = share_along(px, py, x1, y1, x2, y2)
-    return distance(px, py, between(x1, x2, s), between(y1, y2, s))
+    return F.expr(segment_distance_sql(px, py, x1, y1, x2, y2))
 
 
 def chord_length(x1, y1, x2, y2, cx, cy, radius) -> Column:
     """Length of the part of a segment inside a disc (exact circle)."""
-    x1, y1, x2, y2, cx, cy, radius = map(_c, (x1, y1, x2, y2, cx, cy, radius))
-    dx, dy = x2 - x1, y2 - y1
-    fx, fy = x1 - cx, y1 - cy
-    a = dx * dx + dy * dy
-    b = fx * dx + fy * dy
-    disc = b * b - a * (fx * fx + fy * fy - radius * radius)
-    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    safe_a = F.nullif(a, F.lit(0.0))
-    enter = F.greatest(F.lit(0.0), (-b - root) / safe_a)
-    leave = F.least(F.lit(1.0), (-b + root) / safe_a)
-    inside = F.greatest(F.lit(0.0), leave - enter) * F.sqrt(a)
-    return F.when((a > 0) & (disc > 0), inside).otherwise(F.lit(0.0))
+    a = f"(pow({x2} - {x1}, 2) + pow({y2} - {y1}, 2))"
+    b = f"(({x1} - {cx}) * ({x2} - {x1}) + ({y1} - {cy}) * ({y2} - {y1}))"
+    disc = f"({b} * {b} - {a} * (pow({x1} - {cx}, 2) + pow({y1} - {cy}, 2) - pow({radius}, 2)))"
+    root, safe_a = f"sqrt(greatest({disc}, 0D))", f"nullif({a}, 0D)"
+    inside = f"least(1D, (-{b} + {root}) / {safe_a}) - greatest(0D, (-{b} - {root}) / {safe_a})"
+    return F.expr(f"CASE WHEN {a} > 0 AND {disc} > 0 THEN greatest(0D, {inside}) * sqrt({a}) ELSE 0D END")
 
 
 def crosses_ray(px, py, x1, y1, x2, y2) -> Column:
     """Does the ray from a point towards growing x cross the segment? An odd count means inside."""
-    px, py, x1, y1, x2, y2 = map(_c, (px, py, x1, y1, x2, y2))
-    at = x1 + (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) * (x2 - x1)
-    return ((y1 > py) != (y2 > py)) & (px < at)
+    return F.expr(f"({y1} > {py}) <> ({y2} > {py}) AND "
+                  f"{px} < {x1} + ({py} - {y1}) / nullif({y2} - {y1}, 0D) * ({x2} - {x1})")
 
 
 # --- lines held as arrays -------------------------------------------------------------------------
 
 def n_points(line) -> Column:
-    return F.coalesce(F.when(_c(line).isNotNull(), F.size(_c(line))), F.lit(0))
+    return F.expr(f"coalesce(if({line} is null, 0, size({line})), 0)")
 
 
 def start_point(line) -> Column:
-    return F.try_element_at(_c(line), F.lit(1))
+    return F.expr(f"try_element_at({line}, 1)")
 
 
 def end_point(line) -> Column:
-    return F.try_element_at(_c(line), F.lit(-1))
+    return F.expr(f"try_element_at({line}, -1)")
 
 
-def _steps(line):
-    line = _c(line)
-    return F.zip_with(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))),
-                      F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))),
-                      lambda p, q: distance(p["x"], p["y"], q["x"], q["y"]))
+def step_lengths_sql(line) -> str:
+    n = f"greatest(size({line}) - 1, 0)"
+    return f"zip_with(slice({line}, 1, {n}), slice({line}, 2, {n}), (p, q) -> {distance_sql('p.x', 'p.y', 'q.x', 'q.y')})"
+
+
+def line_length_sql(line) -> str:
+    return f"aggregate({step_lengths_sql(line)}, 0D, (acc, d) -> acc + d)"
 
 
 def line_length(line) -> Column:
-    return F.aggregate(_steps(line), F.lit(0.0), lambda acc, d: acc + d)
+    return F.expr(line_length_sql(line))
 
 
 def remove_point(line, position: int) -> Column:
     """Drop the point at a 1-based position."""
-    line = _c(line)
-    return F.concat(F.slice(line, 1, position - 1) if position > 1 else F.slice(line, 1, 0),
-                    F.slice(line, position + 1, F.size(line)))
+    return F.expr(f"concat(slice({line}, 1, {position - 1}), slice({line}, {position + 1}, size({line})))")
 
 
 def reverse_if(line, condition) -> Column:
-    return F.when(condition, F.reverse(_c(line))).otherwise(_c(line))
+    """Lines are drawn one way; turn those driven the other way."""
+    return F.expr(f"if({condition}, reverse({line}), {line})")
+
+
+def merge_lines(lines) -> Column:
+    """One line of an array of lines that touch end to start."""
+    return F.expr(f"concat(slice({lines}[0], 1, 1), flatten(transform({lines}, l -> slice(l, 2, size(l)))))")
 
 
 # --- text ------------------------------------------------------------------------------------------
 
 def line_to_wkt(line) -> Column:
-    text = F.transform(_c(line), lambda p: F.concat_ws(
-        " ", p["x"].cast("string"), p["y"].cast("string"), p["m"].cast("string")))
-    return F.concat(F.lit("LINESTRING M ("), F.concat_ws(", ", text), F.lit(")"))
+    return F.expr(f"""concat('LINESTRING M (', concat_ws(', ', transform({line}, p ->
+        concat_ws(' ', cast(p.x AS string), cast(p.y AS string), cast(p.m AS string)))), ')')""")
 
 
 def point_to_wkt(x, y) -> Column:
-    return F.concat(F.lit("POINT ("), _c(x).cast("string"), F.lit(" "), _c(y).cast("string"), F.lit(")"))
+    return F.expr(f"concat('POINT (', cast({x} AS string), ' ', cast({y} AS string), ')')")
+
+
+_BODY = r"regexp_extract({text}, r'\(([^)]*)\)', 1)"
 
 
 def line_from_wkt(text) -> Column:
-    body = F.regexp_extract(_c(text), r"\(([^)]*)\)", 1)
-    parts = F.transform(F.split(body, r"\s*,\s*"), lambda s: F.split(s, " "))
-    return F.transform(parts, lambda s: F.struct(
-        s[0].try_cast("double").alias("x"), s[1].try_cast("double").alias("y"), s[2].try_cast("bigint").alias("m")))
+    body = _BODY.format(text=text)
+    return F.expr(f"""transform(transform(split({body}, r'\\s*,\\s*'), s -> split(s, ' ')), s -> named_struct(
+        'x', try_cast(s[0] AS double), 'y', try_cast(s[1] AS double), 'm', try_cast(s[2] AS bigint)))""")
 
 
 def point_from_wkt(text) -> Column:
-    body = F.split(F.regexp_extract(_c(text), r"\(([^)]*)\)", 1), " ")
-    return F.struct(F.try_element_at(body, F.lit(1)).try_cast("double").alias("x"),
-                    F.try_element_at(body, F.lit(2)).try_cast("double").alias("y"))
+    body = f"split({_BODY.format(text=text)}, ' ')"
+    return F.expr(f"named_struct('x', try_cast(get({body}, 0) AS double), 'y', try_cast(get({body}, 1) AS double))")
 
 
 def point_from_lat_lon_text(text) -> Column:
     """``(37.78, -122.41)`` -> lon as x, lat as y."""
-    pattern = r"\(([-0-9.]+), ([-0-9.]+)\)"
-    return F.struct(F.regexp_extract(_c(text), pattern, 2).try_cast("double").alias("x"),
-                    F.regexp_extract(_c(text), pattern, 1).try_cast("double").alias("y"))
+    def part(n):
+        return f"try_cast(regexp_extract({text}, r'\\(([-0-9.]+), ([-0-9.]+)\\)', {n}) AS double)"
+    return F.expr(f"named_struct('x', {part(2)}, 'y', {part(1)})")

@@ -23,28 +23,22 @@ def zone_constants(z: LambertZone) -> dict:
     return {"e": e, "n": n, "af": af, "rho0": af * t(p0) ** n, "lon0": z.lon0, "x0": z.x0, "y0": z.y0}
 
 
-def project(lon: Column, lat: Column, zone: LambertZone | str) -> tuple[Column, Column]:
-    """Columns x, y in metres for columns of degrees."""
-    k = zone_constants(REGIONS[zone] if isinstance(zone, str) else zone)
-    phi = F.radians(lat)
-    s = k["e"] * F.sin(phi)
-    t = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(k["e"] / 2))
-    rho = k["af"] * F.pow(t, F.lit(k["n"]))
-    theta = k["n"] * F.radians(lon - k["lon0"])
-    return k["x0"] + rho * F.sin(theta), k["y0"] + k["rho0"] - rho * F.cos(theta)
+def project_sql(lon: str, lat: str, zone: LambertZone | str) -> tuple[str, str]:
+    """SQL for x, y in metres from fragments in degrees."""
+    k = {n: f"{v!r}D" for n, v in zone_constants(REGIONS[zone] if isinstance(zone, str) else zone).items()}
+    s = f"({k['e']} * sin(radians({lat})))"
+    t = f"(tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {s}) / (1 + {s}), {k['e']} / 2))"
+    rho = f"({k['af']} * pow({t}, {k['n']}))"
+    theta = f"({k['n']} * radians({lon} - ({k['lon0']})))"
+    return f"({k['x0']} + {rho} * sin({theta}))", f"({k['y0']} + {k['rho0']} - {rho} * cos({theta}))"
 
 
 def project_columns(df: DataFrame, zone, lon="longitude", lat="latitude", x="x", y="y") -> DataFrame:
-    px, py = project(F.col(lon), F.col(lat), zone)
-    return df.withColumns({x: px, y: py})
+    px, py = project_sql(lon, lat, zone)
+    return df.withColumns({x: F.expr(px), y: F.expr(py)})
 
 
-def project_line(line, zone) -> Column:
+def project_line(line: str, zone) -> Column:
     """Re-project an array line whose x, y are lon, lat."""
-    line = F.col(line) if isinstance(line, str) else line
-
-    def move(p):
-        x, y = project(p["x"], p["y"], zone)
-        return F.struct(x.alias("x"), y.alias("y"), p["m"].alias("m"))
-
-    return F.transform(line, move)
+    x, y = project_sql("p.x", "p.y", zone)
+    return F.expr(f"transform({line}, p -> named_struct('x', {x}, 'y', {y}, 'm', p.m))")

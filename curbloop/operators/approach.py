@@ -1,5 +1,5 @@
 """Trip -> final approach: parking-lot zone, rolling speeds, cut points, slices."""
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import geo
 from curbloop.operators.layout import attach, with_lags
@@ -17,7 +17,7 @@ def lot_zone(points: DataFrame, streets: DataFrame, lots: DataFrame | None = Non
     is no zone and ``in_lot`` is null.
     """
     box = extent(points)
-    clip = streets.filter(box_holds_line(box, F.col("geom_way")))
+    clip = streets.filter(box_holds_line(box, "geom_way"))
     segments = (street_segments(clip.select("id", "clazz", "geom_way"))
                 .select((F.col("clazz") == params.service_class).alias("service"), "x1", "y1", "x2", "y2"))
     bare = points.select(*POINT, "x", "y")
@@ -68,24 +68,22 @@ def approach_points(points: DataFrame, trips: DataFrame, params: Params = Params
         lagged = lagged.withColumn("distdelta", F.when(
             (F.col("timedelta") == 1) & (F.col("timedelta2") == 2), F.col("distdelta2")).otherwise(F.col("distdelta")))
     look_back = params.roll_secs - 1
-    own = F.expr(f"t div {params.chunk_secs}")
-    late = F.pmod("t", F.lit(params.chunk_secs)) >= params.chunk_secs - look_back
-    hours = (lagged.select(
+    own = f"t div {params.chunk_secs}"
+    hours = (lagged.selectExpr(
         "trip_id", "ptid", "t", "t0", "disttoend", "in_lot", "timedelta", "distdelta",
-        F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("hour"))
+        f"explode(if(t % {params.chunk_secs} >= {params.chunk_secs - look_back}, array({own}, {own} + 1), array({own}))) AS hour")
         .repartition("trip_id", "hour"))
-    merged = hours.groupBy("trip_id", "hour", "t").agg(
-        F.max("ptid").alias("ptid"), F.max("disttoend").alias("disttoend"), F.min("in_lot").alias("in_lot"),
-        F.nullif(F.sum("timedelta"), F.lit(0)).alias("timedelta"), F.sum("distdelta").alias("distdelta"),
-        F.min("t0").alias("t0"))
-    w = W.partitionBy("trip_id", "hour").orderBy("t").rangeBetween(-look_back, 0)
-    rolled = F.sum("distdelta").over(w) / 1000 / F.nullif(F.sum("timedelta").over(w), F.lit(0)) * 3600
+    merged = hours.groupBy("trip_id", "hour", "t").agg(*map(F.expr, (
+        "max(ptid) AS ptid", "max(disttoend) AS disttoend", "min(in_lot) AS in_lot",
+        "nullif(sum(timedelta), 0) AS timedelta", "sum(distdelta) AS distdelta", "min(t0) AS t0")))
+    w = f"(PARTITION BY trip_id, hour ORDER BY t RANGE BETWEEN {look_back} PRECEDING AND CURRENT ROW)"
     # gaps add up to the time since the first point
-    early = F.col("timedelta").isNotNull() & (F.col("t") - F.col("t0") < params.roll_secs)
-    return (merged.withColumns({
-        "rollspeed": F.when(~early, rolled),
-        "speed": F.col("distdelta") / F.col("timedelta") / 1000 * 3600})
-        .filter(F.col("hour") == own).drop("t0"))
+    return (merged.selectExpr(
+        "trip_id", "hour", "t", "ptid", "disttoend", "in_lot", "timedelta", "distdelta",
+        f"if(timedelta IS NOT NULL AND t - t0 < {params.roll_secs}, NULL,"
+        f" sum(distdelta) OVER {w} / 1000 / nullif(sum(timedelta) OVER {w}, 0) * 3600) AS rollspeed",
+        "distdelta / timedelta / 1000 * 3600 AS speed")
+        .filter(f"hour = {own}"))
 
 
 def approach_metrics(steps: DataFrame, params: Params = Params()) -> DataFrame:
@@ -94,62 +92,45 @@ def approach_metrics(steps: DataFrame, params: Params = Params()) -> DataFrame:
     Hours are summarised first; the summaries of a trip are few, and windows run over those only.
     """
     hour = ["trip_id", "hour"]
-    trip = W.partitionBy("trip_id")
-    ptid = F.col("ptid")
-
-    def before(radius):
-        return F.min(F.when(F.col("disttoend") <= radius, ptid))
-
-    def cut(name):
-        return F.greatest(F.lit(1).cast("bigint"), F.min(name).over(trip) - 1)
-
+    r = params.buffer_radius
     ids = (steps.groupBy(*hour)
-           .agg(before(params.buffer_radius).alias("in1"), before(2 * params.buffer_radius).alias("in2"),
-                F.max(F.when(F.col("rollspeed") > params.walk_speed, ptid)).alias("walk"))
-           .select(*hour, cut("in1").alias("id_first"), cut("in2").alias("id_firstx2"),
-                   F.coalesce(F.max("walk").over(trip), F.lit(1).cast("bigint")).alias("id_walk")))
-    driven = ptid <= F.col("id_walk")
-    outside = driven & ~F.coalesce("in_lot", F.lit(False))
+           .agg(F.expr(f"min(if(disttoend <= {r}, ptid, NULL)) AS in1"),
+                F.expr(f"min(if(disttoend <= 2 * {r}, ptid, NULL)) AS in2"),
+                F.expr(f"max(if(rollspeed > {params.walk_speed}, ptid, NULL)) AS walk"))
+           .selectExpr(*hour, "greatest(1, min(in1) OVER (PARTITION BY trip_id) - 1) AS id_first",
+                       "greatest(1, min(in2) OVER (PARTITION BY trip_id) - 1) AS id_firstx2",
+                       "coalesce(max(walk) OVER (PARTITION BY trip_id), 1) AS id_walk"))
     rows = (steps.join(ids, hour)
-            .withColumn("last_out", F.max(F.when(outside, ptid)).over(W.partitionBy(*hour))))
-    run = driven & (ptid > F.coalesce("last_out", F.lit(0)))
-    buf = (ptid > F.col("id_first")) & driven
-    donut = (ptid > F.col("id_firstx2")) & (ptid <= F.col("id_first") + 1)
-    walk = ptid > F.col("id_walk")
+            .withColumns({"buf": F.expr("ptid > id_first AND ptid <= id_walk"),
+                          "donut": F.expr("ptid > id_firstx2 AND ptid <= id_first + 1"),
+                          "walk": F.expr("ptid > id_walk"),
+                          "outside": F.expr("ptid <= id_walk AND NOT coalesce(in_lot, false)")})
+            .withColumn("run", F.expr("ptid <= id_walk AND ptid > coalesce("
+                                      "max(if(outside, ptid, NULL)) OVER (PARTITION BY trip_id, hour), 0)")))
 
     def stats(prefix, mask, value):
-        v = F.when(mask, F.col(value))
-        return [F.sum(v).alias(prefix + "_sum"), F.count(v).alias(prefix + "_n"), F.max(v).alias(prefix + "_max")]
-
-    everything = F.lit(True)
-    per_hour = rows.groupBy(*hour, "id_first", "id_firstx2", "id_walk").agg(
-        F.count(F.lit(1)).alias("npings"), F.count_if(buf).alias("npingsbuf"), F.count_if(donut).alias("npingsdonut"),
-        F.count_if(walk).alias("npingswalk"),
-        F.bool_or(outside).alias("broken"), F.min(F.when(run, ptid)).alias("run_start"), F.count_if(run).alias("run_n"),
-        *stats("speed_buf", buf, "speed"), *stats("speed_donut", donut, "speed"), *stats("speed_walk", walk, "speed"),
-        *stats("gap_all", everything, "timedelta"), *stats("gap_buf", buf, "timedelta"),
-        *stats("gap_walk", walk, "timedelta"))
+        v = f"if({mask}, {value}, NULL)"
+        return [f"sum({v}) AS {prefix}_sum", f"count({v}) AS {prefix}_n", f"max({v}) AS {prefix}_max"]
+
+    per_hour = rows.groupBy(*hour, "id_first", "id_firstx2", "id_walk").agg(*map(F.expr, [
+        "count(1) AS npings", "count_if(buf) AS npingsbuf", "count_if(donut) AS npingsdonut", "count_if(walk) AS npingswalk",
+        "bool_or(outside) AS broken", "min(if(run, ptid, NULL)) AS run_start", "count_if(run) AS run_n",
+        *stats("speed_buf", "buf", "speed"), *stats("speed_donut", "donut", "speed"), *stats("speed_walk", "walk", "speed"),
+        *stats("gap_all", "true", "timedelta"), *stats("gap_buf", "buf", "timedelta"), *stats("gap_walk", "walk", "timedelta")]))
     # the run of in-lot points that ends at id_walk starts after the last hour broken by a point outside
-    tail = F.col("hour") >= F.coalesce(F.max(F.when(F.col("broken"), F.col("hour"))).over(trip), F.col("hour"))
-    per_hour = per_hour.withColumn("tail", tail)
-
-    def mean(prefix):
-        return F.sum(prefix + "_sum") / F.nullif(F.sum(prefix + "_n"), F.lit(0))
+    per_hour = per_hour.withColumn("tail", F.expr(
+        "hour >= coalesce(max(if(broken, hour, NULL)) OVER (PARTITION BY trip_id), hour)"))
 
-    def count(name):
-        return F.sum(name).alias(name)
+    def mean(prefix, name):
+        return f"sum({prefix}_sum) / nullif(sum({prefix}_n), 0) AS {name}"
 
-    parked = F.coalesce(F.sum(F.when(F.col("tail"), F.col("run_n"))), F.lit(0))
-    return per_hour.groupBy("trip_id", "id_first", "id_firstx2", "id_walk").agg(
-        count("npings"),
-        F.coalesce(F.min(F.when(F.col("tail"), F.col("run_start"))), F.col("id_walk")).alias("id_park"),
-        F.max("speed_buf_max").alias("maxspeed"), mean("speed_buf").alias("speed"),
-        mean("speed_donut").alias("donutspeed"), mean("speed_walk").alias("walkspeed"),
-        mean("gap_all").alias("pingtime_meanall"), F.max("gap_all_max").alias("pingtime_maxall"),
-        mean("gap_buf").alias("pingtime_meanbuf"), F.max("gap_buf_max").alias("pingtime_maxbuf"),
-        count("npingsbuf"), count("npingsdonut"), count("npingswalk"),
-        mean("gap_walk").alias("pingtime_meanwalk"), F.max("gap_walk_max").alias("pt_maxwalk"),
-        F.greatest(parked - 1, F.lit(0)).alias("npingspark"))
+    return per_hour.groupBy("trip_id", "id_first", "id_firstx2", "id_walk").agg(*map(F.expr, [
+        "sum(npings) AS npings", "coalesce(min(if(tail, run_start, NULL)), id_walk) AS id_park",
+        "max(speed_buf_max) AS maxspeed", mean("speed_buf", "speed"), mean("speed_donut", "donutspeed"),
+        mean("speed_walk", "walkspeed"), mean("gap_all", "pingtime_meanall"), "max(gap_all_max) AS pingtime_maxall",
+        mean("gap_buf", "pingtime_meanbuf"), "max(gap_buf_max) AS pingtime_maxbuf", "sum(npingsbuf) AS npingsbuf",
+        "sum(npingsdonut) AS npingsdonut", "sum(npingswalk) AS npingswalk", mean("gap_walk", "pingtime_meanwalk"),
+        "max(gap_walk_max) AS pt_maxwalk", "greatest(coalesce(sum(if(tail, run_n, NULL)), 0) - 1, 0) AS npingspark"]))
 
 
 def truncate_traces(points: DataFrame, trips: DataFrame, params: Params = Params()) -> DataFrame:
@@ -167,40 +148,30 @@ def slice_points(points: DataFrame, trips: DataFrame, metrics: DataFrame, params
         "disttoend": geo.distance("end_x", "end_y", "x", "y"),
         "distdelta": geo.distance("prev1.x", "prev1.y", "x", "y"),
         "timedelta": F.col("t") - F.col("prev1.t")}).drop("prev1", "end_x", "end_y", "n_points")
-    p = F.col("ptid")
     return rows.withColumns({
-        "in_lbuff": p.between(F.col("id_first"), F.col("id_park")),
-        "in_lotslice": p.between(F.col("id_park"), F.col("id_walk")),
-        "in_walk": p >= F.col("id_walk"), "in_all": p >= F.col("id_first")})
+        "in_lbuff": F.expr("ptid BETWEEN id_first AND id_park"), "in_lotslice": F.expr("ptid BETWEEN id_park AND id_walk"),
+        "in_walk": F.expr("ptid >= id_walk"), "in_all": F.expr("ptid >= id_first")})
 
 
 def slice_summary(sliced: DataFrame) -> DataFrame:
     """Ends, sizes, lengths and gaps of the slices, one row per trip; trips with an empty slice are left out."""
-    p = F.col("ptid")
-    at = F.struct("x", "y", "t")
-
-    def span(lo, hi, value):
-        mask = p > F.col(lo)
-        return F.when(mask & (p <= F.col(hi)) if hi else mask, F.col(value))
-
-    def total(lo, hi=None):
-        return F.coalesce(F.sum(span(lo, hi, "distdelta")), F.lit(0.0))
-
-    def here(name):
-        return F.max(F.when(p == F.col(name), at))
-
-    drive_gap = span("id_first", "id_park", "timedelta")
-    rows = sliced.groupBy("trip_id").agg(
-        F.count_if("in_lbuff").alias("n_lbuff"), F.count_if("in_lotslice").alias("n_lot"),
-        F.count_if("in_walk").alias("n_walk"), F.count_if("in_all").alias("n_all"),
-        here("id_first").alias("s"), here("id_park").alias("e"), here("id_walk").alias("k"),
-        total("id_first", "id_park").alias("gpsdist"), total("id_park", "id_walk").alias("parkdist"),
-        total("id_walk").alias("walkdist"), total("id_first").alias("alldist"),
-        F.max(drive_gap).alias("pingtime_max"), F.avg(drive_gap).alias("pingtime_mean"),
-        F.max(F.when(F.col("in_lbuff"), F.col("disttoend"))).alias("max_dist"))
-    return (rows.filter("n_lbuff > 0 and n_lot > 0 and n_walk > 0 and n_all > 0")
-            .select("trip_id", "n_lbuff", "n_lot", "n_walk", "n_all",
-                    F.col("s.x").alias("startpt_x"), F.col("s.y").alias("startpt_y"), F.col("s.t").alias("startpt_t"),
-                    F.col("e.x").alias("enterlot_x"), F.col("e.y").alias("enterlot_y"), F.col("e.t").alias("enterlot_t"),
-                    F.coalesce("k.x", "e.x").alias("park_x"), F.coalesce("k.y", "e.y").alias("park_y"),
-                    "gpsdist", "parkdist", "walkdist", "alldist", "pingtime_max", "pingtime_mean", "max_dist"))
+    def total(mask, name):
+        return f"coalesce(sum(if({mask}, distdelta, NULL)), 0D) AS {name}"
+
+    def here(cut, name):
+        return f"max(if(ptid = {cut}, named_struct('x', x, 'y', y, 't', t), NULL)) AS {name}"
+
+    drive_gap = "if(ptid > id_first AND ptid <= id_park, timedelta, NULL)"
+    rows = sliced.groupBy("trip_id").agg(*map(F.expr, [
+        "count_if(in_lbuff) AS n_lbuff", "count_if(in_lotslice) AS n_lot", "count_if(in_walk) AS n_walk",
+        "count_if(in_all) AS n_all", here("id_first", "s"), here("id_park", "e"), here("id_walk", "k"),
+        total("ptid > id_first AND ptid <= id_park", "gpsdist"), total("ptid > id_park AND ptid <= id_walk", "parkdist"),
+        total("ptid > id_walk", "walkdist"), total("ptid > id_first", "alldist"),
+        f"max({drive_gap}) AS pingtime_max", f"avg({drive_gap}) AS pingtime_mean",
+        "max(if(in_lbuff, disttoend, NULL)) AS max_dist"]))
+    return (rows.filter("n_lbuff > 0 AND n_lot > 0 AND n_walk > 0 AND n_all > 0")
+            .selectExpr("trip_id", "n_lbuff", "n_lot", "n_walk", "n_all",
+                        "s.x AS startpt_x", "s.y AS startpt_y", "s.t AS startpt_t",
+                        "e.x AS enterlot_x", "e.y AS enterlot_y", "e.t AS enterlot_t",
+                        "coalesce(k.x, e.x) AS park_x", "coalesce(k.y, e.y) AS park_y",
+                        "gpsdist", "parkdist", "walkdist", "alldist", "pingtime_max", "pingtime_mean", "max_dist"))

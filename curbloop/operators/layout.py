@@ -17,23 +17,21 @@ def part_of(ptid, part_rows: int) -> Column:
 
 def attach(points: DataFrame, trips: DataFrame, part_rows: int, n_points="n_points", how="inner") -> DataFrame:
     """Join one-row-per-trip values to the points (trip_id, ptid, ...) of the trips."""
-    spread = trips.withColumn("part", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.greatest(part_of(n_points, part_rows), F.lit(0).cast("bigint")))))
+    spread = trips.withColumn("part", F.expr(
+        f"explode(sequence(0L, greatest(0L, (cast({n_points} AS bigint) - 1) div {part_rows})))"))
     return (points.withColumn("part", part_of("ptid", part_rows))
             .join(spread, ["trip_id", "part"], how).drop("part"))
 
 
 def with_lags(points: DataFrame, fields, steps: int, part_rows: int) -> DataFrame:
     """Add ``prev1`` .. ``prevN``, structs of ``fields`` of the points before. ``ptid`` must count 1, 2, 3, ..."""
-    own = part_of("ptid", part_rows)
-    near_end = F.pmod(F.col("ptid") - 1, F.lit(part_rows)) >= part_rows - steps
-    rows = (points.withColumn("own_part", own)
-            .withColumn("part", F.explode(F.when(near_end, F.array("own_part", F.col("own_part") + 1))
-                                          .otherwise(F.array("own_part")))))
+    own = f"(ptid - 1) div {part_rows}"
+    rows = points.withColumn("part", F.expr(
+        f"explode(if((ptid - 1) % {part_rows} >= {part_rows - steps}, array({own}, {own} + 1), array({own})))"))
     w = W.partitionBy("trip_id", "part").orderBy("ptid")
     here = F.struct(*fields)
     lagged = rows.withColumns({f"prev{k}": F.lag(here, k).over(w) for k in range(1, steps + 1)})
-    return lagged.filter("part = own_part").drop("part", "own_part")
+    return lagged.filter(f"part = {own}").drop("part")
 
 
 def renumber(points: DataFrame, part_rows: int) -> DataFrame:
@@ -68,13 +66,11 @@ def skew_join(big: DataFrame, small: DataFrame, on, salt_by, share: float = 1e-4
     most 1/share hot keys and their list can be broadcast. Rows of a hot key are spread by a hash of
     ``salt_by`` over as many copies as the key exceeds the limit; its rows of ``small`` are repeated that often.
     """
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    limit = F.greatest(F.lit(min_rows), counts.agg(F.coalesce(F.sum("n"), F.lit(0)) * share).scalar())
-    hot = F.broadcast(counts.filter(F.col("n") > limit)
-                      .select(*on, F.ceil(F.col("n") / limit).cast("bigint").alias("copies")))
-    copies = F.coalesce("copies", F.lit(1).cast("bigint"))
+    counts = big.groupBy(*on).agg(F.expr("count(1) AS n"))
+    limit = F.greatest(F.lit(min_rows), counts.agg(F.expr(f"sum(n) * {share}D")).scalar())
+    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).alias("copies")))
     salted = (big.join(hot, on, "left")
-              .withColumn("salt", F.pmod(F.xxhash64(*salt_by), copies)).drop("copies"))
+              .withColumn("salt", F.expr(f"pmod(xxhash64({', '.join(salt_by)}), coalesce(copies, 1))")).drop("copies"))
     spread = (small.join(hot, on, "left")
-              .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))).drop("copies"))
+              .withColumn("salt", F.expr("explode(sequence(0L, coalesce(copies, 1) - 1))")).drop("copies"))
     return salted.join(spread, [*on, "salt"], how).drop("salt")

@@ -12,22 +12,21 @@ from curbloop.operators.layout import skew_join
 CELL = ["cx", "cy"]
 
 
-def cell_of(v, size: float) -> Column:
-    return F.floor((F.col(v) if isinstance(v, str) else v) / size).cast("bigint")
+def cell_of(v: str, size: float) -> Column:
+    return F.expr(f"floor(({v}) / {size}D)")
 
 
-def _cells(lo, hi, size):
-    return F.sequence(cell_of(lo, size), cell_of(hi, size))
+def _cells(lo: str, hi: str, size) -> Column:
+    return F.expr(f"explode(sequence(floor(({lo}) / {size}D), floor(({hi}) / {size}D)))")
 
 
-def segment_cells(segments: DataFrame, radius, size: float) -> DataFrame:
+def segment_cells(segments: DataFrame, radius: float, size: float) -> DataFrame:
     """Repeat segments for the cells that hold some point within ``radius`` of them."""
-    radius = radius if isinstance(radius, Column) else F.lit(radius)
     half = size / 2
     return (segments
-            .withColumn("cx", F.explode(_cells(F.least("x1", "x2") - radius, F.greatest("x1", "x2") + radius, size)))
-            .withColumn("cy", F.explode(_cells(F.least("y1", "y2") - radius, F.greatest("y1", "y2") + radius, size)))
-            .filter(geo.segment_distance(F.col("cx") * size + half, F.col("cy") * size + half, "x1", "y1", "x2", "y2")
+            .withColumn("cx", _cells(f"least(x1, x2) - {radius}D", f"greatest(x1, x2) + {radius}D", size))
+            .withColumn("cy", _cells(f"least(y1, y2) - {radius}D", f"greatest(y1, y2) + {radius}D", size))
+            .filter(geo.segment_distance(f"cx * {size}D + {half}D", f"cy * {size}D + {half}D", "x1", "y1", "x2", "y2")
                     <= radius + half * 1.4143))
 
 
@@ -38,7 +37,7 @@ def near_segments(points: DataFrame, segments: DataFrame, radius: float, salt_by
     share = geo.share_along("x", "y", "x1", "y1", "x2", "y2")
     return (skew_join(located, segment_cells(segments, radius, size), CELL, salt_by).drop(*CELL)
             .withColumn("share", share)
-            .withColumn("dist", geo.distance("x", "y", geo.between("x1", "x2", "share"), geo.between("y1", "y2", "share")))
+            .withColumn("dist", geo.distance("x", "y", geo.between_sql("x1", "x2", "share"), geo.between_sql("y1", "y2", "share")))
             .filter(F.col("dist") <= radius))
 
 
@@ -50,8 +49,8 @@ def inside_polygons(points: DataFrame, segments: DataFrame, polygon, key, size:
     """
     left = segments.groupBy(polygon).agg(F.min(F.least("x1", "x2")).alias("left"))
     spread = (segments.join(left, polygon)
-              .withColumn("cx", F.explode(_cells(F.col("left"), F.greatest("x1", "x2"), size)))
-              .withColumn("cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
+              .withColumn("cx", _cells("left", "greatest(x1, x2)", size))
+              .withColumn("cy", _cells("least(y1, y2)", "greatest(y1, y2)", size))
               .select(polygon, "x1", "y1", "x2", "y2", *CELL))
     located = points.select(*key, "x", "y").withColumns({"cx": cell_of("x", size), "cy": cell_of("y", size)})
     met = skew_join(located, spread, CELL, key)
@@ -91,26 +90,22 @@ def drop_large_polygons(segments: DataFrame, polygon, area_max: float = 250_000)
 
 def street_segments(streets: DataFrame) -> DataFrame:
     """Street lines (array ``geom_way``) -> segment rows with their offset on the edge and its length."""
-    pts = F.col("geom_way")
-    return (streets.withColumn("total", geo.line_length("geom_way"))
-            .withColumn("steps", F.arrays_zip(
-                F.slice(pts, 1, F.size(pts) - 1).alias("a"), F.slice(pts, 2, F.size(pts) - 1).alias("b")))
-            .withColumn("lens", F.transform("steps", lambda s: geo.distance(
-                s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
-            .select(*[c for c in streets.columns if c != "geom_way"], "total", "lens", F.posexplode("steps").alias("seq", "s"))
-            .withColumn("off", F.aggregate(F.slice("lens", 1, F.col("seq")), F.lit(0.0), lambda acc, d: acc + d))
-            .select(*[c for c in streets.columns if c != "geom_way"], "total", "seq", "off",
-                    F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"),
-                    F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2")))
+    keep = [c for c in streets.columns if c != "geom_way"]
+    return (streets.selectExpr(*keep, f"{geo.step_lengths_sql('geom_way')} AS lens",
+                               "slice(geom_way, 1, size(geom_way) - 1) AS a", "slice(geom_way, 2, size(geom_way) - 1) AS b")
+            .selectExpr(*keep, "lens", "posexplode(arrays_zip(a, b)) AS (seq, s)")
+            .selectExpr(*keep, "aggregate(lens, 0D, (acc, d) -> acc + d) AS total", "seq",
+                        "aggregate(slice(lens, 1, seq), 0D, (acc, d) -> acc + d) AS off",
+                        "s.a.x AS x1", "s.a.y AS y1", "s.b.x AS x2", "s.b.y AS y2"))
 
 
 def cut_segments(segments: DataFrame, lo, hi) -> DataFrame:
     """The part of every line between two shares of its length; needs off and total."""
-    lo, hi = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi))
-    length = geo.distance("x1", "y1", "x2", "y2")
-    a = F.greatest(F.lit(0.0), (lo * F.col("total") - F.col("off")) / F.nullif(length, F.lit(0.0)))
-    b = F.least(F.lit(1.0), (hi * F.col("total") - F.col("off")) / F.nullif(length, F.lit(0.0)))
-    return (segments.withColumns({"a": a, "b": b}).filter("a < b")
+    length = geo.distance_sql("x1", "y1", "x2", "y2")
+    return (segments
+            .withColumns({"a": F.expr(f"greatest(0D, ({lo} * total - off) / nullif({length}, 0D))"),
+                          "b": F.expr(f"least(1D, ({hi} * total - off) / nullif({length}, 0D))")})
+            .filter("a < b")
             .withColumns({"x1": geo.between("x1", "x2", "a"), "y1": geo.between("y1", "y2", "a"),
                           "x2": geo.between("x1", "x2", "b"), "y2": geo.between("y1", "y2", "b")})
             .drop("a", "b"))
@@ -118,28 +113,31 @@ def cut_segments(segments: DataFrame, lo, hi) -> DataFrame:
 
 def extent(points: DataFrame, x="x", y="y", grow: float = 0.0) -> Column:
     """Bounding box of a point set as a scalar column with fields x_min, y_min, x_max, y_max."""
-    return points.agg(F.struct((F.min(x) - grow).alias("x_min"), (F.min(y) - grow).alias("y_min"),
-                               (F.max(x) + grow).alias("x_max"), (F.max(y) + grow).alias("y_max")).alias("box")).scalar()
+    return points.agg(F.expr(
+        f"named_struct('x_min', min({x}) - {grow}D, 'y_min', min({y}) - {grow}D, 'x_max', max({x}) + {grow}D,"
+        f" 'y_max', max({y}) + {grow}D) AS box")).scalar()
 
 
 def segments_extent(segments: DataFrame, grow: float = 0.0) -> Column:
-    return segments.agg(F.struct(
-        (F.min(F.least("x1", "x2")) - grow).alias("x_min"), (F.min(F.least("y1", "y2")) - grow).alias("y_min"),
-        (F.max(F.greatest("x1", "x2")) + grow).alias("x_max"),
-        (F.max(F.greatest("y1", "y2")) + grow).alias("y_max")).alias("box")).scalar()
+    ends = segments.selectExpr("explode(array(named_struct('x', x1, 'y', y1), named_struct('x', x2, 'y', y2))) AS p")
+    return extent(ends, "p.x", "p.y", grow)
+
+
+def _line_box(line):
+    return [F.expr(f"array_{end}(transform({line}, p -> p.{axis}))") for end, axis in
+            (("min", "x"), ("min", "y"), ("max", "x"), ("max", "y"))]
 
 
 def box_holds_line(box: Column, line) -> Column:
     """Whether an array line lies wholly in a box."""
-    return F.forall(line, lambda p: (p["x"] >= box["x_min"]) & (p["x"] <= box["x_max"])
-                    & (p["y"] >= box["y_min"]) & (p["y"] <= box["y_max"]))
+    x1, y1, x2, y2 = _line_box(line)
+    return (x1 >= box["x_min"]) & (y1 >= box["y_min"]) & (x2 <= box["x_max"]) & (y2 <= box["y_max"])
 
 
 def box_meets_line(box: Column, line) -> Column:
     """Whether the bounding box of an array line overlaps a box."""
-    xs, ys = F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"])
-    return ((F.array_max(xs) >= box["x_min"]) & (F.array_min(xs) <= box["x_max"])
-            & (F.array_max(ys) >= box["y_min"]) & (F.array_min(ys) <= box["y_max"]))
+    x1, y1, x2, y2 = _line_box(line)
+    return (x2 >= box["x_min"]) & (x1 <= box["x_max"]) & (y2 >= box["y_min"]) & (y1 <= box["y_max"])
 
 
 def box_holds_point(box: Column, x, y) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from curbloop.functions import clock, geo
 from curbloop.functions.projection import project_columns
 from curbloop.operators.layout import dense_ids, part_of
+from curbloop.operators.scratch import stage
 from curbloop.params import Params
 
 
@@ -125,7 +126,7 @@ def usable_traces(traces: DataFrame, params: Params = Params()) -> DataFrame:
 
 def number_traces(traces: DataFrame) -> DataFrame:
     """Give traces a unique ``trip_id`` from 1 up; (device_id, trip_start) stays as the stable key."""
-    return dense_ids(traces, ["device_id"], ["device_id", "trip_start"])
+    return dense_ids(stage(traces, "traces"), ["device_id"], ["device_id", "trip_start"])
 
 
 def trace_points(points: DataFrame, traces: DataFrame, params: Params = Params()) -> DataFrame:
@@ -141,8 +142,7 @@ def line_parts(points: DataFrame, params: Params = Params()) -> DataFrame:
     part = part_of("ptid", params.part_rows)
     return (points.groupBy("trip_id", part.alias("part"))
             .agg(F.array_sort(F.collect_list(F.struct("ptid", "x", "y", F.col("t").alias("m")))).alias("pts"))
-            .select("trip_id", "part", F.transform("pts", lambda p: geo.point_m(p["x"], p["y"], p["m"]))
-                    .cast(geo.LINE_TYPE).alias("line")))
+            .select("trip_id", "part", F.expr("transform(pts, p -> named_struct('x', p.x, 'y', p.y, 'm', p.m))").alias("line")))
 
 
 def explode_lines(traces: DataFrame, line="lines_geom") -> DataFrame:

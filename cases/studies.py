@@ -158,15 +158,15 @@ def survey_inputs(spark, sf_dir):
 def survey_traces(spark, sf_dir):
     table, points = studies.survey_traces(*survey_inputs(spark, sf_dir))
     first = points.groupBy("traceid").agg(F.sum("lon").alias("sum_lon"), F.sum("lat").alias("sum_lat"))
-    return rounded(table.join(first, "traceid"), 5)
+    return rounded(table.join(first, "traceid"), 7)
 
 
 SURVEY_TRACES = f"""WITH logs AS ({_LOGS.format(f='::DOUBLE', user='user_id::VARCHAR', events='events')}),
 rows AS (SELECT *, start_ms + frametime AS ms, CASE WHEN user_id % 3 <> 0 AND user_id % 4 <> 0 THEN frametime >= 9000 END AS cruise
          FROM logs WHERE lat IS NOT NULL),
 secs AS (SELECT traceid, ms // 1000 AS t, avg(lon) AS lon, avg(lat) AS lat, coalesce(bool_and(cruise), false) AS cruise FROM rows GROUP BY ALL)
-SELECT traceid, dest, end_lon, end_lat, t0, n_points, n_cruise, round(sum_lon, 5) AS sum_lon, round(sum_lat, 5) AS sum_lat FROM (
-  SELECT traceid, round(arg_max(lon, ms), 5) AS end_lon, round(arg_max(lat, ms), 5) AS end_lat,
+SELECT traceid, dest, end_lon, end_lat, t0, n_points, n_cruise, round(sum_lon, 7) AS sum_lon, round(sum_lat, 7) AS sum_lat FROM (
+  SELECT traceid, round(arg_max(lon, ms), 7) AS end_lon, round(arg_max(lat, ms), 7) AS end_lat,
          max(CASE WHEN user_id % 3 = 0 OR user_id % 5 < 2 THEN '' ELSE user_id::VARCHAR END) AS dest FROM rows GROUP BY traceid)
 JOIN (SELECT traceid, min(t) AS t0, count(*) AS n_points, count(*) FILTER (cruise) AS n_cruise, sum(lon) AS sum_lon, sum(lat) AS sum_lat
       FROM secs GROUP BY traceid) USING (traceid)"""

@@ -30,21 +30,27 @@ def is_workday(day: Column, fix_holidays: bool = False) -> Column:
     return F.coalesce((F.weekday(day) < 5) & ~holiday, F.lit(False))
 
 
-def parse_day(text) -> Column:
-    """``05-JAN-13`` -> date. Month names in any case."""
-    return F.to_date(F.try_to_timestamp(_dash(text), F.lit("dd-MMM-yy")))
+def _full_year(day: str) -> str:
+    """``05-JAN-13`` -> ``05-Jan-2013``; two-digit years from 70 on belong to the last century."""
+    yy = f"get(split({day}, '-'), 2)"
+    return (f"concat_ws('-', get(split({day}, '-'), 0), initcap(get(split({day}, '-'), 1)),"
+            f" concat(if({yy} < '70', '20', '19'), {yy}))")
 
 
-def _dash(text):
-    # initcap only capitalises after spaces
-    parts = F.split(text, "-")
-    return F.concat_ws("-", F.get(parts, F.lit(0)), F.initcap(F.get(parts, F.lit(1))), F.get(parts, F.lit(2)))
+def parse_day(text: str) -> Column:
+    """``05-JAN-13`` -> date. Month names in any case; null where it is none."""
+    return F.expr(f"to_date(try_to_timestamp({_full_year(text)}, 'dd-MMM-yyyy'))")
 
 
-def parse_local_12h(text, time_zone: str) -> Column:
+def parse_local_12h(text: str, time_zone: str) -> Column:
     """``05-JAN-13 02.30.00.000000 PM`` in a named zone -> instant."""
-    day = F.substring_index(text, " ", 1)
-    rest = F.regexp_replace(text, r"^\S+ ", "")
-    stamp = F.try_to_timestamp(F.concat_ws(" ", _dash(day), F.regexp_replace(rest, r"\.\d{3,9} ", " ")),
-                               F.lit("dd-MMM-yy hh.mm.ss a"))
-    return F.to_utc_timestamp(stamp, time_zone)
+    day = _full_year(f"substring_index({text}, ' ', 1)")
+    clock = f"regexp_replace(regexp_replace({text}, r'^\\S+ ', ''), r'\\.\\d{{3,9}} ', ' ')"
+    wall = f"try_to_timestamp(concat_ws(' ', {day}, {clock}), 'dd-MMM-yyyy hh.mm.ss a')"
+    # the text is read on the session clock and taken off it again, so only the named zone counts
+    wall = f"cast({wall} AS timestamp_ntz)"
+    utc = f"convert_timezone('{time_zone}', 'UTC', {wall})"
+    # an hour that comes twice when clocks go back means standard time
+    later = f"({utc} + INTERVAL 1 HOUR)"
+    utc = f"if(convert_timezone('UTC', '{time_zone}', {later}) = {wall}, {later}, {utc})"
+    return F.expr(f"to_timestamp(concat(date_format({utc}, 'yyyy-MM-dd HH:mm:ss'), '+00:00'))")

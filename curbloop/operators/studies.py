@@ -23,8 +23,8 @@ def sensor_occupancy(sensors: DataFrame, predictions: DataFrame, time_zone: str
            .withColumn("block_id", F.lpad("block_id", 5, "0"))
            .withColumns({
                "rate": F.nullif("ratetext", F.lit("")).try_cast("double"),
-               "caldate": clock.parse_day(F.left("cal_date", F.lit(9))),
-               "sensor_time": clock.parse_local_12h(F.col("start_time_dt"), time_zone),
+               "caldate": clock.parse_day("left(cal_date, 9)"),
+               "sensor_time": clock.parse_local_12h("start_time_dt", time_zone),
                "tot_occ_pc": occupancy("tot"), "gmp_occ_pc": occupancy("gmp")})
            .drop("ratetext", "cal_date"))
     for kind in ("gmp", "tot"):
@@ -67,7 +67,7 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, reach: float = 10) -
 
 def streets_near_layer(streets: DataFrame, layer: DataFrame, grow: float) -> DataFrame:
     """Streets whose box overlaps the box of a layer grown by some metres."""
-    return streets.filter(box_meets_line(segments_extent(layer, grow), F.col("geom_way")))
+    return streets.filter(box_meets_line(segments_extent(layer, grow), "geom_way"))
 
 
 def vendor_trip_filter(traces: DataFrame, curbs: DataFrame, year_min: int = 2013, grow: float = 500,

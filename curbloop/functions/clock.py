@@ -1,5 +1,5 @@
 """Time parsing and calendar flags."""
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def epoch_seconds(ts_ms) -> Column:
@@ -42,15 +42,15 @@ def parse_day(text: str) -> Column:
     return F.expr(f"to_date(try_to_timestamp({_full_year(text)}, 'dd-MMM-yyyy'))")
 
 
-def parse_local_12h(text: str, time_zone: str) -> Column:
-    """``05-JAN-13 02.30.00.000000 PM`` in a named zone -> instant."""
+def with_local_12h(df: DataFrame, text: str, name: str, time_zone: str) -> DataFrame:
+    """Add the instant of ``05-JAN-13 02.30.00.000000 PM`` in a named zone. Steps are columns so each is computed once."""
     day = _full_year(f"substring_index({text}, ' ', 1)")
-    clock = f"regexp_replace(regexp_replace({text}, r'^\\S+ ', ''), r'\\.\\d{{3,9}} ', ' ')"
-    wall = f"try_to_timestamp(concat_ws(' ', {day}, {clock}), 'dd-MMM-yyyy hh.mm.ss a')"
-    # the text is read on the session clock and taken off it again, so only the named zone counts
-    wall = f"cast({wall} AS timestamp_ntz)"
-    utc = f"convert_timezone('{time_zone}', 'UTC', {wall})"
+    clock = f"regexp_replace(substring({text}, instr({text}, ' ') + 1), r'\\.\\d{{3,9}} ', ' ')"
+    # read on the session clock and taken off it again, so only the named zone counts
+    steps = (df.withColumn("_wall", F.expr(f"cast(try_to_timestamp(concat_ws(' ', {day}, {clock}), 'dd-MMM-yyyy hh.mm.ss a') AS timestamp_ntz)"))
+             .withColumn("_utc", F.expr(f"convert_timezone('{time_zone}', 'UTC', _wall)"))
+             .withColumn("_later", F.expr("_utc + INTERVAL 1 HOUR")))
     # an hour that comes twice when clocks go back means standard time
-    later = f"({utc} + INTERVAL 1 HOUR)"
-    utc = f"if(convert_timezone('UTC', '{time_zone}', {later}) = {wall}, {later}, {utc})"
-    return F.expr(f"to_timestamp(concat(date_format({utc}, 'yyyy-MM-dd HH:mm:ss'), '+00:00'))")
+    utc = f"if(convert_timezone('UTC', '{time_zone}', _later) = _wall, _later, _utc)"
+    seconds = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {utc})")
+    return steps.withColumn(name, F.timestamp_seconds(seconds)).drop("_wall", "_utc", "_later")

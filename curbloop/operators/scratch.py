@@ -1,4 +1,5 @@
 """Written stages: cut lineage where a result is costly to redo or is read by several later steps."""
+import functools
 import tempfile
 import uuid
 
@@ -11,11 +12,15 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="curbloop-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _local_dir()
     return shared.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="curbloop-")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/curbloop-{name}-{uuid.uuid4().hex}"
 

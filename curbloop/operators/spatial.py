@@ -64,7 +64,7 @@ def polygon_distances(points: DataFrame, segments: DataFrame, polygon, key, radi
     """(``key``, ``polygon``, ``dist``) within ``radius``; 0 inside a polygon."""
     near = (near_segments(points.select(*key, "x", "y"), segments, radius, key)
             .groupBy(*key, polygon).agg(F.min("dist").alias("dist")))
-    inside = inside_polygons(points, segments, polygon, key).withColumn("dist", F.lit(0.0))
+    inside = inside_polygons(points, segments, polygon, key, size=max(radius, 100)).withColumn("dist", F.lit(0.0))
     return near.unionByName(inside).groupBy(*key, polygon).agg(F.min("dist").alias("dist"))
 
 

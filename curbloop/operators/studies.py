@@ -19,12 +19,11 @@ def sensor_occupancy(sensors: DataFrame, predictions: DataFrame, time_zone: str
         taken, free = F.col(f"{kind}_occupied_time"), F.col(f"{kind}_vacant_time")
         return taken.cast("double") / F.nullif((taken + free).cast("double"), F.lit(0.0))
 
-    out = (sensors
+    out = (clock.with_local_12h(sensors, "start_time_dt", "sensor_time", time_zone)
            .withColumn("block_id", F.lpad("block_id", 5, "0"))
            .withColumns({
                "rate": F.nullif("ratetext", F.lit("")).try_cast("double"),
                "caldate": clock.parse_day("left(cal_date, 9)"),
-               "sensor_time": clock.parse_local_12h("start_time_dt", time_zone),
                "tot_occ_pc": occupancy("tot"), "gmp_occ_pc": occupancy("gmp")})
            .drop("ratetext", "cal_date"))
     for kind in ("gmp", "tot"):
@@ -56,7 +55,7 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, reach: float = 10) -
         F.struct(F.lit(0).alias("at"), F.col("x1").alias("x"), F.col("y1").alias("y")),
         F.struct(F.lit(1).alias("at"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
     ends = ends.select("id", "seq", "p.at", "p.x", "p.y")
-    inside = (inside_polygons(ends, blocks.filter(~F.col("block_id").isin(WRONG_BLOCKS)), "block_id", ["id", "seq", "at"])
+    inside = (inside_polygons(ends, blocks.filter(~F.col("block_id").isin(WRONG_BLOCKS)), "block_id", ["id", "seq", "at"], size=100)
               .groupBy("id", "block_id").agg(F.count(F.lit(1)).alias("n_in")))
     whole = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_ends"))
     # what holds the middle of a street is at distance 0 of it, so the distance test is met as well

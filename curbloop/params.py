@@ -36,8 +36,7 @@ class Params:
     match_min_points: int = 3
     gps_sigma: float = 8
     transition_beta: float = 20
-    route_factor: float = 2.0        # links may be this many times the straight distance ...
-    route_slack: float = 200         # ... plus this many metres
+    route_factor: float = 2.0        # links may be this many times the straight distance plus twice match_radius
     # classification
     excess_min: float = 5
     high_excess_min: float = 200

@@ -91,8 +91,8 @@ def sketch(words, settings: Settings):
         run = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(n), 0))
         label = np.empty(n, np.uint64)
         label[order] = run.astype(np.uint64)
-        h = (h ^ label * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(30)
+        again = (h ^ label * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.where(label > 0, again ^ again >> np.uint64(30), h)
     a, b = _orders(settings)
     y = h[None, :] * a[:, None] + b[:, None]
     y ^= y >> np.uint64(32)

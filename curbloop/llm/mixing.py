@@ -28,19 +28,20 @@ def share_out(children: DataFrame, parent: list, budget="budget", cap="cap", wei
 
     In ascending order of cap / weight the children before some point are full and the rest share what is left in proportion to
     weight; the point is the first child whose share, with all before it full, stays within its cap (later
-    ones would give a lower rate). All sums are of
-    integers, so the result does not depend on the order of rows."""
+    ones would give a lower rate). All
+    arithmetic is of whole numbers, so budgets times weights must stay below 2 ** 63."""
     w = W.partitionBy(*parent).orderBy(F.col(cap) / F.col(weight), *[c for c in LEVELS if c in children.columns])
     before = w.rowsBetween(W.unboundedPreceding, -1)
     everyone = W.partitionBy(*parent)
     rows = children.withColumns({
         "_full": F.coalesce(F.sum(cap).over(before), F.lit(0)),
         "_weight_left": F.sum(weight).over(everyone) - F.coalesce(F.sum(weight).over(before), F.lit(0))})
-    rate = (F.col(budget) - F.col("_full")) / F.col("_weight_left")
-    rows = rows.withColumn("_rate", F.when(rate * F.col(weight) <= F.col(cap), rate))
+    left = F.col(budget) - F.col("_full")
+    rate = F.struct((left / F.col("_weight_left")).alias("r"), left.alias("n"), F.col("_weight_left").alias("d"))
+    rows = rows.withColumn("_rate", F.when(left * F.col(weight) <= F.col(cap) * F.col("_weight_left"), rate))
     rows = rows.withColumn("_rate", F.max("_rate").over(everyone))
     given = F.when(F.col("_rate").isNull(), F.col(cap)).otherwise(
-        F.least(F.col(cap), F.floor(F.col("_rate") * F.col(weight)).cast("long")))
+        F.least(F.col(cap), F.expr(f"_rate.n * {weight} div _rate.d")))
     return rows.withColumn("given", F.greatest(given, F.lit(0))).drop("_full", "_weight_left", "_rate")
 
 

@@ -126,16 +126,20 @@ SELECT trip_id, n_lbuff, n_lot, n_walk, n_all, startpt_t, enterlot_t, pingtime_m
        {', '.join(f'round({c}, 3) AS {c}' for c in _R)} FROM slices"""
 
 
+_SPIKE = "(ptid % 41 IN (9, 20, 21, 30, 31, 32) OR (trip_id % 3 = 0 AND ptid % 97 BETWEEN 60 AND 75))"
+
+
 def clean_traces(spark, sf_dir):
-    """Drives with a spike of 5 km at every 17th point; the spikes and the good first points go."""
-    points = inputs.drives(spark, sf_dir).withColumn("x", F.col("x") + F.when(F.col("ptid") % 17 == 9, 5000.0).otherwise(0.0))
+    """Drives with spikes of one, two and three points and, on every third trip, a run of sixteen; these and the good first points go."""
+    far = F.when(F.expr(_SPIKE), F.expr("50000D + 20000D * (ptid % 2)")).otherwise(0.0)
+    points = inputs.drives(spark, sf_dir).withColumn("x", F.col("x") + far)
     ends = trips.trip_ends(points).withColumn("start_good", F.col("trip_id") % 2 == 0)
-    return rounded(cleaning.clean_traces(points, ends))
+    return rounded(cleaning.clean_traces(points, ends, Params(part_rows=25)))
 
 
 CLEAN_TRACES = f"""WITH {inputs.DRIVES},
 kept AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY trip_id) AS n FROM drives)
-         WHERE ptid % 17 <> 9 AND NOT (ptid = 1 AND trip_id % 2 = 0 AND n > 2))
+         WHERE NOT {_SPIKE} AND NOT (ptid = 1 AND trip_id % 2 = 0 AND n > 2))
 SELECT trip_id, row_number() OVER (PARTITION BY trip_id ORDER BY ptid) AS ptid, t, round(x, 3) AS x, round(y, 3) AS y FROM kept"""
 
 

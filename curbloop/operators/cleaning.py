@@ -1,8 +1,10 @@
 """Drop errant points of traces; the given points stay untouched as the original line."""
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import geo
-from curbloop.operators.layout import attach, renumber, with_lags
+from curbloop.operators.layout import attach, part_of, renumber, with_lags
 from curbloop.operators.scratch import stage
 from curbloop.params import Params
 
@@ -17,23 +19,64 @@ def drop_good_starts(points: DataFrame, trips: DataFrame, params: Params = Param
             .drop("start_good", "n_points"))
 
 
+def _judge(pdf: pd.DataFrame, speed_max: float) -> pd.DataFrame:
+    """Whether each point of a part is kept: those too fast from the last kept point go. ``in_*``: the point kept before."""
+    pdf = pdf.sort_values("ptid", kind="stable")
+    t, x, y = (pdf[c].to_numpy(float) for c in ("t", "x", "y"))
+    last = tuple(pdf[c].iloc[0] for c in ("in_t", "in_x", "in_y"))
+    last = None if pd.isna(last[0]) else tuple(map(float, last))
+    kept = np.ones(len(pdf), bool)
+    for i, (ti, xi, yi) in enumerate(zip(t.tolist(), x.tolist(), y.tolist())):
+        if last is not None:
+            hours, km = (ti - last[0]) / 3600, ((xi - last[1]) ** 2 + (yi - last[2]) ** 2) ** 0.5 / 1000
+            if km / hours > speed_max if hours > 0 else km > 0:
+                kept[i] = False
+                continue
+        last = (ti, xi, yi)
+    return pdf.assign(kept=kept)[["trip_id", "part", "ptid", "kept"]]
+
+
 def drop_fast_points(points: DataFrame, params: Params = Params()) -> DataFrame:
-    """Remove points reached faster than ``clean_speed_max``, again and again until none is left.
+    """Remove points reached faster than ``clean_speed_max`` from the last kept point.
 
-    In every round only the first point of a run of fast ones goes: the next may be fine once it is gone.
+    Trips without a fast step are left alone. The parts of the others are judged all at once, each as if the last point of the
+    part before were kept; parts that were entered from another point are judged again, until none is left. A trip of
+    one part takes one pass, however many of its points are fast.
     """
-    hours = (F.col("t") - F.col("prev1.t")) / 3600
+    hours, km = (F.col("t") - F.col("prev1.t")) / 3600, geo.distance("prev1.x", "prev1.y", "x", "y") / 1000
+    fast = F.coalesce(F.when(hours > 0, km / hours > params.clean_speed_max).when(km > 0, F.lit(True)), F.lit(False))
+    marked = stage(with_lags(points, ["t", "x", "y"], 1, params.part_rows).withColumn("fast", fast).drop("prev1"), "clean")
+    trips = marked.groupBy("trip_id").agg(F.max("ptid").alias("n_points"), F.bool_or("fast").alias("dirty")).filter("dirty")
+    trips = stage(trips.drop("dirty"), "fast-trips")
+    rows = marked.drop("fast")
+    if trips.isEmpty():
+        return rows
+    rows = attach(rows, trips.withColumnRenamed("n_points", "n"), params.part_rows, "n", how="left")
+    rows = stage(rows.withColumn("part", F.when(F.col("n").isNotNull(), part_of("ptid", params.part_rows))).drop("n"), "clean")
+    open_rows = rows.filter("part is not null").select("trip_id", "part", "ptid", "t", "x", "y")
+    at = F.struct("t", "x", "y")
+    entered = open_rows.groupBy("trip_id", "part").agg(F.max_by(at, "ptid").alias("p"))
+    entered = stage(entered.select("trip_id", (F.col("part") + 1).alias("part"), "p"), "entries")
+    judged, again = None, open_rows.select("trip_id", "part").distinct()
     while True:
-        km = geo.distance("prev1.x", "prev1.y", "x", "y") / 1000
-        fast = F.coalesce(F.when(hours > 0, km / hours > params.clean_speed_max)
-                          .when(km > 0, F.lit(True)), F.lit(False))
-        marked = with_lags(points, ["t", "x", "y"], 1, params.part_rows).withColumn("fast", fast).drop("prev1")
-        marked = with_lags(marked, ["fast"], 1, params.part_rows).withColumn(
-            "drop", F.col("fast") & ~F.coalesce(F.col("prev1.fast"), F.lit(False))).drop("prev1", "fast")
-        marked = stage(marked, "clean")
-        if marked.filter("drop").isEmpty():
-            return marked.drop("drop")
-        points = renumber(marked.filter("not drop").drop("drop"), params.part_rows)
+        work = (open_rows.join(again, ["trip_id", "part"], "left_semi").join(entered, ["trip_id", "part"], "left")
+                .select("trip_id", "part", "ptid", "t", "x", "y", F.col("p.t").alias("in_t"), F.col("p.x").alias("in_x"), F.col("p.y").alias("in_y")))
+        new = work.groupBy("trip_id", "part").applyInPandas(
+            lambda pdf: _judge(pdf, params.clean_speed_max), "trip_id bigint, part bigint, ptid bigint, kept boolean")
+        judged = stage(new if judged is None else judged.join(again, ["trip_id", "part"], "left_anti").unionByName(new), "judged")
+        last = judged.filter("kept").join(open_rows, ["trip_id", "part", "ptid"]).groupBy("trip_id", "part").agg(F.max_by(at, "ptid").alias("own"))
+        # a part that keeps nothing is left from where it was entered
+        parts = open_rows.select("trip_id", "part").distinct()
+        left = (parts.join(last, ["trip_id", "part"], "left").join(entered, ["trip_id", "part"], "left")
+                .select("trip_id", (F.col("part") + 1).alias("part"), F.coalesce("own", "p").alias("now")))
+        left = stage(left.join(entered, ["trip_id", "part"], "left").join(parts, ["trip_id", "part"], "left_semi"), "exits")
+        again = stage(left.filter("not (now <=> p)").select("trip_id", "part"), "again")
+        if again.isEmpty():
+            break
+        entered = left.select("trip_id", "part", F.col("now").alias("p"))
+    dropped = stage(judged.filter("not kept").select("trip_id", "part", "ptid"), "dropped")
+    changed = rows.filter("part is not null").join(dropped, ["trip_id", "part", "ptid"], "left_anti").drop("part")
+    return rows.filter("part is null").drop("part").unionByName(renumber(changed, params.part_rows))
 
 
 def clean_traces(points: DataFrame, trips: DataFrame, params: Params = Params()) -> DataFrame:

@@ -99,19 +99,27 @@ MATCH_SCORES = f"""WITH {MATCHED} SELECT trip_id, round(1 / (1 + exp(-(4.5289042
 
 
 def fit_match_quality(spark, sf_dir):
-    """Labels drawn from a known model over all orders; an iterative fit, so rows only."""
+    """A model fitted to labels over all orders. At its coefficients the mean residual, times 1 and times each feature, is zero."""
     rows = matched(spark, sf_dir).selectExpr("max_dist / 10 AS frechet_dist", "-netwkdist / 50 AS ll_topol_min", "trip_id")
     p = "1 / (1 + exp(-(4.5 - 0.045 * frechet_dist + 0.02 * ll_topol_min)))"
     labelled = rows.filter("frechet_dist is not null and ll_topol_min is not null").selectExpr(
-        "frechet_dist", "ll_topol_min", f"(pmod(xxhash64(trip_id), 100000) / 100000D) < {p} AS good")
-    return rounded(matching.fit_match_quality(labelled), 3)
+        "frechet_dist", "ll_topol_min", f"pmod(trip_id * 7919, 1000) / 1000D < {p} AS good")
+    fitted = {r["name"]: r["value"] for r in matching.fit_match_quality(labelled).collect()}  # three rows
+    residual = matching.match_score(F.col("frechet_dist"), F.col("ll_topol_min"), fitted) - F.col("good").cast("double")
+    names = {"(Intercept)": F.lit(1.0), "frechet_dist": F.col("frechet_dist"), "ll_topol_min": F.col("ll_topol_min")}
+    sums = labelled.agg(F.count(F.lit(1)).alias("n"), *[F.avg(residual * x).alias(name) for name, x in names.items()])
+    return rounded(sums.selectExpr("n", "stack(3, " + ", ".join(f"'{name}', `{name}`" for name in names) + ") AS (name, mean_residual)"), 3)
 
 
+FIT_MATCH_QUALITY = f"""WITH {MATCHED}
+SELECT count(*) AS n, unnest(['(Intercept)', 'frechet_dist', 'll_topol_min']) AS name, 0::DOUBLE AS mean_residual
+FROM matched WHERE max_dist IS NOT NULL AND netwkdist IS NOT NULL"""
+
 CASES = {
     "end_time_fields": (end_time_fields, END_TIME_FIELDS),
     "cruise_flags": (cruise_flags, CRUISE_FLAGS),
     "usable_trips": (usable_trips, USABLE_TRIPS),
     "cruise_share": (cruise_share, CRUISE_SHARE),
     "match_scores": (match_scores, MATCH_SCORES),
-    "fit_match_quality": (fit_match_quality, None),
+    "fit_match_quality": (fit_match_quality, FIT_MATCH_QUALITY),
 }

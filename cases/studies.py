@@ -96,14 +96,14 @@ LARGE_LOTS = f"WITH {inputs.GRID}, {inputs.LOTS} SELECT lot_id, 1600::DOUBLE AS
 
 
 def streets_near_layer(spark, sf_dir):
-    """Streets within 500 m of the box of one lot in eleven of the first district."""
-    layer = inputs.lots(spark, sf_dir).filter("lot_id < 441 and lot_id % 11 = 0 and lot_id < 150")
+    """Streets within 500 m of the box of every eleventh lot."""
+    layer = inputs.lots(spark, sf_dir).filter("lot_id % 11 = 0")
     return studies.streets_near_layer(inputs.streets(spark, sf_dir), layer, 500).select("id")
 
 
 STREETS_NEAR_LAYER = f"""WITH {inputs.GRID}, {inputs.LOTS},
 box AS (SELECT min(cx) - 520 AS lx, min(cy) - 520 AS ly, max(cx) + 520 AS hx, max(cy) + 520 AS hy FROM lots
-        WHERE lot_id < 441 AND lot_id % 11 = 0 AND lot_id < 150)
+        WHERE lot_id % 11 = 0)
 SELECT id FROM grid, box WHERE greatest(x1, x2) >= lx AND least(x1, x2) <= hx AND greatest(y1, y2) >= ly AND least(y1, y2) <= hy"""
 
 

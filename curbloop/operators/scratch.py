@@ -1,5 +1,6 @@
 """Written stages: cut lineage where a result is costly to redo or is read by several later steps."""
 import functools
+import re
 import tempfile
 import uuid
 
@@ -7,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only a local session may fall back to its own."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only a session of one process may fall back to its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = _local_dir()
     return shared.rstrip("/")

@@ -6,7 +6,7 @@ from curbloop.operators.layout import skew_join
 from curbloop.operators.spatial import (box_holds_point, box_meets_line, cut_segments, inside_polygons, near_segments, segments_extent,
                                         street_segments)
 
-# Block ids left out because the block map has them wrong.
+# Block ids that one study leaves out because its block map has them wrong.
 WRONG_BLOCKS = [56848, 44312, 36506]
 
 
@@ -44,8 +44,8 @@ def meter_points(meters: DataFrame) -> DataFrame:
             .withColumns({"longitude": at["x"], "latitude": at["y"]}))
 
 
-def street_block_ids(streets: DataFrame, blocks: DataFrame, reach: float = 10) -> DataFrame:
-    """sfpark_id of the block that lies within reach of a street and holds its middle 60 percent.
+def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) -> DataFrame:
+    """sfpark_id of the block that holds the middle 60 percent of a street; blocks in ``wrong_blocks`` do not count.
 
     ``blocks`` are convex boundary rows (block_id, ring, seq, x1 .. y2); a line is in a convex block when its vertices are.
     """
@@ -55,10 +55,9 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, reach: float = 10) -
         F.struct(F.lit(0).alias("at"), F.col("x1").alias("x"), F.col("y1").alias("y")),
         F.struct(F.lit(1).alias("at"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
     ends = ends.select("id", "seq", "p.at", "p.x", "p.y")
-    inside = (inside_polygons(ends, blocks.filter(~F.col("block_id").isin(WRONG_BLOCKS)), "block_id", ["id", "seq", "at"], size=100)
+    inside = (inside_polygons(ends, blocks.filter(~F.col("block_id").isin(list(wrong_blocks))), "block_id", ["id", "seq", "at"], size=100)
               .groupBy("id", "block_id").agg(F.count(F.lit(1)).alias("n_in")))
     whole = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_ends"))
-    # what holds the middle of a street is at distance 0 of it, so the distance test is met as well
     found = (inside.join(whole, "id").filter("n_in = n_ends").groupBy("id").agg(F.min("block_id").alias("block_id"))
              .select("id", F.lpad(F.col("block_id").cast("bigint").cast("string"), 5, "0").alias("sfpark_id")))
     return streets.join(found, "id", "left")

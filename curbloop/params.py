@@ -36,7 +36,9 @@ class Params:
     match_min_points: int = 3
     gps_sigma: float = 8
     transition_beta: float = 20
-    route_factor: float = 2.0        # links may be this many times the straight distance plus twice match_radius
+    route_factor: float = 2.0        # links are first searched up to this many times the straight distance plus twice match_radius
+    route_speed: float = 12          # m/s; or as far as this speed goes between the pings; neither changes the result
+    noise_factor: float = 4          # a step back along a street of this many gps_sigma is noise, a longer one a lap
     # classification
     excess_min: float = 5
     high_excess_min: float = 200
@@ -50,7 +52,8 @@ class Params:
     # physical layout: no task ever has to hold more of one device or trip than this
     chunk_secs: int = 3600           # time slice of a device or trip
     part_rows: int = 50_000          # points of a trip in one part
-    viterbi_steps: int = 512         # pings decoded in one group
+    viterbi_steps: int = 512         # pings decoded in one group, at most
+    viterbi_rows: int = 1_000_000    # links in one group, about
 
 
 # Logistic model of match quality.

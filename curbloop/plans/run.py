@@ -1,11 +1,23 @@
 """The whole chain: pings -> traces -> classified trips.
 
 spark-submit curbloop/plans/run.py --pings DIR --streets DIR --vertices DIR --out DIR --region wa [--lots DIR ...]
+spark-submit curbloop/plans/run.py --traces DIR --streets DIR --out DIR            (traces made by a vendor)
+
+The package is sent to the executors; it need not be installed.
 """
 import argparse
+import dataclasses
+import functools
+import json
+import sys
 from dataclasses import dataclass
+from pathlib import Path
+
+if __name__ == "__main__":  # started as a file from anywhere
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from curbloop.operators import approach, classify, cleaning, context, matching, network, trips
 from curbloop.operators.scratch import stage
@@ -24,22 +36,39 @@ class Layers:
 
 
 class Stages:
-    """Named stages under one folder. A finished stage is read again unless the run is forced."""
+    """Named stages under one folder. A finished stage is read again unless the run is forced.
+
+    ``fingerprint`` tells inputs and parameters apart: a folder made from others is refused."""
 
-    def __init__(self, spark: SparkSession, folder: str | None, force: bool = False):
+    def __init__(self, spark: SparkSession, folder: str | None, force: bool = False, fingerprint: str = ""):
         self.spark, self.folder, self.force = spark, folder, force
+        if folder is not None and fingerprint:
+            self._same(fingerprint)
+
+    def _same(self, fingerprint: str) -> None:
+        found = self._note("inputs")
+        if found is None or self.force:
+            self._write_note("inputs", fingerprint)
+        elif found != fingerprint:
+            raise ValueError(f"{self.folder} was made from other inputs or parameters: {found}. Use another folder, or force.")
 
     def keep(self, name: str, make) -> DataFrame:
         if self.folder is None:
             return stage(make(), name)
         path = f"{self.folder}/{name}"
-        if self.force or not self._finished(path):
+        if self.force or self._note(f"finished/{name}") is None:
             readers.write_table(make(), path)
+            self._write_note(f"finished/{name}", "written")
         return self.spark.read.parquet(path)
 
-    def _finished(self, path):
-        done = self.spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
+    def _note(self, name: str) -> str | None:
+        try:
+            return self.spark.read.text(f"{self.folder}/notes/{name}", wholetext=True).first()[0].strip()
+        except AnalysisException:  # there is none
+            return None
+
+    def _write_note(self, name: str, value: str) -> None:
+        self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/notes/{name}")
 
 
 def pings_to_traces(pings: DataFrame, zone, params: Params = Params(), stages: Stages | None = None):
@@ -67,12 +96,14 @@ def classify_traces(traces: DataFrame, points: DataFrame, layers: Layers, params
     sliced = stages.keep("slices", lambda: approach.slice_points(points, ends, metrics, params))
     summary = stages.keep("slice_summary", lambda: approach.slice_summary(sliced))
 
-    matched = matching.map_match(sliced.filter("in_lbuff").select("trip_id", "ptid", "t", "x", "y"),
-                                 layers.streets, layers.bans, params)
-    scores = stages.keep("matches", lambda: matched["trips"])
-    visits = stages.keep("edge_visits", lambda: matched["visits"])
-    pieces = stages.keep("matched_pieces", lambda: matched["pieces"])
-    stages.keep("cleaned_points", lambda: matched["cleaned"])
+    @functools.cache
+    def matched():
+        return matching.map_match(sliced.filter("in_lbuff").select("trip_id", "ptid", "t", "x", "y"), layers.streets, layers.bans, params)
+
+    scores = stages.keep("matches", lambda: matched()["trips"])
+    visits = stages.keep("edge_visits", lambda: matched()["visits"])
+    pieces = stages.keep("matched_pieces", lambda: matched()["pieces"])
+    stages.keep("cleaned_points", lambda: matched()["cleaned"])
     edges = matching.edge_summary(visits)
     inside = classify.length_in_buffer(matching.matched_segments(pieces, layers.streets), ends, params)
 
@@ -112,26 +143,63 @@ def vendor_traces(table: DataFrame) -> tuple[DataFrame, DataFrame]:
                             "end_geom.x AS end_x", "end_geom.y AS end_y", *keep), points
 
 
-def main() -> None:
+def parse_params(settings, time_zone=None) -> Params:
+    """``name=value`` pairs over the defaults, with the types of the defaults."""
+    kinds = {f.name: type(f.default) for f in dataclasses.fields(Params)}
+    values = {}
+    for setting in settings or []:
+        name, _, value = setting.partition("=")
+        if name not in kinds:
+            raise SystemExit(f"unknown parameter {name}; there are {', '.join(kinds)}")
+        values[name] = value.lower() in ("1", "true", "yes") if kinds[name] is bool else kinds[name](value)
+    return Params(**values | ({"time_zone": time_zone} if time_zone else {}))
+
+
+def send_package(spark: SparkSession) -> None:
+    """Executors get the package as a zip file."""
+    import shutil
+    import tempfile
+    root = Path(__file__).resolve().parents[2]
+    spark.addArtifacts(shutil.make_archive(f"{tempfile.mkdtemp()}/curbloop", "zip", root, "curbloop"), pyfile=True)
+
+
+def main(argv=None) -> None:
     p = argparse.ArgumentParser()
-    for name in ("pings", "streets", "out", "region"):
+    source = p.add_mutually_exclusive_group(required=True)
+    source.add_argument("--pings", help="raw ping files")
+    source.add_argument("--traces", help="traces made by a vendor, Parquet")
+    for name in ("streets", "out"):
         p.add_argument("--" + name, required=True)
     for name in ("vertices", "lots", "curbs", "block-groups"):
         p.add_argument("--" + name)
+    p.add_argument("--region", help="zone of the planar coordinates; needed for pings and for --degrees")
+    p.add_argument("--degrees", action="store_true", help="streets are in degrees and are projected to the region's metres")
+    p.add_argument("--time-zone", help="zone of hours and weekdays")
+    p.add_argument("--set", action="append", metavar="NAME=VALUE", help="a parameter; may be repeated")
     p.add_argument("--force", action="store_true", help="redo finished stages")
-    a = p.parse_args()
+    a = p.parse_args(argv)
+    if (a.pings or a.degrees) and not a.region:
+        p.error("--region is needed")
+    params = parse_params(a.set, a.time_zone)
     spark = SparkSession.builder.appName("curbloop").getOrCreate()
+    send_package(spark)
 
     def layer(path, table):
         return readers.read_table(spark, path, table) if path else None
 
     streets = layer(a.streets, "streets")
+    if a.degrees:
+        streets = readers.reproject_streets(streets, a.region)
     vertices = layer(a.vertices, "vertices")
     bans = network.turn_restrictions(vertices, streets) if vertices is not None else None
     layers = Layers(streets, bans, layer(a.lots, "lots"), layer(a.curbs, "curbs"), layer(a.block_groups, "block_groups"))
-    stages = Stages(spark, a.out + "/stages", a.force)
-    traces, points = pings_to_traces(readers.read_pings(spark, a.pings), a.region, stages=stages)
-    readers.write_table(classify_traces(traces, points, layers, stages=stages), a.out + "/trips")
+    made_from = {k: v for k, v in vars(a).items() if k not in ("out", "force", "set", "time_zone")} | dataclasses.asdict(params)
+    stages = Stages(spark, a.out + "/stages", a.force, json.dumps(made_from, sort_keys=True))
+    if a.traces:
+        traces, points = vendor_traces(readers.read_table(spark, a.traces, "traces"))
+    else:
+        traces, points = pings_to_traces(readers.read_pings(spark, a.pings), a.region, params, stages)
+    readers.write_table(classify_traces(traces, points, layers, params, stages), a.out + "/trips")
     readers.write_table(classify.cruise_share(spark.read.parquet(a.out + "/trips"), "endhour", "weekday"), a.out + "/cruise_share")
 
 

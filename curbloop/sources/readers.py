@@ -70,22 +70,25 @@ def reproject_streets(streets: DataFrame, zone) -> DataFrame:
         .withColumn("geom_way", F.expr("transform(geom_way, p -> named_struct('x', p.x, 'y', p.y))"))
 
 
-def read_survey_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_survey_logs(spark: SparkSession, path: str, skip_files=()) -> DataFrame:
     """Camera logs named like ``Data Log May 26 2015 02_51 PM.csv``; day and time come from the name.
 
-    The header row is found by its first name, so files may have a line before it. The log of 12:57 is not a valid sample.
+    The header row is found by its first name, so files may have a line before it. Files whose name contains one of
+    ``skip_files`` are left out.
     """
-    text = spark.read.text(path).select("value", F.regexp_replace(
-        F.element_at(F.split(F.input_file_name(), "/"), -1), "%20", " ").alias("file"))
+    text = spark.read.text(path).select("value", F.input_file_name().alias("path"))
+    text = text.withColumn("file", F.regexp_replace(F.element_at(F.split("path", "/"), -1), "%20", " "))
     # columns are looked up by name in the header of each file; one header per file, so the join side is tiny
-    header = text.filter(F.col("value").contains("Frame Number")).select("file", F.split("value", ",").alias("names"))
-    cells = text.join(header, "file").filter(~F.col("value").contains("Frame Number")).withColumn("cells", F.split("value", ","))
+    header = text.filter(F.col("value").contains("Frame Number")).select("path", F.split("value", ",").alias("names"))
+    cells = text.join(header, "path").filter(~F.col("value").contains("Frame Number")).withColumn("cells", F.split("value", ","))
 
     def cell(name, kind):
         return f"try_cast(get(cells, cast(array_position(transform(names, n -> trim(n)), '{name}') AS int) - 1) AS {kind})"
 
     wall = "to_timestamp(concat_ws(' ', part[2], part[3], part[4], replace(part[5], '_', ':'), left(part[6], 2)), 'MMM d yyyy hh:mm a')"
-    return (cells.filter(~F.col("file").contains("12_57")).withColumn("part", F.split("file", " "))
+    for name in skip_files:
+        cells = cells.filter(~F.col("file").contains(name))
+    return (cells.withColumn("part", F.split("file", " "))
             .selectExpr("concat(part[2], ' ', part[3], ', ', part[4], ' ', replace(part[5], '_', ':'), ' ', left(part[6], 2)) AS traceid",
                         "part[5] AS trace", "cast(part[3] AS int) AS day",
                         f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', cast({wall} AS timestamp_ntz)) AS start_ms",

@@ -5,7 +5,6 @@ import __spark_entry__ as entry
 from cases.check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"run_all", "fit_match_quality"}
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +12,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_equals_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]).startswith("ok")
 

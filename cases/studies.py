@@ -71,7 +71,7 @@ def blocks(spark, sf_dir):
 
 
 def street_block_ids(spark, sf_dir):
-    return studies.street_block_ids(inputs.streets(spark, sf_dir), blocks(spark, sf_dir)).select("id", "sfpark_id")
+    return studies.street_block_ids(inputs.streets(spark, sf_dir), blocks(spark, sf_dir), studies.WRONG_BLOCKS).select("id", "sfpark_id")
 
 
 STREET_BLOCK_IDS = f"""WITH {inputs.GRID},

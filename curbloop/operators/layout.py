@@ -58,17 +58,21 @@ def dense_ids(trips: DataFrame, key, order, name="trip_id", buckets: int = 4096)
             .withColumn(name, F.col("shift") + F.col("rn")).drop("bucket", "shift", "rn"))
 
 
-def skew_join(big: DataFrame, small: DataFrame, on, salt_by, share: float = 1e-4, min_rows: int = 500_000,
-              how: str = "inner") -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, on, salt_by, max_rows: int = 500_000, how: str = "inner",
+              known_keys: int = 100_000) -> DataFrame:
     """Join on keys of which some may hold a large share of ``big``.
 
-    A key is hot when it holds more than ``share`` of all rows (and more than ``min_rows``), so there are at
-    most 1/share hot keys and their list can be broadcast. Rows of a hot key are spread by a hash of
-    ``salt_by`` over as many copies as the key exceeds the limit; its rows of ``small`` are repeated that often.
+    A key with more than ``max_rows`` rows is hot. Its rows are spread by a hash of ``salt_by`` over as many copies as it exceeds
+    the limit; its rows of ``small`` are repeated that often. Without hot keys this is a plain join. Up to ``known_keys`` hot keys
+    are broadcast, longer lists are joined.
     """
-    counts = big.groupBy(*on).agg(F.expr("count(1) AS n"))
-    limit = F.greatest(F.lit(min_rows), counts.agg(F.expr(f"sum(n) * {share}D")).scalar())
-    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).alias("copies")))
+    hot = (big.groupBy(*on).agg(F.expr("count(1) AS n")).filter(F.col("n") > max_rows)
+           .select(*on, F.ceil(F.col("n") / max_rows).alias("copies")))
+    rows = hot.limit(known_keys + 1).collect()
+    if not rows:
+        return big.join(small, on, how)
+    if len(rows) <= known_keys:
+        hot = F.broadcast(big.sparkSession.createDataFrame(rows, hot.schema))
     salted = (big.join(hot, on, "left")
               .withColumn("salt", F.expr(f"pmod(xxhash64({', '.join(salt_by)}), coalesce(copies, 1))")).drop("copies"))
     spread = (small.join(hot, on, "left")

@@ -126,7 +126,7 @@ def usable_traces(traces: DataFrame, params: Params = Params()) -> DataFrame:
 
 def number_traces(traces: DataFrame) -> DataFrame:
     """Give traces a unique ``trip_id`` from 1 up; (device_id, trip_start) stays as the stable key."""
-    return dense_ids(stage(traces, "traces"), ["device_id"], ["device_id", "trip_start"])
+    return dense_ids(stage(traces, "traces"), ["device_id", "trip_start"], ["device_id", "trip_start"])
 
 
 def trace_points(points: DataFrame, traces: DataFrame, params: Params = Params()) -> DataFrame:

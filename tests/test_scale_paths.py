@@ -13,9 +13,9 @@ def test_salted_join_equals_join(spark):
     big = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) AS k")
     small = spark.range(50).selectExpr("id AS k", "id * 2 AS v").union(spark.range(5).selectExpr("7L AS k", "id AS v"))
     want = sorted(map(tuple, big.join(small, "k").select("id", "k", "v").collect()))
-    got = layout.skew_join(big, small, ["k"], ["id"], share=0.01, min_rows=10)
+    got = layout.skew_join(big, small, ["k"], ["id"], max_rows=30)
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == want
-    left = layout.skew_join(big, small.filter("k < 5"), ["k"], ["id"], share=0.01, min_rows=10, how="left")
+    left = layout.skew_join(big, small.filter("k < 5"), ["k"], ["id"], max_rows=30, how="left")
     assert left.count() == 3000
 
 

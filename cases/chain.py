@@ -1,9 +1,9 @@
 """Files in, and the whole chain."""
 from pyspark.sql import functions as F
 
-from cases import inputs
+from cases import inputs, studies
 from cases.inputs import rounded
-from curbloop.operators import network, trips
+from curbloop.operators import network, studies as study, trips
 from curbloop.operators.scratch import new_path
 from curbloop.plans import run
 from curbloop.sources import readers
@@ -39,4 +39,57 @@ def run_all(spark, sf_dir):
                               "cruise", "high_cruise", "cruise_time", "use_trip"))
 
 
-CASES = {"ping_files": (ping_files, PING_FILES), "run_all": (run_all, None)}
+def _file_of(rows, schema: str, path: str):
+    """Rows as a CSV with the columns of a file schema; columns that the rows lack are 7 or 'x'."""
+    columns = [c.split() for c in schema.split(", ")]
+    own = set(rows.columns)
+    out = rows.select(*[F.col(name).alias(name) if name in own else F.lit("x" if kind == "STRING" else 7).alias(name) for name, kind in columns])
+    out.write.option("header", True).csv(path)
+
+
+def sensor_files(spark, sf_dir):
+    """Sensor readings written as CSV and read back."""
+    path = new_path(spark, "sensor-files")
+    _file_of(studies.sensor_rows(spark, sf_dir), readers.SENSOR_FILE, path)
+    return readers.read_sensors(spark, path).groupBy("block_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tot_time").alias("secs"), F.sum("tot_occupied_time").alias("taken"), F.count("ratetext").alias("rated"),
+        F.max("start_time_dt").alias("last"), F.sum("time_of_day").alias("sevens"))
+
+
+SENSOR_FILES = """SELECT (l_partkey % 20000)::VARCHAR AS block_id, count(*) AS n, sum(3600 * (l_suppkey % 30) + 1800)::BIGINT AS secs,
+   sum(l_quantity)::BIGINT AS taken, count(*) FILTER (l_linenumber <> 3) AS rated,
+   max(strftime(l_shipdate, '%d-') || upper(strftime(l_shipdate, '%b-%y')) || ' ' || lpad((1 + l_orderkey % 12)::VARCHAR, 2, '0') || '.30.00.000000 '
+       || CASE WHEN l_linenumber % 2 = 0 THEN 'AM' ELSE 'PM' END) AS last, 7 * count(*) AS sevens
+FROM lineitem GROUP BY 1"""
+
+
+def meter_files(spark, sf_dir):
+    """Meters written as CSV and read back, with their points."""
+    path = new_path(spark, "meter-files")
+    rows = inputs.table(spark, sf_dir, "events").selectExpr(
+        "concat(lpad(cast(event_id % 1000 AS string), 3, '0'), '-', lpad(cast(event_id % 97 AS string), 5, '0')) AS post_id", "cast(event_id AS int) AS ms_spaceid",
+        "concat('(', cast(37 + event_id % 1000 / 1000D AS string), ', ', cast(-122 - event_id % 777 / 1000D AS string), ')') AS location")
+    _file_of(rows, readers.METER_FILE, path)
+    points = study.meter_points(readers.read_meters(spark, path))
+    return rounded(points.select(F.col("ms_spaceid").alias("id"), "blockid", "street_num", "longitude", "latitude"), 6)
+
+
+METER_FILES = """SELECT event_id::INT AS id, lpad((event_id % 1000)::VARCHAR, 3, '0') || lpad((event_id % 97)::VARCHAR, 5, '0')[1:2] AS blockid, 7 AS street_num,
+   round(-122 - event_id % 777 / 1000::DOUBLE, 6) AS longitude, round(37 + event_id % 1000 / 1000::DOUBLE, 6) AS latitude FROM events"""
+
+
+def appended_traces(spark, sf_dir):
+    """Three batches of traces in one table; ids go on and every batch is in order."""
+    path = new_path(spark, "appended")
+    users = inputs.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("device_id")).agg(F.min("ts").alias("trip_start"))
+    for batch in range(3):
+        table = readers.append_traces(users.filter(F.col("device_id") % 3 == batch), path, trips.number_traces)
+    return table.groupBy((F.col("device_id") % 3).alias("batch")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("trip_id").alias("n_ids"), F.min("trip_id").alias("lowest"), F.max("trip_id").alias("highest"))
+
+
+APPENDED_TRACES = """WITH b AS (SELECT user_id % 3 AS batch, count(DISTINCT user_id) AS n FROM events GROUP BY 1)
+SELECT batch, n, n AS n_ids, (1 + sum(n) OVER w - n)::BIGINT AS lowest, (sum(n) OVER w)::BIGINT AS highest FROM b WINDOW w AS (ORDER BY batch)"""
+
+CASES = {"ping_files": (ping_files, PING_FILES), "sensor_files": (sensor_files, SENSOR_FILES), "meter_files": (meter_files, METER_FILES),
+         "appended_traces": (appended_traces, APPENDED_TRACES), "run_all": (run_all, None)}

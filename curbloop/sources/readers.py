@@ -1,4 +1,5 @@
 """Readers with fixed schemas, table contracts, and writers."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbloop.functions.projection import project_line
@@ -111,9 +112,21 @@ def preview(df: DataFrame, rows: int = 10) -> DataFrame:
     return df.limit(rows)
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``append`` adds usable traces, ``overwrite`` resets an output, ``ignore`` keeps a finished stage."""
-    df.write.mode(mode).parquet(path)
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", sort_by=()) -> None:
+    """``append`` adds usable traces, ``overwrite`` resets an output, ``ignore`` keeps a finished stage. ``sort_by`` orders the rows within
+    each file, so readers can skip row groups."""
+    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.mode(mode).parquet(path)
+
+
+def append_traces(traces: DataFrame, path: str, number) -> DataFrame:
+    """Add traces to a table under new ids that follow those in use; gives the table back. ``number`` gives ids 1, 2, 3, ..."""
+    spark = traces.sparkSession
+    try:
+        last = spark.read.parquet(path).agg(F.max("trip_id")).first()[0] or 0
+    except AnalysisException:  # the first batch
+        last = 0
+    write_table(number(traces).withColumn("trip_id", F.col("trip_id") + last), path, "append", ["trip_id"])
+    return spark.read.parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

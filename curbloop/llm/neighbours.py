@@ -29,6 +29,7 @@ class Settings:
     sample: int = 64            # queries the number of probes is fitted on
     max_probes: int = 2048
     hot_cell: int = 100_000     # vectors; larger cells are spread over several tasks
+    buffer: int = 200_000       # results a task holds to merge them before it passes them on
     seed: int = 11
 
 
@@ -108,6 +109,21 @@ def _top(scores, ids, k: int):
     return r[rank < keep], c[rank < keep]
 
 
+def _best_rows(parts, k: int):
+    """Of rows (k1, k2, id, score) each id once and the k best per (k1, k2)."""
+    import numpy as np
+    k1, k2, ids, score = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((-score, ids, k2, k1))
+    k1, k2, ids, score = k1[order], k2[order], ids[order], score[order]
+    once = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (ids[1:] != ids[:-1]))
+    k1, k2, ids, score = k1[once], k2[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, k2, k1))
+    k1, k2, ids, score = k1[order], k2[order], ids[order], score[order]
+    new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
+    rank = np.arange(len(k1)) - np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))
+    return k1[rank < k], k2[rank < k], ids[rank < k], score[rank < k]
+
+
 def _best_of_sample(classes: DataFrame, queries, dim: int, k: int):
     """True neighbours of a few vectors among all classes: every task keeps k per query."""
     def best(batches):
@@ -174,9 +190,10 @@ def nearest(rows: DataFrame, is_query, k: int = 5, settings: Settings = Settings
     asking = all_rows.filter(F.size("vec") == dim).filter(is_query).select("id", "k1", "k2", "vec")
     hashes, probes = fit(classes, n, dim, k, settings)
     found = _search(classes, asking.dropDuplicates(["k1", "k2"]).select("k1", "k2", "vec"), hashes, probes, dim, k, settings)
-    merged = found.groupBy("k1", "k2", "id").agg(F.max("score").alias("score"), F.first("members").alias("members"))
+    merged = found.groupBy("k1", "k2", "id").agg(F.max("score").alias("score"))
     best = merged.withColumn("r", F.row_number().over(W.partitionBy("k1", "k2").orderBy(F.desc("score"), "id"))).filter(f"r <= {k + 1}")
-    pairs = (asking.select(F.col("id").alias("query_id"), "k1", "k2").join(best.drop("id", "r"), ["k1", "k2"])
+    best = stage(best.drop("r"), "nearest-classes").join(classes.select("id", "members"), "id")
+    pairs = (asking.select(F.col("id").alias("query_id"), "k1", "k2").join(best.drop("id"), ["k1", "k2"])
              .select("query_id", "score", F.posexplode("members").alias("copy", "vec_id")))
     # a repeated id stays a neighbour of itself once per further row
     selves = W.partitionBy("query_id", "vec_id").orderBy("copy")
@@ -186,7 +203,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, settings: Settings = Settings
 
 
 def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, settings: Settings) -> DataFrame:
-    cell = "cell long, kind int, id long, k1 long, k2 long, members array<long>, vec array<float>"
+    cell = "cell long, kind int, id long, k1 long, k2 long, vec array<float>"
 
     def place(batches):
         import numpy as np
@@ -199,7 +216,7 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
                 none = pa.nulls(len(batch), pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(hashes.codes(cells[:, t], t)), pa.array(np.ones(len(batch), np.int32)), batch.column("id"), none, none,
-                    batch.column("members"), batch.column("vec")], names=["cell", "kind", "id", "k1", "k2", "members", "vec"])
+                    batch.column("vec")], names=["cell", "kind", "id", "k1", "k2", "vec"])
 
     def visit(batches):
         import numpy as np
@@ -215,13 +232,17 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
                 take = pa.array(np.full(len(codes), q))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(codes), pa.array(np.zeros(len(codes), np.int32)), pa.nulls(len(codes), pa.int64()), batch.column("k1").take(take),
-                    batch.column("k2").take(take), pa.nulls(len(codes), pa.list_(pa.int64())), batch.column("vec").take(take)],
-                    names=["cell", "kind", "id", "k1", "k2", "members", "vec"])
+                    batch.column("k2").take(take), batch.column("vec").take(take)],
+                    names=["cell", "kind", "id", "k1", "k2", "vec"])
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
-        now, held, unit = None, [], None
+        now, held, unit, kept, n_kept = None, [], None, [], 0
+
+        def rows(parts):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["k1", "k2", "id", "score"])
+
         for batch in batches:
             cells = batch.column("cell").to_numpy()
             kinds, salts = batch.column("kind").to_numpy(), batch.column("salt").to_numpy()
@@ -238,20 +259,26 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
                 if not held:
                     continue
                 if unit is None:
-                    asked = pa.Table.from_batches(held).combine_chunks()
-                    unit = _unit(_matrix(asked.column("vec"), dim))
+                    asked = pa.Table.from_batches(held)
+                    unit, k1, k2 = _unit(_matrix(asked.column("vec"), dim)), asked.column("k1").to_numpy(), asked.column("k2").to_numpy()
                 v, ids = _unit(_matrix(part.column("vec"), dim)), part.column("id").to_numpy()
                 for first in range(0, len(unit), 1024):
                     scores = unit[first:first + 1024] @ v.T
                     r, c = _top(scores, ids, k + 1)
-                    r, c, s = pa.array(r + first), pa.array(c), scores[r, c]
-                    yield pa.RecordBatch.from_arrays([
-                        asked.column("k1").take(r).combine_chunks(), asked.column("k2").take(r).combine_chunks(), part.column("id").take(c),
-                        part.column("members").take(c), pa.array(s)], names=["k1", "k2", "id", "members", "score"])
-
-    index = classes.select("id", "members", "vec").mapInArrow(place, cell).withColumn("salt", F.lit(0))
+                    kept.append((k1[r + first], k2[r + first], ids[c], scores[r, c]))
+                    n_kept += len(r)
+                if n_kept > settings.buffer:
+                    kept = [_best_rows(kept, k + 1)]
+                    n_kept = len(kept[0][0])
+                    if n_kept > settings.buffer // 2:
+                        yield rows(kept[0])
+                        kept, n_kept = [], 0
+        if kept:
+            yield rows(_best_rows(kept, k + 1))
+
+    index = classes.select("id", "vec").mapInArrow(place, cell).withColumn("salt", F.lit(0))
     asked = queries.mapInArrow(visit, cell).withColumn("salt", F.lit(0))
-    crowded = stage(classes.select("id", "members", "vec").mapInArrow(place, cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    crowded = stage(classes.select("id", "vec").mapInArrow(place, cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") > settings.hot_cell).select("cell", F.ceil(F.col("n") / settings.hot_cell).cast("int").alias("parts")), "cells")
     if crowded.limit(1).count():
         index = index.drop("salt").join(crowded, "cell", "left").withColumn(
@@ -261,4 +288,4 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
     both = index.unionByName(asked)
     n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt", "kind")
-    return dealt.mapInArrow(compare, "k1 long, k2 long, id long, members array<long>, score double")
+    return dealt.mapInArrow(compare, "k1 long, k2 long, id long, score double")

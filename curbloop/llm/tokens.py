@@ -49,9 +49,9 @@ def word_pieces(text: str) -> list[str]:
 
 class Encoder:
     """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers, as the library's ``encode`` with
-    ``add_special_tokens=False``. At most ``max_cached`` pieces are kept."""
+    ``add_special_tokens=False``. About ``max_cached`` pieces are kept; ``forget`` gives their memory back."""
 
-    def __init__(self, path: str, max_cached: int = 1_000_000):
+    def __init__(self, path: str, max_cached: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.cache, self.max_cached = Tokenizer.from_file(path), {}, max_cached
@@ -70,7 +70,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.max_cached:
-            self.cache.clear()
+            self.forget()
         out, waiting = [], []
         for k, text in enumerate(texts):
             pieces = self.pieces(text) if self.pieces and not any(s in text for s in self.special) else None
@@ -87,6 +87,9 @@ class Encoder:
                 out[k] = [self.cache[p] if ids is None else ids for p, ids in zip(pieces, out[k])]
         return [ids if isinstance(ids, bytes) else b"".join(ids) for ids in out]
 
+    def forget(self) -> None:
+        self.cache = {}
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from curbloop.llm.batches import mapped
+
 UNKNOWN = "und"
 BLOCK = 1 << 18  # characters hashed at a time
 
@@ -141,7 +143,7 @@ def fit(labelled: DataFrame, text="text", lang="lang", settings: Settings = Sett
     for label in labels:
         share = F.when(F.col("lang") == label, min(10**6, -(-settings.train_rows * 10**6 // sizes[label]))).otherwise(share)
     drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(10**6)) < share)
-    table = (drawn.mapInArrow(_counts(settings, labels), "label int, bucket int, n long")
+    table = (mapped(drawn, _counts(settings, labels), "label int, bucket int, n long")
              .groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow())
     n = np.zeros((buckets, len(labels)))
     n[table["bucket"].to_numpy(), table["label"].to_numpy()] = table["n"].to_numpy()
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, model: Model, text="text") -> DataFrame:
 
     rows = docs.select(*[F.col(c) for c in kept])
     schema = rows.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    return rows.mapInArrow(score, schema)
+    return mapped(rows, score, schema)
 
 
 def held_out(doc_id="doc_id", folds: int = 3, fold: int = 1) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from curbloop.llm.batches import mapped
 from curbloop.operators.layout import skew_join
 from curbloop.operators.scratch import stage
 
@@ -185,7 +186,7 @@ def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id",
                                                   pa.array(marks, pa.binary())], names=["doc_id", "node", "keys", "marks"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(draw, f"doc_id {id_type}, node long, keys array<long>, marks binary")
+    return mapped(rows, draw, f"doc_id {id_type}, node long, keys array<long>, marks binary")
 
 
 def _words_of(column):
@@ -267,7 +268,7 @@ def candidates(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.repartition(n, "group", "part").sortWithinPartitions("group", "part", "node")
-    found = dealt.select("group", "part", "node", "marks").mapInArrow(pair, "a long, b long")
+    found = mapped(dealt.select("group", "part", "node", "marks"), pair, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
@@ -286,7 +287,7 @@ def accepted(pairs: DataFrame, docs: DataFrame, settings: Settings = Settings(),
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([w.astype("<u4").tobytes() for w in _words_of(part.column(1))], pa.binary())],
                                                  names=["node", "words"])
 
-    words = texts.join(wanted, "node", "left_semi").mapInArrow(hashed, "node long, words binary")
+    words = mapped(texts.join(wanted, "node", "left_semi"), hashed, "node long, words binary")
     words = stage(words.groupBy("node").agg(F.first("words").alias("words")), "candidate-words")
     both = (pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
             .join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b"))
@@ -299,7 +300,7 @@ def accepted(pairs: DataFrame, docs: DataFrame, settings: Settings = Settings(),
             ok = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), settings.similarity) for x, y in zip(wa, wb)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stage(both.select("a", "b", "wa", "wb").mapInArrow(align, "a long, b long"), "similar-pairs")
+    return stage(mapped(both.select("a", "b", "wa", "wb"), align, "a long, b long"), "similar-pairs")
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

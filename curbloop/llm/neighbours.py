@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from curbloop.llm.batches import mapped
 from curbloop.operators.scratch import stage
 
 
@@ -137,7 +138,7 @@ def _best_of_sample(classes: DataFrame, queries, dim: int, k: int):
                 yield pa.RecordBatch.from_arrays([pa.array(r), pa.array((unit @ _unit(v).T)[r, c]), pa.array(ids[c]), batch.column(1).take(pa.array(c))],
                                                  names=["q", "score", "id", "vec"])
 
-    found = classes.select("id", "vec").mapInArrow(best, "q long, score double, id long, vec array<float>")
+    found = mapped(classes.select("id", "vec"), best, "q long, score double, id long, vec array<float>")
     return found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(f"r <= {k}").collect()
 
 
@@ -276,9 +277,9 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
         if kept:
             yield rows(_best_rows(kept, k + 1))
 
-    index = classes.select("id", "vec").mapInArrow(place, cell).withColumn("salt", F.lit(0))
-    asked = queries.mapInArrow(visit, cell).withColumn("salt", F.lit(0))
-    crowded = stage(classes.select("id", "vec").mapInArrow(place, cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    index = mapped(classes.select("id", "vec"), place, cell).withColumn("salt", F.lit(0))
+    asked = mapped(queries, visit, cell).withColumn("salt", F.lit(0))
+    crowded = stage(mapped(classes.select("id", "vec"), place, cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") > settings.hot_cell).select("cell", F.ceil(F.col("n") / settings.hot_cell).cast("int").alias("parts")), "cells")
     if crowded.limit(1).count():
         index = index.drop("salt").join(crowded, "cell", "left").withColumn(
@@ -288,4 +289,4 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
     both = index.unionByName(asked)
     n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt", "kind")
-    return dealt.mapInArrow(compare, "k1 long, k2 long, id long, score double")
+    return mapped(dealt, compare, "k1 long, k2 long, id long, score double")

@@ -10,6 +10,7 @@ those with a null id. ``cut`` reads the two named columns only; ``pack`` keeps a
 """
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from curbloop.llm.batches import mapped
 from curbloop.llm.tokens import encoder, public_path
 
 CAPACITY, END_ID = 1024, 0
@@ -39,7 +40,7 @@ def cut(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity
                     names=["doc_id", "start", "length", "doc_tokens", "ids"])
         encoder(path).forget()  # the worker may serve other stages next
 
-    return rows.mapInArrow(pieces, PIECES.format(id_type=rows.schema["doc_id"].dataType.simpleString()))
+    return mapped(rows, pieces, PIECES.format(id_type=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def fullest(counts: dict[int, int], seed: int, capacity: int) -> dict[int, int]:

@@ -16,6 +16,8 @@ import zlib
 
 from pyspark.sql import DataFrame, functions as F
 
+from curbloop.llm.batches import mapped
+
 #: Kinds in the order they are listed in; the first three are the base kinds.
 KINDS = ["assign", "access", "hex", "github", "npm", "jwt", "private_key"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -123,7 +125,7 @@ def find_secrets(docs: DataFrame, text="text", redact: str | None = None) -> Dat
             columns["secrets"] = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans], arrow)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(find, rows.withColumn("secrets", F.lit(None).cast(SPANS)).schema)
+    return mapped(rows, find, rows.withColumn("secrets", F.lit(None).cast(SPANS)).schema)
 
 
 def redacted(text: str, spans, mark: str) -> str:

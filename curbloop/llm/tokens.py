@@ -51,7 +51,7 @@ class Encoder:
     """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers, as the library's ``encode`` with
     ``add_special_tokens=False``. About ``max_cached`` pieces are kept; ``forget`` gives their memory back."""
 
-    def __init__(self, path: str, max_cached: int = 500_000):
+    def __init__(self, path: str, max_cached: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.cache, self.max_cached = Tokenizer.from_file(path), {}, max_cached

@@ -13,6 +13,7 @@ import struct
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from curbloop.llm.batches import mapped
 from curbloop.llm.files import CommittedFile, open_store
 from curbloop.llm.ranges import order_key, range_index, weighted_splitters
 from curbloop.llm.tokens import encoder, public_path
@@ -166,7 +167,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
 
     dealt = rows.withColumn("shard", range_index(key, splitters, "struct<k0:bigint,k1:int>")).select("shard", "doc_id", "text")
     dealt = dealt.repartitionById(len(splitters) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = dealt.mapInArrow(write, "shard int, path string, docs long, tokens long, bytes long")
+    manifest = mapped(dealt, write, "shard int, path string, docs long, tokens long, bytes long")
     return stage(manifest, "token-manifest")
 
 
@@ -193,4 +194,4 @@ def read_store(manifest: DataFrame, folder: str, batch_ids: int = 1 << 20) -> Da
                     k = last
 
     n = max(1, manifest.count())
-    return files.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return mapped(files.repartition(n), read, "doc_id long, start long, n_tokens long, ids binary")

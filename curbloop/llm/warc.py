@@ -15,6 +15,7 @@ import zlib
 
 from pyspark.sql import DataFrame, functions as F
 
+from curbloop.llm.batches import mapped
 from curbloop.llm.files import CommittedFile, open_store
 from curbloop.llm.ranges import order_key, range_index, weighted_splitters
 from curbloop.operators.layout import skew_join
@@ -128,7 +129,7 @@ def write_archive(pages: DataFrame, folder: str, page_id="page_id", url="url", p
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()),
                                                                  ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return stage(both.select("_id", "_url", "_payload", "_digest", "_first", "_link", "_shard").mapInArrow(write, MANIFEST), "warc-manifest")
+    return stage(mapped(both.select("_id", "_url", "_payload", "_digest", "_first", "_link", "_shard"), write, MANIFEST), "warc-manifest")
 
 
 def members(stream, chunk: int = 1 << 20):
@@ -188,4 +189,4 @@ def read_archive(manifest: DataFrame, folder: str, payloads: bool = True) -> Dat
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS)
+    return mapped(manifest.select("path").repartition(max(1, manifest.count())), read, RECORDS)

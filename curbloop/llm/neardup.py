@@ -1,8 +1,9 @@
 """Near-duplicate documents by order MinHash.
 
 Every sketch keeps, of one random order of all occurrence-labelled k-mers of words, the smallest few, in the order they have in
-the text. Texts that share such a key are candidates; each is compared with few others of its group, chosen by how many
-keys they share, so a group of any size gives as many pairs as it has members. A banded alignment of the words decides:
+the text. Texts that share such a key are candidates. First each is compared with few others of its group, chosen by how many
+keys they share; then, in rounds, groups that still hold several components are gone through until each pair of a group is in one
+component, or is ruled out by its word counts, or was aligned and refused. A banded alignment of the words decides:
 1 - edits / words of the longer text must reach ``similarity``. Classes are connected components of the accepted pairs.
 
 Defined results: equal texts are one class, empty ones too. A null text is a class of its own. Texts of fewer words than a k-mer
@@ -28,6 +29,11 @@ class Settings:
     hot: int = 20_000         # texts; larger groups are spread over several tasks
     small: int = 1_000_000    # candidates whose ids may be broadcast (8 bytes each)
     seed: int = 5
+    part: int = 4096          # members of a group that meet the members of another part in one task
+
+
+SHELLS = ((0, 8), (8, 64), (64, 512), (512, 1 << 62))  # ranks within a part that the rounds compare
+BUCKETS = 128  # of word counts, and of counts of pairs of words
 
 
 def word_hashes(text: str):
@@ -156,16 +162,29 @@ def edits_within(a: list, b: list, most: int) -> bool:
     return score <= most
 
 
+def allowed(longest, similarity: float):
+    """Edits that two texts may differ by."""
+    return ((1 - similarity) * longest + 1e-9) // 1
+
+
 def similar(a, b, similarity: float) -> bool:
     """Words of two texts, as arrays."""
-    longest = max(len(a), len(b))
-    most = int((1 - similarity) * longest + 1e-9)
+    most = int(allowed(max(len(a), len(b)), similarity))
     return abs(len(a) - len(b)) <= most and edits_within(a.tolist(), b.tolist(), most)
 
 
+def counts_of(words):
+    """Words by bucket, then pairs of neighbouring words by bucket, at most 255 each. An edit changes one word and two pairs, so texts
+    whose counts are further apart than their edits allow cannot be similar."""
+    import numpy as np
+    both = (words[:-1] * np.uint64(3) + words[1:]) * np.uint64(0x9E3779B97F4A7C15)
+    at = [(h >> np.uint64(40)).astype(np.int64) % BUCKETS for h in (words, both)]
+    return np.minimum(np.concatenate([np.bincount(x, minlength=BUCKETS) for x in at]), 255).astype(np.uint8)
+
+
 def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, node, keys, marks) of every row with a text: ``node`` is a hash of the text, ``marks`` one byte of each key. Texts
-    without words have no keys."""
+    """(doc_id, node, keys, marks, size, counts) of every row with a text: ``node`` is a hash of the text, ``marks`` one byte of each key,
+    ``size`` the number of words. Texts without words have no keys."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text")).filter("text is not null")
 
     def draw(batches):
@@ -174,8 +193,10 @@ def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id",
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                keys, offsets = [], [0]
+                keys, offsets, sizes, counts = [], [0], [], []
                 for words in _words_of(part.column(2)):
+                    sizes.append(len(words))
+                    counts.append(counts_of(words).tobytes())
                     if len(words):
                         keys.append(sketch(words, settings))
                     offsets.append(offsets[-1] + (settings.sketches if len(words) else 0))
@@ -183,10 +204,11 @@ def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id",
                 raw = (flat & 255).astype(np.uint8).tobytes()
                 marks = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-                                                  pa.array(marks, pa.binary())], names=["doc_id", "node", "keys", "marks"])
+                                                  pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary())],
+                                                 names=["doc_id", "node", "keys", "marks", "size", "counts"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows, draw, f"doc_id {id_type}, node long, keys array<long>, marks binary")
+    return mapped(rows, draw, f"doc_id {id_type}, node long, keys array<long>, marks binary, size int, counts binary")
 
 
 def _words_of(column):
@@ -321,14 +343,135 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def cross_pairs(side, label, size, counts, shell, settings: Settings):
+    """Index pairs of one block whose labels differ and whose counts do not rule them out, with the higher rank inside the shell. Sides 0
+    and 1 meet each other, side 2 meets itself."""
+    import numpy as np
+    low, high = shell
+    itself = side[0] == 2
+    left = np.flatnonzero(side != 1)[:high]
+    right = left if itself else np.flatnonzero(side == 1)[:high]
+    rank = np.arange(len(right))
+    for first in range(0, len(left), 64):
+        some = left[first:first + 64]
+        own = np.arange(first, first + len(some))[:, None]
+        longest = np.maximum(size[some][:, None], size[right])
+        open_ = (label[some][:, None] != label[right]) & (np.maximum(own, rank) >= low)
+        open_ &= np.abs(size[some][:, None] - size[right]) <= allowed(longest, settings.similarity)
+        if itself:
+            open_ &= rank > own
+        a, b = np.nonzero(open_)
+        for k in range(0, len(a), 20_000):
+            x, y = some[a[k:k + 20_000]], right[b[k:k + 20_000]]
+            apart = counts[x].astype(np.int16) - counts[y]
+            more = np.maximum(apart, 0).reshape(len(x), 2, BUCKETS).sum(2)
+            less = np.maximum(-apart, 0).reshape(len(x), 2, BUCKETS).sum(2)
+            most = allowed(np.maximum(size[x], size[y]), settings.similarity)
+            ok = (np.maximum(more, less) <= most[:, None] * np.array([1, 2])).all(1)
+            if ok.any():
+                yield x[ok], y[ok]
+
+
+def open_members(members: DataFrame, settings: Settings) -> DataFrame:
+    """Of rows (group, node, label), those of groups with several labels, with the most frequent label of the group (``main``) and the
+    number of rows that have it and that do not."""
+    sizes = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    several = stage(several.filter("n > n_main").withColumn("copies", F.ceil(F.col("n") / settings.hot).cast("int")), "open-groups")
+    hot = several.filter("copies > 1").select("group", "copies")
+    known = members.withColumn("salt", F.lit(0))
+    if hot.limit(1).count():
+        known = (members.join(F.broadcast(hot), "group", "left")
+                 .withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies"))
+    spread = several.select("group", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_rest"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    return known.join(spread, ["group", "salt"]).drop("salt")
+
+
+def blocks(members: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of ``open_members`` dealt to blocks of bounded size in which every two of different labels meet: a part of the main label with a
+    part of the rest, and two parts of the rest."""
+    parts = members.withColumns({"p": F.greatest(F.lit(1), F.ceil(F.col("n_main") / settings.part)).cast("int"),
+                                 "q": F.ceil(F.col("n_rest") / settings.part).cast("int")})
+    at = F.expr("cast(pmod(xxhash64(node, group), if(label = main, p, q)) as int)")
+    return parts.withColumn("at", at).selectExpr("node", "label", "group", """explode(if(label = main,
+        transform(sequence(0, q - 1), b -> named_struct('kind', 0, 'a', at, 'b', b, 'side', 0)),
+        concat(transform(sequence(0, p - 1), a -> named_struct('kind', 0, 'a', a, 'b', at, 'side', 1)),
+               transform(sequence(0, q - 1), b -> named_struct('kind', 1, 'a', least(at, b), 'b', greatest(at, b),
+                                                               'side', if(at = b, 2, if(at < b, 0, 1))))))) AS d""").selectExpr(
+        "xxhash64(group, d.kind, d.a, d.b) AS block", "d.side", "node", "label")
+
+
+def further(members: DataFrame, nodes: DataFrame, shell, settings: Settings = Settings()) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of one group with different labels that a round compares."""
+    rows = blocks(members, settings).join(nodes.select("node", "size", "counts"), "node")
+
+    def pair(batches):
+        import numpy as np
+        import pyarrow as pa
+        held, name = [], None
+
+        def pairs():
+            side, node, label, size = (np.concatenate([h[k] for h in held]) for k in range(4))
+            counts = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(len(side), 2 * BUCKETS)
+            for x, y in cross_pairs(side, label, size, counts, shell, settings):
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            block, side, node, label, size = (batch.column(k).to_numpy() for k in range(5))
+            counts = batch.column(5).to_pylist()
+            cuts = np.append(np.flatnonzero(np.diff(block)) + 1, len(batch))
+            for x, y in zip(np.append(0, cuts[:-1]), cuts):
+                if held and name != block[x]:
+                    yield from pairs()
+                    held = []
+                name = block[x]
+                held.append((side[x:y], node[x:y], label[x:y], size[x:y], b"".join(counts[x:y])))
+        if held:
+            yield from pairs()
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "block").sortWithinPartitions("block", F.xxhash64("node", "block"))
+    found = mapped(dealt.select("block", "side", "node", "label", "size", "counts"), pair, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def connected(nodes: DataFrame, docs: DataFrame, settings: Settings = Settings(), text="text") -> DataFrame:
+    """(node, label) of the nodes that are similar to another one."""
+    pairs = stage(candidates(nodes.filter("size(keys) > 0"), settings), "candidate-pairs")
+    edges = accepted(pairs, docs, settings, text)
+    labels = components(edges)
+
+    def labelled(rows):
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    keyed = labelled(nodes.select("node", "keys")).select("node", "label", F.posexplode("keys").alias("s", "key"))
+    keyed = keyed.select("node", "label", F.xxhash64("s", "key").alias("group"))
+    members = stage(open_members(keyed, settings).select("group", "node"), "open-members")
+    for shell in SHELLS:
+        left = stage(open_members(labelled(members), settings), "unlinked")
+        if not left.limit(1).count():
+            break
+        new = stage(further(left, nodes, shell, settings).join(pairs, ["a", "b"], "left_anti"), "further-pairs")
+        if new.limit(1).count():
+            pairs = pairs.union(new)
+            linked = accepted(new, docs, settings, text)
+            if linked.limit(1).count():
+                edges = edges.union(linked)
+                labels = components(edges)
+        if not left.filter((F.col("n_main") > shell[1]) | (F.col("n_rest") > shell[1])).limit(1).count():
+            break  # no rank is left
+    return labels
+
+
 def classes(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id", text="text") -> DataFrame:
     """One row per document: (doc_id, class_id, class_size, text_hash)."""
     rows = stage(sketches(docs, settings, doc_id, text), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"),
-                                     F.first("marks").alias("marks"))
+                                     F.first("marks").alias("marks"), F.first("size").alias("size"), F.first("counts").alias("counts"))
     nodes = stage(nodes, "nodes")
-    pairs = stage(candidates(nodes.filter("size(keys) > 0"), settings), "candidate-pairs")
-    labels = components(accepted(pairs, docs, settings, text))
+    labels = connected(nodes, docs, settings, text)
     own = nodes.select("node", "first_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     found = own.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     of = stage(own.select("node", "label").join(found, "label").select("node", "class_id", "class_size"), "classes")

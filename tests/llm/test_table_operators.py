@@ -260,6 +260,22 @@ def test_classes_equal_brute_force(spark, settings):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+@pytest.mark.parametrize("settings", [neardup.Settings(), neardup.Settings(hot=50, part=16, small=0)])
+def test_texts_with_a_long_common_passage(spark, settings):
+    """Most pairs of a group are just too far apart, the group's first one included."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(78)]
+    texts = {k: passage + [f"v{rng.randint(0, 60)}" for _ in range(22)] for k in range(150)}
+    near = {(a, b) for a in texts for b in range(a) if neardup.edits_within(texts[a], texts[b], 20)}
+    label = {k: k for k in texts}
+    for _ in texts:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(near) < 150 * 149 / 4 and len(set(label.values())) < 30
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(rows, settings).collect()} == label
+
+
 def test_classes_of_odd_rows(spark, clashing, empty):
     rows = [tuple(r) for r in neardup.classes(clashing).select("doc_id", "class_id", "class_size").collect()]
     assert len(rows) == len(ODD)

@@ -2,7 +2,8 @@
 
 Every sketch keeps, of one random order of all occurrence-labelled k-mers of words, the smallest few, in the order they have in
 the text. Texts that share such a key are candidates. First each is compared with few others of its group, chosen by how many
-keys they share; then, in rounds, groups that still hold several components are gone through until each pair of a group is in one
+keys they share. Then all share further keys: sketches of a single, shorter k-mer, and for texts of few words all that is left
+of them without one or two words, so that no similar pair of those is missed. In rounds, groups that still hold several components are gone through until each pair of a group is in one
 component, or is ruled out by its word counts, or was aligned and refused. A banded alignment of the words decides:
 1 - edits / words of the longer text must reach ``similarity``. Classes are connected components of the accepted pairs.
 
@@ -10,7 +11,8 @@ Defined results: equal texts are one class, empty ones too. A null text is a cla
 have one k-mer, all their words. The class id is the smallest document id of the class (null if all are null). Repeated
 ids are several documents. Only the two named columns are read.
 """
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,6 +32,8 @@ class Settings:
     small: int = 1_000_000    # candidates whose ids may be broadcast (8 bytes each)
     seed: int = 5
     part: int = 4096          # members of a group that meet the members of another part in one task
+    exact: int = 14           # words; pairs of texts up to this long are found for certain if at most two edits are allowed
+    short: int = 80           # words; pairs of texts up to this long are looked for by k-mers of 3 words, longer ones by 4
 
 
 SHELLS = ((0, 8), (8, 64), (64, 512), (512, 1 << 62))  # ranks within a part that the rounds compare
@@ -115,6 +119,36 @@ def sketch(words, settings: Settings):
     return key.view(np.int64)
 
 
+def loose_keys(words, settings: Settings):
+    """Further keys of one text: a pair whose edits are scattered shares some of these although it may share no key of ``sketch``."""
+    import numpy as np
+    n, keys = len(words), []
+    if n <= settings.exact:
+        longest = int(n / settings.similarity + 1e-9)  # of a partner
+        for drop in range(min(2, int(allowed(longest, settings.similarity)), n - 1) + 1):
+            h = np.full(1, 0x9E3779B97F4A7C15 * (n - drop) & (2**64 - 1), np.uint64)
+            for column in words[_without(n, drop)].T:
+                h = (h ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(31)
+            keys.append(np.unique(h).view(np.int64))
+    if n > settings.exact * settings.similarity:
+        for k, wanted in ((3, n <= settings.short), (4, n > settings.short * settings.similarity)):
+            if wanted:
+                of = np.arange(settings.sketches, dtype=np.uint64) + np.uint64(1000 * k)
+                keys.append(sketch(words, replace(settings, words=k, kept=1)) ^ (of * np.uint64(0x94D049BB133111EB)).view(np.int64))
+    return np.concatenate(keys)
+
+
+@functools.cache
+def _without(n: int, drop: int):
+    """Places of the words that stay when ``drop`` of n are left out, in every way."""
+    import itertools
+
+    import numpy as np
+    return np.array(list(itertools.combinations(range(n), n - drop)))
+
+
+@functools.cache
 def _orders(settings: Settings):
     import numpy as np
     rng = np.random.default_rng(settings.seed)
@@ -183,8 +217,8 @@ def counts_of(words):
 
 
 def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, node, keys, marks, size, counts) of every row with a text: ``node`` is a hash of the text, ``marks`` one byte of each key,
-    ``size`` the number of words. Texts without words have no keys."""
+    """(doc_id, node, keys, marks, size, counts, loose) of every row with a text: ``node`` is a hash of the text, ``marks`` one byte of each
+    key, ``size`` the number of words, ``loose`` the further keys. Texts without words have no keys."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text")).filter("text is not null")
 
     def draw(batches):
@@ -193,10 +227,11 @@ def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id",
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                keys, offsets, sizes, counts = [], [0], [], []
+                keys, offsets, sizes, counts, loose = [], [0], [], [], []
                 for words in _words_of(part.column(2)):
                     sizes.append(len(words))
                     counts.append(counts_of(words).tobytes())
+                    loose.append(loose_keys(words, settings) if len(words) else np.zeros(0, np.int64))
                     if len(words):
                         keys.append(sketch(words, settings))
                     offsets.append(offsets[-1] + (settings.sketches if len(words) else 0))
@@ -204,11 +239,12 @@ def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id",
                 raw = (flat & 255).astype(np.uint8).tobytes()
                 marks = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-                                                  pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary())],
-                                                 names=["doc_id", "node", "keys", "marks", "size", "counts"])
+                                                  pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()),
+                                                  pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, loose)]), pa.int32()), pa.array(np.concatenate(loose)))],
+                                                 names=["doc_id", "node", "keys", "marks", "size", "counts", "loose"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows, draw, f"doc_id {id_type}, node long, keys array<long>, marks binary, size int, counts binary")
+    return mapped(rows, draw, f"doc_id {id_type}, node long, keys array<long>, marks binary, size int, counts binary, loose array<long>")
 
 
 def _words_of(column):
@@ -446,8 +482,8 @@ def connected(nodes: DataFrame, docs: DataFrame, settings: Settings = Settings()
     def labelled(rows):
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    keyed = labelled(nodes.select("node", "keys")).select("node", "label", F.posexplode("keys").alias("s", "key"))
-    keyed = keyed.select("node", "label", F.xxhash64("s", "key").alias("group"))
+    keys = F.concat(F.transform("keys", lambda key, s: F.xxhash64(s, key)), "loose")
+    keyed = labelled(nodes.select("node", "keys", "loose")).select("node", "label", F.explode(keys).alias("group"))
     members = stage(open_members(keyed, settings).select("group", "node"), "open-members")
     for shell in SHELLS:
         left = stage(open_members(labelled(members), settings), "unlinked")
@@ -469,7 +505,8 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id", t
     """One row per document: (doc_id, class_id, class_size, text_hash)."""
     rows = stage(sketches(docs, settings, doc_id, text), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"),
-                                     F.first("marks").alias("marks"), F.first("size").alias("size"), F.first("counts").alias("counts"))
+                                     F.first("marks").alias("marks"), F.first("size").alias("size"), F.first("counts").alias("counts"),
+                                     F.first("loose").alias("loose"))
     nodes = stage(nodes, "nodes")
     labels = connected(nodes, docs, settings, text)
     own = nodes.select("node", "first_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

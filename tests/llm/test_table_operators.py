@@ -276,6 +276,26 @@ def test_texts_with_a_long_common_passage(spark, settings):
     assert {r.doc_id: r.class_id for r in neardup.classes(rows, settings).collect()} == label
 
 
+def test_scattered_edits_are_found(spark):
+    """All pairs of few words, with edits of every kind, and nearly all of longer ones down to a similarity of 0.8."""
+    rng = random.Random(12)
+    rows, few, longer = [], [], []
+    for n in [*range(5, 15)] * 6 + [15, 20, 30, 50, 79, 81, 100, 300] * 12:
+        words = [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+        allowed = int(0.2 * n + 1e-9)
+        other = near_copy(rng, words, allowed)
+        if n < 15 and rng.random() < 0.5:  # the copy is shorter
+            other = near_copy(rng, words, allowed - 1)
+            del other[rng.randrange(n)]
+        (few if n < 15 else longer).append(len(rows))
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    rows += [(len(rows) + k, t) for k, t in enumerate(["a b c d e", "a b X d e", "k l m n", "k l Y n"])]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k + 1] == k for k in few) and got[len(rows) - 3] == len(rows) - 4 and got[len(rows) - 1] == len(rows) - 1
+    assert sum(got[k + 1] == k for k in longer) >= 0.97 * len(longer)
+    assert all(got[k] == k for k in [*few, *longer])
+
+
 def test_classes_of_odd_rows(spark, clashing, empty):
     rows = [tuple(r) for r in neardup.classes(clashing).select("doc_id", "class_id", "class_size").collect()]
     assert len(rows) == len(ODD)

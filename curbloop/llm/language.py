@@ -4,11 +4,12 @@ Defined results: a null text or one without a letter is ``und`` with score 0; so
 Rows with a null label, a null text or no letter teach nothing. Equal rows get equal answers, ties go to the first label
 in alphabetical order, other columns of the input are kept and never read; clashing names are replaced.
 """
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbloop.llm.batches import mapped
+from curbloop.operators.scratch import stage
 
 UNKNOWN = "und"
 BLOCK = 1 << 18  # characters hashed at a time
@@ -19,8 +20,7 @@ class Settings:
     orders: tuple = (1, 2, 3)
     buckets: int = 1 << 16
     smoothing: float = 0.5
-    train_rows: int = 4000     # labelled rows per language that the model is fitted on, about
-    max_labels: int = 256      # the most frequent labels are learned
+    train_rows: int = 4000     # different labelled texts per language that the model is fitted on, about
     matrix_bytes: int = 64 << 20
 
 
@@ -126,23 +126,23 @@ def _counts(settings: Settings, labels: list):
 
 
 def fit(labelled: DataFrame, text="text", lang="lang", settings: Settings = Settings()) -> Model:
-    """Learn from (text, lang). About ``train_rows`` rows per language are drawn by a hash of the text; the result is bounded by
-    ``matrix_bytes`` (fewer buckets for very many labels)."""
+    """Learn from (text, lang). About ``train_rows`` different texts per language are drawn by a hash of the text, each counted once; every
+    label with a usable text is learned. The result is bounded by ``matrix_bytes`` (fewer buckets for very many labels)."""
     import numpy as np
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.max_labels).collect()
-    sizes = {r["lang"]: r["n"] for r in sizes}
-    labels = sorted(sizes)
+    rows = rows.filter(F.col("text").rlike(r"[\p{L}\p{Cn}]")).withColumn("hash", F.xxhash64("text"))  # letters, also those newer than Java's tables
+    sizes = stage(rows.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")), "label-sizes")
+    rows_of = {r["lang"]: r["n"] for r in sizes.select("lang", "n").collect()}
+    labels = sorted(rows_of)
     if not labels:
         return Model([], np.zeros((settings.buckets, 0), np.float32), np.zeros(0), settings)
     buckets = settings.buckets
-    while buckets * len(labels) * 4 > settings.matrix_bytes and buckets > 1024:
+    while buckets * len(labels) * 4 > settings.matrix_bytes and buckets > 1:
         buckets //= 2
-    settings = Settings(settings.orders, buckets, settings.smoothing, settings.train_rows, settings.max_labels, settings.matrix_bytes)
-    share = F.lit(0)
-    for label in labels:
-        share = F.when(F.col("lang") == label, min(10**6, -(-settings.train_rows * 10**6 // sizes[label]))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(10**6)) < share)
+    settings = replace(settings, buckets=buckets)
+    share = F.ceil(F.lit(settings.train_rows * 10**6) / F.col("texts"))
+    drawn = (rows.join(F.broadcast(sizes.select("lang", "texts")), "lang").filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(10**6)) < share)
+             .groupBy("lang", "hash").agg(F.first("text").alias("text")).select("text", "lang"))
     table = (mapped(drawn, _counts(settings, labels), "label int, bucket int, n long")
              .groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow())
     n = np.zeros((buckets, len(labels)))
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, text="text", lang="lang", settings: Settings = Sett
     taught = n.sum(0) > 0
     labels, n = [label for label, t in zip(labels, taught) if t], n[:, taught]
     weights = np.log(n + settings.smoothing) - np.log(n.sum(0) + settings.smoothing * buckets)
-    rows_per = np.array([sizes[label] for label in labels], float)
+    rows_per = np.array([rows_of[label] for label in labels], float)
     return Model(labels, weights.astype(np.float32), np.log(rows_per / rows_per.sum()) if len(labels) else rows_per, settings)
 
 

@@ -3,6 +3,8 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
+from pyspark.sql import functions as F
 
 from curbloop.llm import language, quality, queries, secret_scan
 from tests.llm.conftest import ODD
@@ -36,6 +38,20 @@ def test_language_sums_do_not_depend_on_blocks(monkeypatch):
     assert whole[1][1] == 1 and whole[1][3] == 11 + 10 + 9
 
 
+def test_language_with_one_text_in_most_rows(spark):
+    """Copies of a text do not keep the others of its label from being learned, and rare labels stay."""
+    few = [(f"zug{i} haus{i} garten{i}", "de") for i in range(60)] + [(f"the{i} cat{i} house{i}", "en") for i in range(60)]
+    rows = spark.createDataFrame(few + [("12 !!", "fr")] * 500 + [("le chat", "fr")], "text string, lang string")
+    copies = spark.range(200_000).select(F.lit("immer gleich").alias("text"), F.lit("de").alias("lang"))
+    others = spark.range(300).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"))
+    settings = language.Settings(buckets=1 << 10, train_rows=40)
+    model = language.fit(rows.unionByName(copies).unionByName(others), settings=settings)
+    assert len(model.labels) == 303 and {"de", "en", "fr"} <= set(model.labels)
+    two = language.fit(rows.filter("lang <> 'fr'").unionByName(copies), settings=settings)
+    grams = {label: (np.exp(two.weights[:, k]) > np.exp(two.weights[:, k]).min() * 1.5).sum() for k, label in enumerate(two.labels)}
+    assert grams["de"] > 100  # many different texts, not two
+
+
 def test_language_held_out_accuracy(spark):
     out = queries.op1_language_id(spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")

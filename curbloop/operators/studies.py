@@ -47,7 +47,8 @@ def meter_points(meters: DataFrame) -> DataFrame:
 def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) -> DataFrame:
     """sfpark_id of the block that holds the middle 60 percent of a street; blocks in ``wrong_blocks`` do not count.
 
-    ``blocks`` are convex boundary rows (block_id, ring, seq, x1 .. y2); a line is in a convex block when its vertices are.
+    ``blocks`` are boundary rows (block_id, ring, seq, x1 .. y2) of any shape. A line is in a block when its vertices are and, between
+    any two places where it meets the boundary, its middle is.
     """
     segments = street_segments(streets.select("id", "geom_way"))
     middle = cut_segments(segments, "0.2D", "0.8D")
@@ -55,14 +56,32 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) ->
         F.struct(F.lit(0).alias("at"), F.col("x1").alias("x"), F.col("y1").alias("y")),
         F.struct(F.lit(1).alias("at"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
     ends = ends.select("id", "seq", "p.at", "p.x", "p.y")
-    inside = (inside_polygons(ends, blocks.filter(~F.col("block_id").isin(list(wrong_blocks))), "block_id", ["id", "seq", "at"], size=100)
+    blocks = blocks.filter(~F.col("block_id").isin(list(wrong_blocks)))
+    inside = (inside_polygons(ends, blocks, "block_id", ["id", "seq", "at"], size=100)
               .groupBy("id", "block_id").agg(F.count(F.lit(1)).alias("n_in")))
     whole = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_ends"))
-    found = (inside.join(whole, "id").filter("n_in = n_ends").groupBy("id").agg(F.min("block_id").alias("block_id"))
+    holding = inside.join(whole, "id").filter("n_in = n_ends").select("id", "block_id")
+    between = _middles_between_sides(middle, blocks, holding)
+    left = (between.join(inside_polygons(between, blocks, "block_id", ["id", "seq", "k", "target"], size=100).filter("target = block_id").drop("block_id"),
+                         ["id", "seq", "k", "target"], "left_anti").select("id", F.col("target").alias("block_id")).distinct())
+    found = (holding.join(left, ["id", "block_id"], "left_anti").groupBy("id").agg(F.min("block_id").alias("block_id"))
              .select("id", F.lpad(F.col("block_id").cast("bigint").cast("string"), 5, "0").alias("sfpark_id")))
     return streets.join(found, "id", "left")
 
 
+def _middles_between_sides(segments: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For pairs (id, block_id): the middles (id, seq, k, target, x, y) of the pieces into which the sides of the block cut a segment. A side
+    that lies along the segment needs no cut, its neighbours cut there."""
+    sides = blocks.selectExpr("block_id", "x1 AS bx", "y1 AS by", "x2 - x1 AS sx", "y2 - y1 AS sy")
+    met = (pairs.join(segments.selectExpr("id", "seq", "x1", "y1", "x2 - x1 AS rx", "y2 - y1 AS ry"), "id").join(sides, "block_id")
+           .withColumn("d", F.expr("nullif(rx * sy - ry * sx, 0D)"))
+           .withColumns({"t": F.expr("((bx - x1) * sy - (by - y1) * sx) / d"), "u": F.expr("((bx - x1) * ry - (by - y1) * rx) / d")}))
+    cuts = met.groupBy("id", "seq", "block_id", "x1", "y1", "rx", "ry").agg(
+        F.expr("array_sort(array_union(array(0D, 1D), collect_set(if(t > 0 AND t < 1 AND u BETWEEN -1e-9 AND 1 + 1e-9, t, NULL)))) AS ts"))
+    return (cuts.selectExpr("*", "posexplode(transform(sequence(1, size(ts) - 1), k -> (ts[k - 1] + ts[k]) / 2)) AS (k, mid)")
+            .selectExpr("id", "seq", "k", "block_id AS target", "x1 + mid * rx AS x", "y1 + mid * ry AS y"))
+
+
 def streets_near_layer(streets: DataFrame, layer: DataFrame, grow: float) -> DataFrame:
     """Streets whose box overlaps the box of a layer grown by some metres."""
     return streets.filter(box_meets_line(segments_extent(layer, grow), "geom_way"))

@@ -203,3 +203,17 @@ def test_repeated_streets(spark):
     visits = spark.createDataFrame([(1, i, e) for i, e in enumerate([5, 6, 5, 7, 5, 7])], "trip_id long, seq int, edge_id long")
     got = matching.edge_summary(visits).first()
     assert (got.ids_repeat, got.edge_id_start, got.edge_id_end) == (5, 5, 7)
+
+
+def test_street_through_the_notch_of_a_block(spark):
+    """A street between the arms of a U-shaped block is not in it; one along its base or on its inner side is."""
+    from curbloop.operators import studies
+    corners = [(0, 0), (100, 0), (100, 60), (70, 60), (70, 20), (30, 20), (30, 60), (0, 60), (0, 0)]
+    sides = [(7, 0, k, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for k, (a, b) in enumerate(zip(corners, corners[1:]))]
+    blocks = spark.createDataFrame(sides, "block_id long, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+    lines = {1: [(0, 40), (100, 40)], 2: [(0, 10), (100, 10)], 3: [(20, 20), (80, 20)], 4: [(30 - 40 / 3, 50), (70 + 40 / 3, 50)],
+             5: [(10, 50), (10, 10), (90, 10), (90, 50)]}
+    streets = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in line]) for k, line in lines.items()],
+                                    "id long, geom_way array<struct<x: double, y: double>>")
+    got = {r.id: r.sfpark_id for r in studies.street_block_ids(streets, blocks).collect()}
+    assert got == {1: None, 2: "00007", 3: "00007", 4: None, 5: "00007"}

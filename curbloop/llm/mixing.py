@@ -48,16 +48,21 @@ def share_out(children: DataFrame, parent: list, budget="budget", cap="cap", wei
 def budgets(leaves: DataFrame, weights: DataFrame, total: int, max_epochs: int, default_weight: int = 1) -> DataFrame:
     """``leaves``: (domain, lang, source, tokens, docs). ``weights``: (domain, lang, source, weight), null below the level that a weight is
     for. Returns the leaves with ``budget`` in tokens."""
+    def weighted(rows, level):
+        """Rows with the weight of their node of a level, without those of weight 0."""
+        own = weights.filter(f"{level[-1]} is not null" + "".join(f" and {c} is null" for c in LEVELS[len(level):]))
+        own = own.select(*[F.col(c).alias(f"_{c}") for c in level], "weight")
+        return rows.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in level], "left").select(
+            *rows.columns, F.coalesce(F.col("weight"), F.lit(default_weight)).cast("long").alias("weight")).filter("weight > 0")
+
     nodes = leaves.filter("tokens > 0").withColumn("cap", F.col("tokens") * max_epochs)
+    for depth in range(1, len(LEVELS) + 1):  # nobody is offered what lies below a weight of 0
+        nodes = weighted(nodes, list(LEVELS[:depth])).drop("weight")
     offered = nodes.agg(F.coalesce(F.least(F.lit(total), F.sum("cap")), F.lit(0)).cast("long").alias("budget"))
     parents, above = offered, []
     for depth in range(1, len(LEVELS) + 1):
         level = list(LEVELS[:depth])
-        weight = weights.filter(f"{LEVELS[depth - 1]} is not null" + "".join(f" and {c} is null" for c in LEVELS[depth:]))
-        weight = weight.select(*[F.col(c).alias(f"_{c}") for c in level], "weight")
-        children = nodes.groupBy(*level).agg(F.sum("cap").alias("cap"))
-        named = children.join(weight, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in level], "left").select(
-            *level, "cap", F.coalesce(F.col("weight"), F.lit(default_weight)).cast("long").alias("weight")).filter("weight > 0")
+        named = weighted(nodes.groupBy(*level).agg(F.sum("cap").alias("cap")), level)
         if above:
             named = named.join(parents, [named[c].eqNullSafe(parents[f"_{c}"]) for c in above]).drop(*[f"_{c}" for c in above])
         else:

@@ -312,3 +312,12 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(1000, 900)], "a long, b long")
     labels = {r.node: r.label for r in neardup.components(edges).collect()}
     assert {labels[i] for i in range(201)} == {0} and labels[1000] == 900
+
+
+def test_budgets_leave_out_what_lies_below_a_weight_of_zero(spark):
+    leaves = spark.createDataFrame([("a", "en", "s", 1000, 1), ("a", "de", "s", 100, 1), ("b", "en", "s", 1000, 1), ("b", None, "s", 50, 1)],
+                                   "domain string, lang string, source string, tokens long, docs long")
+    weights = spark.createDataFrame([("a", "en", "s", 0), ("a", None, None, 1), ("b", None, None, 1)],
+                                    "domain string, lang string, source string, weight long")
+    got = {(r.domain, r.lang): r.budget for r in mixing.budgets(leaves, weights, 1000, 1).collect()}
+    assert got == {("a", "en"): 0, ("a", "de"): 100, ("b", "en"): 850, ("b", None): 50}

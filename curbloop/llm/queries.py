@@ -1,7 +1,7 @@
 """One query per operator over its whole table, and the DuckDB SQL of those that SQL can express."""
 from pyspark.sql import functions as F
 
-from curbloop.llm import language, mixing, neardup, neighbours, packing, quality, secret_scan, sharding, tokenstore, warc
+from curbloop.llm import bestfit, divergence, language, mixing, neardup, neighbours, packing, quality, secret_scan, sharding, tokenstore, warc, whitening
 from curbloop.operators.scratch import new_path, stage
 
 
@@ -93,6 +93,21 @@ def op10_secrets(spark, sf_dir):
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("secrets")).alias("spans"))
 
+
+def op11_best_fit(spark, sf_dir):
+    pieces = stage(bestfit.cut(_table(spark, sf_dir, "documents")), "pieces")
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return bestfit.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 QUALITY_SQL = rf"""
@@ -165,6 +180,27 @@ k AS (SELECT *, whole + CASE WHEN tokens > 0 AND upto <= rest THEN 1 ELSE 0 END
 SELECT doc_id, domain, lang, source, tokens, unnest(range(0, copies)) AS epoch FROM k WHERE copies > 0"""
 
 
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN size USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v)::HUGEINT AS p,
+             1 + ({divergence.SCALE}::HUGEINT * (kept.n + 1)) // (size.total + size.v)::HUGEINT AS q
+      FROM g JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+          UNION ALL SELECT a.lang, a.source, b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0),
+found AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+         UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_packing, op4_warc, op5_sharding, op6_neighbours, op7_mixing,
-                                   op8_token_store, op9_near_dedup, op10_secrets)}
-SQL = {"op2_quality_rules": QUALITY_SQL, "op4_warc": WARC_SQL, "op7_mixing": _mix_sql()}
+                                   op8_token_store, op9_near_dedup, op10_secrets, op11_best_fit, op12_whitening, op13_source_divergence)}
+SQL = {"op2_quality_rules": QUALITY_SQL, "op4_warc": WARC_SQL, "op7_mixing": _mix_sql(), "op13_source_divergence": DIVERGENCE_SQL}

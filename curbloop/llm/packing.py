@@ -38,7 +38,6 @@ def cut(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity
                     pa.array([n for _, _, n in at], pa.int64()),
                     pa.array([ids[k][4 * s:4 * (s + capacity)] for k, s, _ in at], pa.binary())],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"])
-        encoder(path).forget()  # the worker may serve other stages next
 
     return mapped(rows, pieces, PIECES.format(id_type=rows.schema["doc_id"].dataType.simpleString()))
 

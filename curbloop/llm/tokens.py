@@ -47,75 +47,69 @@ def word_pieces(text: str) -> list[str]:
     return [p for p in STOP.sub(" \\g<0>", text).replace("\n", " ").split(" ") if p]
 
 
+class Learned(dict):
+    """Ids of pieces. A piece that is not there is encoded when it is asked for. When half of ``max_kept`` pieces are held, they
+    become the older half, from which those that are asked for again come back; the older half before it goes. Long pieces are not
+    kept, so the memory is bounded by the number of pieces."""
+
+    LONGEST = 48  # characters of a kept piece
+
+    def __init__(self, tokenizer, piece_text, lower: bool, max_kept: int):
+        self.tokenizer, self.tokenize, self.piece_text, self.lower = tokenizer, tokenizer.model.tokenize, piece_text, lower
+        self.older, self.half = {}, max(1, max_kept // 2)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            text = self.piece_text(piece)
+            if WORD(text):  # one pre-token: straight to the merges
+                word = (text.lower() if self.lower else text).encode().decode("latin-1").translate(BYTE_ALPHABET)
+                ids = array("I", [t.id for t in self.tokenize(word)]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers, as the library's ``encode`` with
-    ``add_special_tokens=False``. About ``max_cached`` pieces are kept; ``forget`` gives their memory back."""
+    ``add_special_tokens=False``. Up to ``max_cached`` pieces (some 250 bytes each) stay from call to call and from task to task."""
 
-    def __init__(self, path: str, max_cached: int = 250_000):
+    def __init__(self, path: str, max_cached: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.cache, self.max_cached = Tokenizer.from_file(path), {}, max_cached
+        self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         kind = type(self.tokenizer.pre_tokenizer).__name__
         whole_words = self.tokenizer.model.end_of_word_suffix == "</w>"
         self.special = {t.content: i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
-        if len(self.special) < len(added) or not added:
-            self.pieces = self.piece_text = None
-        elif kind == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space:
-            self.pieces, self.piece_text = byte_pieces, byte_piece_text
-        elif kind == "Sequence" and whole_words:
-            self.pieces, self.piece_text = word_pieces, str
-        else:
-            self.pieces = self.piece_text = None
+        self.pieces = piece_text = None
+        if len(self.special) == len(added) and added:
+            if kind == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space:
+                self.pieces, piece_text = byte_pieces, byte_piece_text
+            elif kind == "Sequence" and whole_words:
+                self.pieces, piece_text = word_pieces, str
+        self.cache = Learned(self.tokenizer, piece_text, self.pieces is word_pieces, max_cached)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.max_cached:
-            self.forget()
-        out, waiting = [], []
-        for k, text in enumerate(texts):
-            pieces = self.pieces(text) if self.pieces and not any(s in text for s in self.special) else None
-            if pieces is None:
-                out.append(self._whole(text))
-                continue
-            found = list(map(self.cache.get, pieces))
-            out.append(found)
-            if None in found:
-                waiting.append((k, pieces))
-        if waiting:
-            self._learn(list({p for k, pieces in waiting for p, ids in zip(pieces, out[k]) if ids is None}))
-            for k, pieces in waiting:
-                out[k] = [self.cache[p] if ids is None else ids for p, ids in zip(pieces, out[k])]
-        return [ids if isinstance(ids, bytes) else b"".join(ids) for ids in out]
-
-    def forget(self) -> None:
-        self.cache = {}
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Words go to the merges one by one, other pieces by many in one call with a special token between them."""
-        import numpy as np
-        mark, mark_id = next(iter(self.special.items()))
-        texts, tokenize, lower = [], self.tokenizer.model.tokenize, self.pieces is word_pieces
-        rest = []
-        for piece in new:
-            text = self.piece_text(piece)
-            if WORD(text):  # one pre-token: straight to the merges
-                word = (text.lower() if lower else text).encode().decode("latin-1").translate(BYTE_ALPHABET)
-                self.cache[piece] = array("I", [t.id for t in tokenize(word)]).tobytes()
-            else:
-                rest.append(piece)
-                texts.append(text)
-        new = rest
-        for first in range(0, len(new), 200):
-            joined = mark.join(texts[first:first + 200])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == mark_id), len(ids))
-            raw, at = ids.tobytes(), 0
-            for piece, end in zip(new[first:first + 200], ends.tolist(), strict=True):
-                self.cache[piece] = raw[4 * at:4 * end]
-                at = end + 1
+        import gc
+        collects = gc.isenabled()
+        gc.disable()  # lists of many pieces live shortly and hold no cycles
+        try:
+            return [self._encode(text) for text in texts]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, text: str) -> bytes:
+        pieces = self.pieces(text) if self.pieces and not any(s in text for s in self.special) else None
+        if pieces is None:
+            return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return b"".join(map(self.cache.__getitem__, pieces))
 
 
 @functools.lru_cache(maxsize=1)

@@ -161,7 +161,6 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
                     writer.add(d, np.append(np.frombuffer(raw, "<u4"), end))
         if writer:
             done.append((shard, *writer.commit()))
-        encoder(path).forget()  # the worker may serve other stages next
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "path", "docs", "tokens", "bytes"), d)) for d in done], schema=pa.schema(
             [("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 

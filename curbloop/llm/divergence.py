@@ -158,15 +158,15 @@ def shared_terms(entries: DataFrame, max_pairs: int = 1 << 20) -> DataFrame:
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, text="text", lang="lang", source="source") -> DataFrame:
     """(lang, source, part, item, value, rank): part 'pair' has the distance of each source to each other one of its language, part
     'term' the ``top_terms`` kept terms that a source has more of than its language, by how much."""
-    found = stage(collapse(docs, text, lang, source), "texts")
-    counted = count_terms(found).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    counted = count_terms(collapse(docs, text, lang, source)).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     by_term = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("in_lang"), F.collect_list(F.struct("source", "count")).alias("sources"))
     kept = stage(by_term.filter(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
 
     lang_sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("in_lang").alias("lang_total"))
     single = kept.select("lang", "term", "in_lang", F.explode("sources").alias("s")).select("lang", "term", "in_lang", "s.source", "s.count")
     totals = single.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    groups = (found.select("lang", F.explode("sources.source").alias("source")).distinct().join(lang_sizes, "lang", "left").join(totals, ["lang", "source"], "left")
+    occurring = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"))]).distinct()
+    groups = (occurring.join(lang_sizes, "lang", "left").join(totals, ["lang", "source"], "left")
               .na.fill(0, ["n_terms", "lang_total", "total"]).withColumn("none", F.lit(0).cast("long"))
               .withColumn("p0", F.when(F.col("n_terms") > 0, share("none", "total", "n_terms"))).drop("none"))
     groups = stage(groups, "sources")

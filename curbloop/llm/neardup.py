@@ -2,9 +2,11 @@
 
 Every sketch keeps, of one random order of all occurrence-labelled k-mers of words, the smallest few, in the order they have in
 the text. Texts that share such a key are candidates. First each is compared with few others of its group, chosen by how many
-keys they share. Then all share further keys: sketches of a single, shorter k-mer, and for texts of few words all that is left
-of them without one or two words, so that no similar pair of those is missed. In rounds, groups that still hold several components are gone through until each pair of a group is in one
-component, or is ruled out by its word counts, or was aligned and refused. A banded alignment of the words decides:
+keys they share. Then all get further keys: sketches of a single k-mer of 3 words, and for texts of few words all that is left
+of them without one or two words, so that no similar pair of those is missed. In groups that hold several components, every pair of
+different components is a candidate that agrees in enough of its single sketches and is not ruled out by its word counts. A block of such
+pairs is settled in one task, which joins components as it goes, so pairs that are joined already cost nothing and only joining pairs
+leave the task. A banded alignment of the words decides:
 1 - edits / words of the longer text must reach ``similarity``. Classes are connected components of the accepted pairs.
 
 Defined results: equal texts are one class, empty ones too. A null text is a class of its own. Texts of fewer words than a k-mer
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from curbloop.llm.batches import mapped
 from curbloop.operators.layout import skew_join
-from curbloop.operators.scratch import stage
+from curbloop.operators.scratch import stage, tidy
 
 
 @dataclass(frozen=True)
@@ -33,11 +35,14 @@ class Settings:
     seed: int = 5
     part: int = 4096          # members of a group that meet the members of another part in one task
     exact: int = 14           # words; pairs of texts up to this long are found for certain if at most two edits are allowed
-    short: int = 80           # words; pairs of texts up to this long are looked for by k-mers of 3 words, longer ones by 4
+    single: int = 3           # words of the k-mer of a single sketch
+    short: int = 80           # words; longer texts form groups by ``few`` of their single sketches
+    few: int = 16
+    agree: int = 4            # single sketches that must be equal; 2 if one of the texts is short
+    settled: int = 10_000     # pairs that are settled in one go
 
 
-SHELLS = ((0, 8), (8, 64), (64, 512), (512, 1 << 62))  # ranks within a part that the rounds compare
-BUCKETS = 128  # of word counts, and of counts of pairs of words
+BUCKETS = 256  # of word counts
 
 
 def word_hashes(text: str):
@@ -64,28 +69,25 @@ def hashes_of(raw, starts, ends):
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     owner = np.searchsorted(starts, at, "right") - 1
     value = np.where(space, 0, raw.astype(np.uint64) + np.uint64(1))
-    total = np.add.reduceat(value * _powers(len(raw), False), at)  # spaces count 0, so what follows a word does not matter
-    h = total * _powers(len(raw), True)[at]
+    place = np.zeros(len(raw), np.int64)  # inside a word
+    place[at[0]:] = np.arange(at[0], len(raw)) - np.repeat(at, np.diff(at, append=len(raw)))
+    longest = int(place[~space].max())
+    # spaces count 0, so what follows a word does not matter
+    h = np.add.reduceat(value * _powers(longest + 1)[np.minimum(place, longest)], at)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     return h, np.bincount(owner, minlength=len(starts))
 
 
-_POWERS: dict = {}
 BASE = 0x5851F42D4C957F2D
 
 
-def _powers(n: int, inverse: bool):
+def _powers(n: int):
     import numpy as np
-    table = _POWERS.get(inverse)
-    if table is None or len(table) < n:
-        base = pow(BASE, -1, 1 << 64) if inverse else BASE
-        size = max(n, 1 << 20)
-        table = np.full(size, base, np.uint64)
-        table[0] = 1
-        _POWERS[inverse] = table = np.multiply.accumulate(table)
-    return table[:n]
+    table = np.full(n, BASE, np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
 
 
 def sketch(words, settings: Settings):
@@ -119,26 +121,32 @@ def sketch(words, settings: Settings):
     return key.view(np.int64)
 
 
-def loose_keys(words, settings: Settings):
-    """Further keys of one text: a pair whose edits are scattered shares some of these although it may share no key of ``sketch``."""
+def deletions(words, settings: Settings):
+    """Keys of a short text: all that is left of it without one or two words. Texts that differ by up to two edits share one."""
     import numpy as np
-    n, keys = len(words), []
-    if n <= settings.exact:
-        longest = int(n / settings.similarity + 1e-9)  # of a partner
-        for drop in range(min(2, int(allowed(longest, settings.similarity)), n - 1) + 1):
-            h = np.full(1, 0x9E3779B97F4A7C15 * (n - drop) & (2**64 - 1), np.uint64)
-            for column in words[_without(n, drop)].T:
-                h = (h ^ column) * np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(31)
-            keys.append(np.unique(h).view(np.int64))
-    if n > settings.exact * settings.similarity:
-        for k, wanted in ((3, n <= settings.short), (4, n > settings.short * settings.similarity)):
-            if wanted:
-                of = np.arange(settings.sketches, dtype=np.uint64) + np.uint64(1000 * k)
-                keys.append(sketch(words, replace(settings, words=k, kept=1)) ^ (of * np.uint64(0x94D049BB133111EB)).view(np.int64))
+    n = len(words)
+    if not 0 < n <= settings.exact:
+        return np.zeros(0, np.int64)
+    keys, longest = [], int(n / settings.similarity + 1e-9)  # of a partner
+    for drop in range(min(2, int(allowed(longest, settings.similarity)), n - 1) + 1):
+        h = np.full(1, 0x9E3779B97F4A7C15 * (n - drop) & (2**64 - 1), np.uint64)
+        for column in words[_without(n, drop)].T:
+            h = (h ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+        keys.append(np.unique(h).view(np.int64))
     return np.concatenate(keys)
 
 
+def single_keys(words, settings: Settings):
+    """Sketches of one k-mer each: a pair whose edits are scattered agrees in many of these although it may share no key of ``sketch``.
+    Texts that only pair by ``deletions`` have none."""
+    import numpy as np
+    if len(words) <= settings.exact * settings.similarity:
+        return np.zeros(0, np.int64)
+    of = np.arange(settings.sketches, dtype=np.uint64) + np.uint64(1000)
+    return sketch(words, replace(settings, words=settings.single, kept=1)) ^ (of * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
 @functools.cache
 def _without(n: int, drop: int):
     """Places of the words that stay when ``drop`` of n are left out, in every way."""
@@ -208,43 +216,50 @@ def similar(a, b, similarity: float) -> bool:
 
 
 def counts_of(words):
-    """Words by bucket, then pairs of neighbouring words by bucket, at most 255 each. An edit changes one word and two pairs, so texts
-    whose counts are further apart than their edits allow cannot be similar."""
+    """Words by bucket, at most 255 each. An edit changes one word, so texts whose counts are further apart than their edits allow
+    cannot be similar."""
+    import numpy as np
+    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def marks_of(keys, kind="u1") -> bytes:
+    """The low bits of each key."""
     import numpy as np
-    both = (words[:-1] * np.uint64(3) + words[1:]) * np.uint64(0x9E3779B97F4A7C15)
-    at = [(h >> np.uint64(40)).astype(np.int64) % BUCKETS for h in (words, both)]
-    return np.minimum(np.concatenate([np.bincount(x, minlength=BUCKETS) for x in at]), 255).astype(np.uint8)
+    return keys.astype(np.dtype(kind)).tobytes()
+
+
+NODE = "node long, keys array<long>, marks binary, size int, counts binary, single array<long>, single_marks binary, exact array<long>"
 
 
 def sketches(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, node, keys, marks, size, counts, loose) of every row with a text: ``node`` is a hash of the text, ``marks`` one byte of each
-    key, ``size`` the number of words, ``loose`` the further keys. Texts without words have no keys."""
+    """(doc_id, node, ...) of every row with a text: ``node`` is a hash of the text, ``keys`` its sketches and ``marks`` one byte of each,
+    ``size`` the number of words, ``counts`` those by bucket, ``single`` and ``exact`` its further keys. Texts without words have no keys."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text")).filter("text is not null")
 
     def draw(batches):
         import numpy as np
         import pyarrow as pa
+
+        def lists(values):
+            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                keys, offsets, sizes, counts, loose = [], [0], [], [], []
-                for words in _words_of(part.column(2)):
-                    sizes.append(len(words))
-                    counts.append(counts_of(words).tobytes())
-                    loose.append(loose_keys(words, settings) if len(words) else np.zeros(0, np.int64))
-                    if len(words):
-                        keys.append(sketch(words, settings))
-                    offsets.append(offsets[-1] + (settings.sketches if len(words) else 0))
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                raw = (flat & 255).astype(np.uint8).tobytes()
-                marks = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-                                                  pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()),
-                                                  pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, loose)]), pa.int32()), pa.array(np.concatenate(loose)))],
-                                                 names=["doc_id", "node", "keys", "marks", "size", "counts", "loose"])
+                texts = _words_of(part.column(2))
+                none = np.zeros(0, np.int64)
+                keys = [sketch(w, settings) if len(w) else none for w in texts]
+                single = [single_keys(w, settings) for w in texts]
+                grouped = [k if len(w) <= settings.short else k[:settings.few] for k, w in zip(single, texts)]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), lists(keys), pa.array(map(marks_of, keys), pa.binary()), pa.array([len(w) for w in texts], pa.int32()),
+                    pa.array([counts_of(w).tobytes() for w in texts], pa.binary()), lists(grouped), pa.array([marks_of(k, "<u4") for k in single], pa.binary()),
+                    lists([deletions(w, settings) for w in texts])],
+                    names=["doc_id", "node", "keys", "marks", "size", "counts", "single", "single_marks", "exact"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows, draw, f"doc_id {id_type}, node long, keys array<long>, marks binary, size int, counts binary, loose array<long>")
+    return mapped(rows, draw, f"doc_id {id_type}, {NODE}")
 
 
 def _words_of(column):
@@ -330,10 +345,8 @@ def candidates(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def accepted(pairs: DataFrame, docs: DataFrame, settings: Settings = Settings(), text="text") -> DataFrame:
-    """The pairs whose texts are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = stage(ids, "candidate-ids")
+def words_of_nodes(ids: DataFrame, docs: DataFrame, settings: Settings, text="text") -> DataFrame:
+    """(node, words: 4 bytes each) of the nodes listed."""
     texts = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).filter("text is not null")
     wanted = F.broadcast(ids) if ids.limit(settings.small + 1).count() <= settings.small else ids
 
@@ -346,7 +359,13 @@ def accepted(pairs: DataFrame, docs: DataFrame, settings: Settings = Settings(),
                                                  names=["node", "words"])
 
     words = mapped(texts.join(wanted, "node", "left_semi"), hashed, "node long, words binary")
-    words = stage(words.groupBy("node").agg(F.first("words").alias("words")), "candidate-words")
+    return stage(words.groupBy("node").agg(F.first("words").alias("words")), "candidate-words")
+
+
+def accepted(pairs: DataFrame, docs: DataFrame, settings: Settings = Settings(), text="text") -> DataFrame:
+    """The pairs whose texts are similar enough."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-ids")
+    words = words_of_nodes(ids, docs, settings, text)
     both = (pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
             .join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b"))
 
@@ -379,47 +398,51 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def cross_pairs(side, label, size, counts, shell, settings: Settings):
-    """Index pairs of one block whose labels differ and whose counts do not rule them out, with the higher rank inside the shell. Sides 0
-    and 1 meet each other, side 2 meets itself."""
+def cross_pairs(side, label, size, counts, marks, sketch_no: int, settings: Settings):
+    """Index pairs of one block, with the number of sketches in which they agree: those whose labels differ, that agree in enough sketches
+    and in none before this block's (there they meet, too), and that their counts do not rule out. Blocks of deletions have the sketch number -1
+    and ask nothing of sketches. Sides 0 and 1 meet each other, side 2 meets itself."""
     import numpy as np
-    low, high = shell
     itself = side[0] == 2
-    left = np.flatnonzero(side != 1)[:high]
-    right = left if itself else np.flatnonzero(side == 1)[:high]
+    left = np.flatnonzero(side != 1)
+    right = left if itself else np.flatnonzero(side == 1)
     rank = np.arange(len(right))
     for first in range(0, len(left), 64):
         some = left[first:first + 64]
-        own = np.arange(first, first + len(some))[:, None]
         longest = np.maximum(size[some][:, None], size[right])
-        open_ = (label[some][:, None] != label[right]) & (np.maximum(own, rank) >= low)
-        open_ &= np.abs(size[some][:, None] - size[right]) <= allowed(longest, settings.similarity)
+        open_ = (label[some][:, None] != label[right]) & (np.abs(size[some][:, None] - size[right]) <= allowed(longest, settings.similarity))
         if itself:
-            open_ &= rank > own
+            open_ &= rank > np.arange(first, first + len(some))[:, None]
         a, b = np.nonzero(open_)
         for k in range(0, len(a), 20_000):
             x, y = some[a[k:k + 20_000]], right[b[k:k + 20_000]]
+            agree = np.zeros(len(x), np.int64)
+            if sketch_no >= 0:
+                same = marks[x] == marks[y]
+                agree = same.sum(1)
+                enough = agree >= np.where(np.minimum(size[x], size[y]) <= settings.short, min(2, settings.agree), settings.agree)
+                enough &= ~same[:, :sketch_no].any(1)
+                x, y, agree = x[enough], y[enough], agree[enough]
             apart = counts[x].astype(np.int16) - counts[y]
-            more = np.maximum(apart, 0).reshape(len(x), 2, BUCKETS).sum(2)
-            less = np.maximum(-apart, 0).reshape(len(x), 2, BUCKETS).sum(2)
-            most = allowed(np.maximum(size[x], size[y]), settings.similarity)
-            ok = (np.maximum(more, less) <= most[:, None] * np.array([1, 2])).all(1)
+            edits = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
+            ok = edits <= allowed(np.maximum(size[x], size[y]), settings.similarity)
             if ok.any():
-                yield x[ok], y[ok]
+                yield x[ok], y[ok], agree[ok]
 
 
-def open_members(members: DataFrame, settings: Settings) -> DataFrame:
-    """Of rows (group, node, label), those of groups with several labels, with the most frequent label of the group (``main``) and the
+def open_members(keyed: DataFrame, settings: Settings) -> DataFrame:
+    """Of rows (group, sketch, node, label), those of groups with several labels, with the most frequent label of the group (``main``) and the
     number of rows that have it and that do not."""
+    several = keyed.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("group")
+    members = stage(keyed.join(several, "group", "left_semi"), "open-members")
     sizes = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
-    several = stage(several.filter("n > n_main").withColumn("copies", F.ceil(F.col("n") / settings.hot).cast("int")), "open-groups")
-    hot = several.filter("copies > 1").select("group", "copies")
+    groups = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    groups = stage(groups.withColumn("copies", F.ceil(F.col("n") / settings.hot).cast("int")), "open-groups")
+    hot = groups.filter("copies > 1").select("group", "copies")
     known = members.withColumn("salt", F.lit(0))
     if hot.limit(1).count():
-        known = (members.join(F.broadcast(hot), "group", "left")
-                 .withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies"))
-    spread = several.select("group", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_rest"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+        known = members.join(hot, "group", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    spread = groups.select("group", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_rest"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     return known.join(spread, ["group", "salt"]).drop("salt")
 
 
@@ -429,89 +452,163 @@ def blocks(members: DataFrame, settings: Settings) -> DataFrame:
     parts = members.withColumns({"p": F.greatest(F.lit(1), F.ceil(F.col("n_main") / settings.part)).cast("int"),
                                  "q": F.ceil(F.col("n_rest") / settings.part).cast("int")})
     at = F.expr("cast(pmod(xxhash64(node, group), if(label = main, p, q)) as int)")
-    return parts.withColumn("at", at).selectExpr("node", "label", "group", """explode(if(label = main,
+    return parts.withColumn("at", at).selectExpr("node", "label", "sketch", "group", """explode(if(label = main,
         transform(sequence(0, q - 1), b -> named_struct('kind', 0, 'a', at, 'b', b, 'side', 0)),
         concat(transform(sequence(0, p - 1), a -> named_struct('kind', 0, 'a', a, 'b', at, 'side', 1)),
                transform(sequence(0, q - 1), b -> named_struct('kind', 1, 'a', least(at, b), 'b', greatest(at, b),
                                                                'side', if(at = b, 2, if(at < b, 0, 1))))))) AS d""").selectExpr(
-        "xxhash64(group, d.kind, d.a, d.b) AS block", "d.side", "node", "label")
+        "xxhash64(group, d.kind, d.a, d.b) AS block", "sketch", "d.side", "node", "label")
+
+
+def in_runs(batches):
+    """Runs of equal values of the first column, by which rows were dealt and sorted: (value, its batches)."""
+    import numpy as np
+    held, name = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(0).to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(keys)) + 1, len(batch))
+        for x, y in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist()):
+            if held and name != keys[x]:
+                yield name, held
+                held = []
+            name = keys[x]
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield name, held
+
+
+def _column(parts, k: int):
+    import numpy as np
+    return np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts])
 
 
-def further(members: DataFrame, nodes: DataFrame, shell, settings: Settings = Settings()) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of one group with different labels that a round compares."""
-    rows = blocks(members, settings).join(nodes.select("node", "size", "counts"), "node")
+def _raw(parts, k: int, kind, width: int):
+    import numpy as np
+    return np.frombuffer(b"".join(v for p in parts for v in p.column(k).to_pylist()), kind).reshape(-1, width)
+
+
+def further(members: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs to be settled, one row for at most ``settled`` of them: (portion, nodes, labels, pairs), where pairs are places in nodes,
+    4 bytes each, those that agree most first."""
+    rows = blocks(members, settings).join(nodes.select("node", "size", "counts", "single_marks"), "node")
 
     def pair(batches):
         import numpy as np
         import pyarrow as pa
-        held, name = [], None
 
-        def pairs():
-            side, node, label, size = (np.concatenate([h[k] for h in held]) for k in range(4))
-            counts = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(len(side), 2 * BUCKETS)
-            for x, y in cross_pairs(side, label, size, counts, shell, settings):
-                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            block, side, node, label, size = (batch.column(k).to_numpy() for k in range(5))
-            counts = batch.column(5).to_pylist()
-            cuts = np.append(np.flatnonzero(np.diff(block)) + 1, len(batch))
-            for x, y in zip(np.append(0, cuts[:-1]), cuts):
-                if held and name != block[x]:
-                    yield from pairs()
-                    held = []
-                name = block[x]
-                held.append((side[x:y], node[x:y], label[x:y], size[x:y], b"".join(counts[x:y])))
-        if held:
-            yield from pairs()
+        def portion(block, number, found, node, label):
+            a, b, agree = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.argsort(-agree, kind="stable")
+            used, places = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+            pairs = places.reshape(2, -1).T.astype("<u4").tobytes()
+            return pa.RecordBatch.from_pylist([{"block": int(block), "number": number, "nodes": node[used].tolist(), "labels": label[used].tolist(), "pairs": pairs}], schema=schema)
+
+        schema = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("nodes", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("pairs", pa.binary())])
+        for block, parts in in_runs(batches):
+            sketch_no, side, node, label, size = (_column(parts, k) for k in range(1, 6))
+            counts = _raw(parts, 6, np.uint8, BUCKETS)
+            marks = None if sketch_no[0] < 0 else _raw(parts, 7, "<u4", settings.sketches)
+            found, number = [], 0
+            for pairs in cross_pairs(side, label, size, counts, marks, int(sketch_no[0]), settings):
+                found.append(pairs)
+                if sum(len(f[0]) for f in found) >= settings.settled:
+                    yield portion(block, number, found, node, label)
+                    found, number = [], number + 1
+            if found:
+                yield portion(block, number, found, node, label)
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "block").sortWithinPartitions("block", F.xxhash64("node", "block"))
-    found = mapped(dealt.select("block", "side", "node", "label", "size", "counts"), pair, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    dealt = rows.repartition(n, "block").sortWithinPartitions("block", "node")
+    found = mapped(dealt.select("block", "sketch", "side", "node", "label", "size", "counts", "single_marks"), pair,
+                   "block long, number long, nodes array<long>, labels array<long>, pairs binary")
+    return found.select(F.xxhash64("block", "number").alias("portion"), "nodes", "labels", "pairs")
+
+
+def occurrences(words):
+    """The words in ascending order, each second, third, ... occurrence of a word as another one: as a set it stands for the multiset."""
+    import numpy as np
+    w = np.sort(words.astype(np.uint64))
+    start = np.append(True, w[1:] != w[:-1])
+    nth = np.arange(len(w)) - np.maximum.accumulate(np.where(start, np.arange(len(w)), 0))
+    return np.sort(w << np.uint64(24) | np.minimum(nth, (1 << 24) - 1).astype(np.uint64))
+
+
+def settle(words: list, labels: list, pairs, similarity: float) -> list:
+    """Pairs of labels that similar texts join, at most one less than there are labels. Pairs of labels that are joined already are passed over;
+    the others are aligned if the words that only one of the two has are not too many."""
+    import numpy as np
+    of = {label: label for label in labels}
+
+    def root(label):
+        while of[label] != label:
+            of[label] = label = of[of[label]]
+        return label
+
+    joined, sets = [], {}
+    for x, y in pairs:
+        a, b = root(labels[x]), root(labels[y])
+        if a == b:
+            continue
+        for k in (x, y):
+            if k not in sets:
+                sets[k] = occurrences(words[k])
+        longest = max(len(words[x]), len(words[y]))
+        shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if longest - shared <= allowed(longest, similarity) and similar(words[x], words[y], similarity):
+            of[max(a, b)] = min(a, b)
+            joined.append((min(a, b), max(a, b)))
+    return joined
+
+
+def settled(portions: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct pairs (a, b) of labels that are joined. ``words`` has (node, words) of all nodes of the portions."""
+    of = portions.select("portion", F.posexplode("nodes").alias("place", "node")).join(words, "node")
+    rows = (of.select("portion", "place", "words").withColumns({"labels": F.lit(None).cast("array<long>"), "pairs": F.lit(None).cast("binary")})
+            .unionByName(portions.select("portion", F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("words"), "labels", "pairs")))
+
+    def align(batches):
+        import numpy as np
+        import pyarrow as pa
+        for _, parts in in_runs(batches):
+            own = [v for p in parts for v in p.column(2).to_pylist()]  # the first row is that of the pairs
+            pairs = np.frombuffer(next(iter(parts[0].column(4).to_pylist())), "<u4").reshape(-1, 2).tolist()
+            joined = settle([np.frombuffer(w, "<u4") for w in own[1:]], parts[0].column(3)[0].as_py(), pairs, settings.similarity)
+            if joined:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in joined], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "portion").sortWithinPartitions("portion", "place")
+    return mapped(dealt.select("portion", "place", "words", "labels", "pairs"), align, "a long, b long").distinct()
 
 
 def connected(nodes: DataFrame, docs: DataFrame, settings: Settings = Settings(), text="text") -> DataFrame:
-    """(node, label) of the nodes that are similar to another one."""
+    """(node, label) of all nodes; similar ones share a label."""
     pairs = stage(candidates(nodes.filter("size(keys) > 0"), settings), "candidate-pairs")
-    edges = accepted(pairs, docs, settings, text)
-    labels = components(edges)
-
-    def labelled(rows):
-        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    keys = F.concat(F.transform("keys", lambda key, s: F.xxhash64(s, key)), "loose")
-    keyed = labelled(nodes.select("node", "keys", "loose")).select("node", "label", F.explode(keys).alias("group"))
-    members = stage(open_members(keyed, settings).select("group", "node"), "open-members")
-    for shell in SHELLS:
-        left = stage(open_members(labelled(members), settings), "unlinked")
-        if not left.limit(1).count():
-            break
-        new = stage(further(left, nodes, shell, settings).join(pairs, ["a", "b"], "left_anti"), "further-pairs")
-        if new.limit(1).count():
-            pairs = pairs.union(new)
-            linked = accepted(new, docs, settings, text)
-            if linked.limit(1).count():
-                edges = edges.union(linked)
-                labels = components(edges)
-        if not left.filter((F.col("n_main") > shell[1]) | (F.col("n_rest") > shell[1])).limit(1).count():
-            break  # no rank is left
-    return labels
+    found = components(accepted(pairs, docs, settings, text))
+    labels = stage(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    keys = F.concat(F.transform("exact", lambda key: F.struct(F.xxhash64(F.lit(-1), key).alias("group"), F.lit(-1).alias("sketch"))),
+                    F.transform("single", lambda key, s: F.struct(F.xxhash64(s, key).alias("group"), s.alias("sketch"))))
+    keyed = nodes.select("node", F.explode(keys).alias("k")).join(labels, "node").select("k.group", "k.sketch", "node", "label")
+    portions = stage(further(open_members(keyed, settings), nodes, settings), "portions")
+    ids = stage(portions.select(F.explode("nodes").alias("node")).distinct(), "portion-nodes")
+    joined = stage(settled(portions, words_of_nodes(ids, docs, settings, text), settings), "joined")
+    if not joined.limit(1).count():
+        return labels
+    moved = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return stage(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), doc_id="doc_id", text="text") -> DataFrame:
     """One row per document: (doc_id, class_id, class_size, text_hash)."""
     rows = stage(sketches(docs, settings, doc_id, text), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"),
-                                     F.first("marks").alias("marks"), F.first("size").alias("size"), F.first("counts").alias("counts"),
-                                     F.first("loose").alias("loose"))
-    nodes = stage(nodes, "nodes")
-    labels = connected(nodes, docs, settings, text)
-    own = nodes.select("node", "first_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    found = own.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of = stage(own.select("node", "label").join(found, "label").select("node", "class_id", "class_size"), "classes")
+    with tidy(docs.sparkSession) as kept:
+        columns = [c.split()[0] for c in NODE.split(", ")[1:]]
+        nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in columns]), "nodes")
+        own = nodes.select("node", "first_id", "n").join(connected(nodes, docs, settings, text), "node")
+        found = own.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
+        of = kept(stage(own.select("node", "label").join(found, "label").select("node", "class_id", "class_size"), "classes"))
     # most texts are one row, but one text may be a third of all
     known = skew_join(rows.select("doc_id", "node"), of, ["node"], ["doc_id"]).select("doc_id", "class_id", "class_size", F.col("node").alias("text_hash"))
     null = docs.filter(F.col(text).isNull()).select(

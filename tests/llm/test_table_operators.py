@@ -260,7 +260,7 @@ def test_classes_equal_brute_force(spark, settings):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
-@pytest.mark.parametrize("settings", [neardup.Settings(), neardup.Settings(hot=50, part=16, small=0)])
+@pytest.mark.parametrize("settings", [neardup.Settings(), neardup.Settings(hot=50, part=16, small=0, settled=40)])
 def test_texts_with_a_long_common_passage(spark, settings):
     """Most pairs of a group are just too far apart, the group's first one included."""
     rng = random.Random(5)

@@ -60,14 +60,23 @@ METER_POINTS = """SELECT event_id, lpad((event_id % 1000)::VARCHAR, 3, '0') || l
    round(-122 - event_id % 777 / 1000::DOUBLE, 6) AS longitude, round(37 + event_id % 1000 / 1000::DOUBLE, 6) AS latitude FROM events"""
 
 
+#: Corners of a block around its centre: a box of 200 x 60 m, and a U of 260 x 260 m whose notch, 40 m wide, comes from the north down to
+#: 70 m below the centre, so that streets run from arm to arm through it.
+BOX = [(-100, -30), (100, -30), (100, 30), (-100, 30)]
+U_SHAPE = [(-130, -130), (130, -130), (130, 130), (20, 130), (20, -70), (-20, -70), (-20, 130), (-130, 130)]
+
+
+def _sides(corners) -> str:
+    return ", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, (a, b) in enumerate(zip(corners, corners[1:] + corners[:1])))
+
+
 def blocks(spark, sf_dir):
-    """Boxes of 200 x 60 m around every other crossing; one block id is on the wrong list."""
-    return spark.sql("""WITH nodes AS (SELECT * FROM {n})
-        SELECT if(c = 0 AND i = 1 AND j = 1, 56848, c * 441 + i * 21 + j) AS block_id, 0 AS ring, seq, cx + 100 * a1 AS x1, cy + 30 * b1 AS y1,
-               cx + 100 * a2 AS x2, cy + 30 * b2 AS y2
-        FROM (SELECT c, i, j, 20000D * c - 1140 + 120 * i AS cx, 20000D * c - 1200 + 120 * j AS cy FROM nodes WHERE (i + j) % 2 = 0) q
-        CROSS JOIN (VALUES (0, -1, -1, 1, -1), (1, 1, -1, 1, 1), (2, 1, 1, -1, 1), (3, -1, 1, -1, -1)) s(seq, a1, b1, a2, b2)""",
-                     n=inputs.nodes(spark, sf_dir))
+    """Boxes around every other crossing, and U-shaped blocks 30 m east of every 16th crossing of the others; one block id is on the wrong list."""
+    return spark.sql(f"""WITH q AS (SELECT c, i, j, 20000D * c - 1140 + 120 * i AS cx, 20000D * c - 1200 + 120 * j AS cy FROM {{n}})
+        SELECT if(c = 0 AND i = 1 AND j = 1, 56848, c * 441 + i * 21 + j) AS block_id, 0 AS ring, seq, cx + a1 AS x1, cy + b1 AS y1, cx + a2 AS x2, cy + b2 AS y2
+        FROM q CROSS JOIN (VALUES {_sides(BOX)}) s(seq, a1, b1, a2, b2) WHERE (i + j) % 2 = 0
+        UNION ALL SELECT c * 441 + i * 21 + j, 0, seq, cx + 30 + a1, cy + b1, cx + 30 + a2, cy + b2
+        FROM q CROSS JOIN (VALUES {_sides(U_SHAPE)}) s(seq, a1, b1, a2, b2) WHERE i % 4 = 1 AND j % 4 = 2""", n=inputs.nodes(spark, sf_dir))
 
 
 def street_block_ids(spark, sf_dir):
@@ -75,12 +84,17 @@ def street_block_ids(spark, sf_dir):
 
 
 STREET_BLOCK_IDS = f"""WITH {inputs.GRID},
-boxes AS (SELECT c, CASE WHEN c = 0 AND i = 1 AND j = 1 THEN 56848 ELSE c * 441 + i * 21 + j END AS block_id,
-                 20000::DOUBLE * c - 1140 + 120 * i AS cx, 20000::DOUBLE * c - 1200 + 120 * j AS cy FROM nodes WHERE (i + j) % 2 = 0),
-hits AS (SELECT id, min(block_id) AS b FROM grid g JOIN boxes k ON g.c = k.c AND block_id NOT IN (56848, 44312, 36506)
-         AND greatest(abs(x1 + 0.2 * (x2 - x1) - cx), abs(x1 + 0.8 * (x2 - x1) - cx)) <= 100
-         AND greatest(abs(y1 + 0.2 * (y2 - y1) - cy), abs(y1 + 0.8 * (y2 - y1) - cy)) <= 30 GROUP BY id)
-SELECT id, lpad(b::VARCHAR, 5, '0') AS sfpark_id FROM grid LEFT JOIN hits USING (id)"""
+q AS (SELECT c, i, j, c * 441 + i * 21 + j AS block_id, 20000::DOUBLE * c - 1140 + 120 * i AS cx, 20000::DOUBLE * c - 1200 + 120 * j AS cy FROM nodes),
+m AS (SELECT id, c, x1 + 0.2 * (x2 - x1) AS mx1, x1 + 0.8 * (x2 - x1) AS mx2, y1 + 0.2 * (y2 - y1) AS my1, y1 + 0.8 * (y2 - y1) AS my2 FROM grid),
+hits AS (SELECT id, block_id FROM m JOIN q USING (c)
+         WHERE (i + j) % 2 = 0 AND NOT (c = 0 AND i = 1 AND j = 1) AND block_id NOT IN (56848, 44312, 36506)
+           AND greatest(abs(mx1 - cx), abs(mx2 - cx)) <= 100 AND greatest(abs(my1 - cy), abs(my2 - cy)) <= 30
+         UNION ALL SELECT id, block_id FROM m JOIN q USING (c)  -- in the box of the U, and not through its notch
+         WHERE i % 4 = 1 AND j % 4 = 2 AND block_id NOT IN (56848, 44312, 36506)
+           AND greatest(abs(mx1 - cx - 30), abs(mx2 - cx - 30)) <= 130 AND greatest(abs(my1 - cy), abs(my2 - cy)) <= 130
+           AND NOT (greatest(mx1, mx2) > cx + 10 AND least(mx1, mx2) < cx + 50 AND greatest(my1, my2) > cy - 70)),
+b AS (SELECT id, min(block_id) AS b FROM hits GROUP BY id)
+SELECT id, lpad(b::VARCHAR, 5, '0') AS sfpark_id FROM grid LEFT JOIN b USING (id)"""
 
 
 def large_lots(spark, sf_dir):
@@ -96,14 +110,12 @@ LARGE_LOTS = f"WITH {inputs.GRID}, {inputs.LOTS} SELECT lot_id, 1600::DOUBLE AS
 
 
 def streets_near_layer(spark, sf_dir):
-    """Streets within 500 m of the box of every eleventh lot."""
-    layer = inputs.lots(spark, sf_dir).filter("lot_id % 11 = 0")
-    return studies.streets_near_layer(inputs.streets(spark, sf_dir), layer, 500).select("id")
+    """Streets within 30 m of the box of all lots: those at the edges of the first and the last district lie outside."""
+    return studies.streets_near_layer(inputs.streets(spark, sf_dir), inputs.lots(spark, sf_dir), 30).select("id")
 
 
 STREETS_NEAR_LAYER = f"""WITH {inputs.GRID}, {inputs.LOTS},
-box AS (SELECT min(cx) - 520 AS lx, min(cy) - 520 AS ly, max(cx) + 520 AS hx, max(cy) + 520 AS hy FROM lots
-        WHERE lot_id % 11 = 0)
+box AS (SELECT min(cx) - 50 AS lx, min(cy) - 50 AS ly, max(cx) + 50 AS hx, max(cy) + 50 AS hy FROM lots)
 SELECT id FROM grid, box WHERE greatest(x1, x2) >= lx AND least(x1, x2) <= hx AND greatest(y1, y2) >= ly AND least(y1, y2) <= hy"""
 
 

@@ -3,11 +3,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import clock, geo
 from curbloop.operators.layout import skew_join
-from curbloop.operators.spatial import (box_holds_point, box_meets_line, cut_segments, inside_polygons, near_segments, segments_extent,
-                                        street_segments)
+from curbloop.operators.scratch import stage
+from curbloop.operators.spatial import (box_holds_point, box_meets_line, cut_segments, inside_polygons, near_segments, segment_cells,
+                                        segments_extent, street_segments)
 
 # Block ids that one study leaves out because its block map has them wrong.
 WRONG_BLOCKS = [56848, 44312, 36506]
+SIDE_CELL = 100  # metres; cells in which streets meet the sides of blocks
 
 
 def sensor_occupancy(sensors: DataFrame, predictions: DataFrame, time_zone: str = "America/Los_Angeles") -> DataFrame:
@@ -27,12 +29,14 @@ def sensor_occupancy(sensors: DataFrame, predictions: DataFrame, time_zone: str
                "tot_occ_pc": occupancy("tot"), "gmp_occ_pc": occupancy("gmp")})
            .drop("ratetext", "cal_date"))
     for kind in ("gmp", "tot"):
-        lookup = predictions.select(F.col("capacity").cast("bigint").alias("n"), F.col("pc_occ").cast("bigint").alias("occ"),
+        lookup = predictions.filter("pc_occ >= 0").select(F.col("capacity").cast("bigint").alias("n"), F.col("pc_occ").cast("bigint").alias("occ"),
                                     F.col("pr_full").alias(f"{kind}_pr_full"))
         # hours are counted in whole numbers of seconds / 3600, like the integer division of the source columns
         # occupancy is looked up in single precision and rounded half to even
+        # readings without an occupancy find nothing; each gets a number of its own below 0, or all of them would meet in one task
+        nothing = -1 - F.pmod(F.xxhash64("block_id", "sensor_time", f"{kind}_time"), F.lit(1 << 20))
         keys = out.withColumns({"n": F.expr(f"{kind}_time div 3600"),
-                                "occ": F.rint(F.col(f"{kind}_occ_pc").cast("float").cast("double") * 100).cast("bigint")})
+                                "occ": F.coalesce(F.rint(F.col(f"{kind}_occ_pc").cast("float").cast("double") * 100).cast("bigint"), nothing)})
         out = keys.join(lookup, ["n", "occ"], "left").drop("n", "occ")
     return out
 
@@ -48,7 +52,7 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) ->
     """sfpark_id of the block that holds the middle 60 percent of a street; blocks in ``wrong_blocks`` do not count.
 
     ``blocks`` are boundary rows (block_id, ring, seq, x1 .. y2) of any shape. A line is in a block when its vertices are and, between
-    any two places where it meets the boundary, its middle is.
+    any two places where a side crosses it, its middle is.
     """
     segments = street_segments(streets.select("id", "geom_way"))
     middle = cut_segments(segments, "0.2D", "0.8D")
@@ -60,8 +64,8 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) ->
     inside = (inside_polygons(ends, blocks, "block_id", ["id", "seq", "at"], size=100)
               .groupBy("id", "block_id").agg(F.count(F.lit(1)).alias("n_in")))
     whole = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_ends"))
-    holding = inside.join(whole, "id").filter("n_in = n_ends").select("id", "block_id")
-    between = _middles_between_sides(middle, blocks, holding)
+    holding = stage(inside.join(whole, "id").filter("n_in = n_ends").select("id", "block_id"), "holding")
+    between = stage(_middles_between_sides(middle, blocks, holding), "between")
     left = (between.join(inside_polygons(between, blocks, "block_id", ["id", "seq", "k", "target"], size=100).filter("target = block_id").drop("block_id"),
                          ["id", "seq", "k", "target"], "left_anti").select("id", F.col("target").alias("block_id")).distinct())
     found = (holding.join(left, ["id", "block_id"], "left_anti").groupBy("id").agg(F.min("block_id").alias("block_id"))
@@ -72,13 +76,16 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) ->
 def _middles_between_sides(segments: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """For pairs (id, block_id): the middles (id, seq, k, target, x, y) of the pieces into which the sides of the block cut a segment. A side
     that lies along the segment needs no cut, its neighbours cut there."""
-    sides = blocks.selectExpr("block_id", "x1 AS bx", "y1 AS by", "x2 - x1 AS sx", "y2 - y1 AS sy")
-    met = (pairs.join(segments.selectExpr("id", "seq", "x1", "y1", "x2 - x1 AS rx", "y2 - y1 AS ry"), "id").join(sides, "block_id")
+    cell = ["cx", "cy"]
+    sides = segment_cells(blocks, 0, SIDE_CELL).selectExpr("block_id", *cell, "x1 AS bx", "y1 AS by", "x2 - x1 AS sx", "y2 - y1 AS sy")
+    # a segment meets the sides in its own cells only; one that meets none lies where its ends lie
+    parts = segment_cells(segments, 0, SIDE_CELL).selectExpr("id", "seq", *cell, "x1", "y1", "x2 - x1 AS rx", "y2 - y1 AS ry")
+    met = (pairs.join(parts, "id").join(sides, ["block_id", *cell])
            .withColumn("d", F.expr("nullif(rx * sy - ry * sx, 0D)"))
            .withColumns({"t": F.expr("((bx - x1) * sy - (by - y1) * sx) / d"), "u": F.expr("((bx - x1) * ry - (by - y1) * rx) / d")}))
     cuts = met.groupBy("id", "seq", "block_id", "x1", "y1", "rx", "ry").agg(
         F.expr("array_sort(array_union(array(0D, 1D), collect_set(if(t > 0 AND t < 1 AND u BETWEEN -1e-9 AND 1 + 1e-9, t, NULL)))) AS ts"))
-    return (cuts.selectExpr("*", "posexplode(transform(sequence(1, size(ts) - 1), k -> (ts[k - 1] + ts[k]) / 2)) AS (k, mid)")
+    return (cuts.filter("size(ts) > 2").selectExpr("*", "posexplode(transform(sequence(1, size(ts) - 1), k -> (ts[k - 1] + ts[k]) / 2)) AS (k, mid)")
             .selectExpr("id", "seq", "k", "block_id AS target", "x1 + mid * rx AS x", "y1 + mid * ry AS y"))
 
 

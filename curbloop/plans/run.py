@@ -8,6 +8,7 @@ The package is sent to the executors; it need not be installed.
 import argparse
 import dataclasses
 import functools
+import hashlib
 import json
 import sys
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from curbloop.operators.scratch import stage
 from curbloop.operators.spatial import street_segments
 from curbloop.params import Params
 from curbloop.sources import readers
+from curbloop.sources.snapshots import file_stamps
 
 
 @dataclass
@@ -176,6 +178,7 @@ def main(argv=None) -> None:
     p.add_argument("--degrees", action="store_true", help="streets are in degrees and are projected to the region's metres")
     p.add_argument("--time-zone", help="zone of hours and weekdays")
     p.add_argument("--set", action="append", metavar="NAME=VALUE", help="a parameter; may be repeated")
+    p.add_argument("--append-to", metavar="DIR", help="also add the usable traces to this table, under new ids; the same pings are added once")
     p.add_argument("--force", action="store_true", help="redo finished stages")
     a = p.parse_args(argv)
     if (a.pings or a.degrees) and not a.region:
@@ -193,12 +196,18 @@ def main(argv=None) -> None:
     vertices = layer(a.vertices, "vertices")
     bans = network.turn_restrictions(vertices, streets) if vertices is not None else None
     layers = Layers(streets, bans, layer(a.lots, "lots"), layer(a.curbs, "curbs"), layer(a.block_groups, "block_groups"))
-    made_from = {k: v for k, v in vars(a).items() if k not in ("out", "force", "set", "time_zone")} | dataclasses.asdict(params)
+    made_from = {k: v for k, v in vars(a).items() if k not in ("out", "force", "set", "time_zone", "append_to")} | dataclasses.asdict(params)
+    # the files themselves count, not only where they are: a grown folder is another input
+    inputs = [v for k, v in vars(a).items() if v and k in ("pings", "traces", "streets", "vertices", "lots", "curbs", "block_groups")]
+    made_from["files"] = hashlib.sha256(json.dumps([file_stamps(spark, path) for path in inputs]).encode()).hexdigest()
     stages = Stages(spark, a.out + "/stages", a.force, json.dumps(made_from, sort_keys=True))
     if a.traces:
         traces, points = vendor_traces(readers.read_table(spark, a.traces, "traces"))
     else:
         traces, points = pings_to_traces(readers.read_pings(spark, a.pings), a.region, params, stages)
+        if a.append_to:
+            batch = hashlib.sha256(json.dumps(file_stamps(spark, a.pings)).encode()).hexdigest()
+            readers.append_traces(traces.drop("trip_id"), a.append_to, trips.number_traces, batch)
     readers.write_table(classify_traces(traces, points, layers, params, stages), a.out + "/trips")
     readers.write_table(classify.cruise_share(spark.read.parquet(a.out + "/trips"), "endhour", "weekday"), a.out + "/cruise_share")
 

@@ -1,8 +1,8 @@
 """Readers with fixed schemas, table contracts, and writers."""
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbloop.functions.projection import project_line
+from curbloop.sources.snapshots import SnapshotTable
 
 # Column order of the input files.
 PING_FILE = ("device_id STRING, id_type STRING, latitude DOUBLE, longitude DOUBLE, h_acc DOUBLE, timestamp BIGINT, "
@@ -118,15 +118,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", sort_by=()) -
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.mode(mode).parquet(path)
 
 
-def append_traces(traces: DataFrame, path: str, number) -> DataFrame:
-    """Add traces to a table under new ids that follow those in use; gives the table back. ``number`` gives ids 1, 2, 3, ..."""
-    spark = traces.sparkSession
-    try:
-        last = spark.read.parquet(path).agg(F.max("trip_id")).first()[0] or 0
-    except AnalysisException:  # the first batch
-        last = 0
-    write_table(number(traces).withColumn("trip_id", F.col("trip_id") + last), path, "append", ["trip_id"])
-    return spark.read.parquet(path)
+def append_traces(traces: DataFrame, path: str, number, batch: str | None = None) -> DataFrame:
+    """Add traces to a table under new ids that follow those in use; gives the table back. ``number`` gives ids 1, 2, 3, ... A ``batch`` that is
+    in the table already is not added again, and one that failed leaves no trace."""
+    table = SnapshotTable(traces.sparkSession, path)
+    table.append(traces, batch, number, sort_by=["trip_id"])
+    return table.read()
 
 
 def export_csv(df: DataFrame, path: str) -> None:

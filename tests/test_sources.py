@@ -1,5 +1,6 @@
 """Readers, contracts and writers on small files."""
 import pytest
+from pyspark.sql import functions as F
 
 from curbloop.operators import studies
 from curbloop.plans import run
@@ -76,3 +77,41 @@ def test_reprojected_streets(spark):
     streets = spark.sql("SELECT 1L AS id, array(named_struct('x', -122.33D, 'y', 47.6D), named_struct('x', -122.33D, 'y', 47.61D)) AS geom_way")
     a, b = readers.reproject_streets(streets, "wa").first().geom_way
     assert abs(((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5 - 1111.8) < 1
+
+
+def test_snapshots(spark, tmp_path):
+    from curbloop.sources.snapshots import Conflict, SnapshotTable, file_stamps
+    table = SnapshotTable(spark, str(tmp_path / "table"))
+    def number(rows):
+        return rows.withColumn("trip_id", F.expr("id + 1"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.append(spark.range(3), "a", number) == 1 and table.append(spark.range(2), "b", number) == 2
+    assert table.append(spark.range(2), "b", number) == 2  # the same batch again
+    spark.range(9).write.parquet(str(tmp_path / "table/data/failed"))
+    (tmp_path / "table/versions/_draft").write_text("half")
+    assert sorted(r.trip_id for r in table.read().collect()) == [1, 2, 3, 4, 5] and table.read(1).count() == 3
+    assert [(b["first_id"], b["last_id"], b["rows"]) for b in table.batches()] == [(1, 3, 3), (4, 5, 2)]
+    with pytest.raises(Conflict):
+        table.commit(1, [])
+    assert table.append(spark.range(0), "none", number) == 3 and table.append(spark.range(1), "c", number) == 4
+    table.clean()
+    assert {p.name for p in (tmp_path / "table/versions").iterdir() if not p.name.startswith(".")} == {"4.json"}
+    assert len(list((tmp_path / "table/data").iterdir())) == 4 and table.read().agg(F.max("trip_id")).first()[0] == 6
+    before = file_stamps(spark, str(tmp_path / "table"))
+    spark.range(1).write.parquet(str(tmp_path / "table/more"))
+    assert len(file_stamps(spark, str(tmp_path / "table"))) > len(before) > 0 and file_stamps(spark, str(tmp_path / "nothing*")) == []
+
+
+def test_stages_are_removed_when_not_needed(spark):
+    import os
+
+    from curbloop.operators import scratch
+    with scratch.tidy(spark) as kept:
+        gone = scratch.stage(spark.range(3), "gone")
+        with scratch.tidy(spark) as inner:
+            inside = inner(scratch.stage(gone.filter("id > 0"), "inside"))
+        held = kept(scratch.stage(inside, "held"))
+    assert held.count() == 2
+    for df, there in ((gone, False), (inside, False), (held, True)):
+        assert {os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in df.inputFiles()} == {there}

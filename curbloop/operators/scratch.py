@@ -3,17 +3,21 @@ import contextlib
 import contextvars
 import functools
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL = re.compile(r"local(\[[^\]]*\])?")
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``. Only a session of one process may fall back to its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        if not LOCAL.fullmatch(spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = _local_dir()
     return shared.rstrip("/")
@@ -63,3 +67,16 @@ def tidy(spark: SparkSession):
                     _MADE.get().append(path)  # an outer block may remove it
             else:
                 remove(spark, path)
+
+
+_SENT: set = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Executors get the package as a zip file, once an application. A session of one process has it."""
+    app = spark.sparkContext.applicationId
+    if app in _SENT or LOCAL.fullmatch(spark.conf.get("spark.master", "")):
+        return
+    root = Path(__file__).resolve().parents[2]
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/curbloop", "zip", root, "curbloop"))
+    _SENT.add(app)

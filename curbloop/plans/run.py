@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from curbloop.operators import approach, classify, cleaning, context, matching, network, trips
-from curbloop.operators.scratch import stage
+from curbloop.operators.scratch import send_package, stage
 from curbloop.operators.spatial import street_segments
 from curbloop.params import Params
 from curbloop.sources import readers
@@ -157,14 +157,6 @@ def parse_params(settings, time_zone=None) -> Params:
     return Params(**values | ({"time_zone": time_zone} if time_zone else {}))
 
 
-def send_package(spark: SparkSession) -> None:
-    """Executors get the package as a zip file."""
-    import shutil
-    import tempfile
-    root = Path(__file__).resolve().parents[2]
-    spark.addArtifacts(shutil.make_archive(f"{tempfile.mkdtemp()}/curbloop", "zip", root, "curbloop"), pyfile=True)
-
-
 def main(argv=None) -> None:
     p = argparse.ArgumentParser()
     source = p.add_mutually_exclusive_group(required=True)

@@ -158,7 +158,8 @@ def shared_terms(entries: DataFrame, max_pairs: int = 1 << 20) -> DataFrame:
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, text="text", lang="lang", source="source") -> DataFrame:
     """(lang, source, part, item, value, rank): part 'pair' has the distance of each source to each other one of its language, part
     'term' the ``top_terms`` kept terms that a source has more of than its language, by how much."""
-    counted = count_terms(collapse(docs, text, lang, source)).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # tasks have added up their rows already, so they are dealt once, by term, for both groupings below
+    counted = count_terms(collapse(docs, text, lang, source)).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     by_term = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("in_lang"), F.collect_list(F.struct("source", "count")).alias("sources"))
     kept = stage(by_term.filter(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
 

@@ -4,8 +4,9 @@ Unit vectors are projected on Gaussian directions and cut into cells of a fixed
 cells around its own in ascending order of the squared distance to them, which is the order of their estimated success.
 All cells' vectors are compared exactly in blocks; what the tables found is merged and ranked by cosine in double precision.
 
-The number of directions follows the number of vectors. The number of probes is fitted on ``sample`` queries whose true
-neighbours are found among all vectors, so that the wanted share of them is found.
+The number of directions follows the number of vectors and is at least one. The number of probes is fitted on ``sample`` queries
+whose true neighbours are found among all vectors, so that the wanted share of them is found; where the probes do not
+suffice, tables are doubled, then a direction is given up.
 
 Equal vectors are one entry with their smallest ids, as many as could be asked for, so a vector that many rows share costs
 no more than another. Defined results: null vectors, those with a null or non-finite component, zero vectors and vectors
@@ -21,11 +22,11 @@ from curbloop.operators.scratch import stage
 
 @dataclass(frozen=True)
 class Settings:
-    tables: int = 4
+    tables: int = 4             # doubled up to max_tables before a direction is given up
+    max_tables: int = 16
     width: float = 1.6          # of a cell, in units of the directions' scale
     per_cell: int = 200         # vectors per cell that the number of directions aims at
     cells_per_direction: float = 3.0
-    brute_below: int = 1000     # so few vectors are one cell
     recall: float = 0.97        # wanted on the sample
     sample: int = 64            # queries the number of probes is fitted on
     max_probes: int = 2048
@@ -37,12 +38,12 @@ class Settings:
 class Hashes:
     """Directions, offsets and cells of all tables."""
 
-    def __init__(self, dim: int, directions: int, settings: Settings):
+    def __init__(self, dim: int, directions: int, settings: Settings, tables: int | None = None):
         import numpy as np
         rng = np.random.default_rng(settings.seed)
-        self.tables, self.m = settings.tables, directions
-        self.a = rng.normal(size=(settings.tables, directions, dim))
-        self.b = rng.uniform(0, 1, size=(settings.tables, directions))
+        self.tables, self.m = tables or settings.tables, directions
+        self.a = rng.normal(size=(self.tables, directions, dim))
+        self.b = rng.uniform(0, 1, size=(self.tables, directions))
         self.width = settings.width
 
     def places(self, unit):
@@ -77,13 +78,19 @@ class Hashes:
 
 def entries(rows: DataFrame, k: int, vec_id="vec_id", embedding="embedding") -> DataFrame:
     """Usable rows as (id, vec, k1, k2); equal vectors share k1 and k2."""
-    values = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("vec")).filter(
+    kind = rows.select(embedding).schema[0].dataType
+    number = "float" if kind.simpleString() == "array<float>" else "double"  # no digit is lost
+    values = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(f"array<{number}>").alias("vec")).filter(
         "id is not null and vec is not null and size(vec) > 0")
     usable = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     return values.filter(F.coalesce(usable, F.lit(False))).withColumns(
         {"k1": F.xxhash64("vec"), "k2": F.xxhash64("vec", F.lit("second"))})
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["vec"].dataType.simpleString()
+
+
 def _matrix(column, dim: int):
     import numpy as np
     import pyarrow as pa
@@ -138,7 +145,7 @@ def _best_of_sample(classes: DataFrame, queries, dim: int, k: int):
                 yield pa.RecordBatch.from_arrays([pa.array(r), pa.array((unit @ _unit(v).T)[r, c]), pa.array(ids[c]), batch.column(1).take(pa.array(c))],
                                                  names=["q", "score", "id", "vec"])
 
-    found = mapped(classes.select("id", "vec"), best, "q long, score double, id long, vec array<float>")
+    found = mapped(classes.select("id", "vec"), best, f"q long, score double, id long, vec {_kind(classes)}")
     return found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(f"r <= {k}").collect()
 
 
@@ -147,21 +154,22 @@ def fit(classes: DataFrame, n: int, dim: int, k: int, settings: Settings) -> tup
     import math
 
     import numpy as np
-    directions = 0 if n < settings.brute_below else max(1, round(math.log(n / settings.per_cell) / math.log(settings.cells_per_direction)))
-    if not directions:
-        return Hashes(dim, 0, settings), 1
+    directions = max(1, round(math.log(max(n, 1) / settings.per_cell) / math.log(settings.cells_per_direction)))
     drawn = classes.select("id", "vec").orderBy(F.xxhash64("id", F.lit(settings.seed))).limit(settings.sample).collect()
     queries = [r["vec"] for r in drawn]
     found = [r for r in _best_of_sample(classes, queries, dim, k + 1) if r["id"] != drawn[r["q"]]["id"]]
+    if not found:  # a single vector
+        return Hashes(dim, 1, settings), 1
     near = _unit(np.array([r["vec"] for r in found], float))
     unit = _unit(np.array(queries, float))
-    while directions:
-        hashes = Hashes(dim, directions, settings)
+    tables = settings.tables
+    while True:
+        hashes = Hashes(dim, directions, settings, tables)
         own, theirs = hashes.places(unit), np.floor(hashes.places(near)).astype(np.int64)
         first = np.full(len(found), settings.max_probes)
         for q in range(len(queries)):
             of = [i for i, r in enumerate(found) if r["q"] == q]
-            for t in range(settings.tables):
+            for t in range(tables):
                 order = hashes.probes(own[q, t], settings.max_probes)
                 for i in of:
                     hit = np.flatnonzero((order == theirs[i, t] - np.floor(own[q, t]).astype(np.int64)).all(1))
@@ -170,8 +178,12 @@ def fit(classes: DataFrame, n: int, dim: int, k: int, settings: Settings) -> tup
         need = int(np.sort(first)[min(len(first) - 1, math.ceil(settings.recall * len(first)) - 1)]) + 1
         if need < settings.max_probes // 2:
             return hashes, need
-        directions -= 1
-    return Hashes(dim, 0, settings), 1
+        if tables < settings.max_tables:
+            tables *= 2
+        elif directions > 1:
+            directions, tables = directions - 1, settings.tables
+        else:
+            return hashes, 5 ** directions  # all cells within two of one's own
 
 
 def nearest(rows: DataFrame, is_query, k: int = 5, settings: Settings = Settings(), vec_id="vec_id", embedding="embedding") -> DataFrame:
@@ -204,7 +216,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, settings: Settings = Settings
 
 
 def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, settings: Settings) -> DataFrame:
-    cell = "cell long, kind int, id long, k1 long, k2 long, vec array<float>"
+    cell = f"cell long, kind int, id long, k1 long, k2 long, vec {_kind(classes)}"
 
     def place(batches):
         import numpy as np
@@ -213,7 +225,7 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
             if not len(batch):
                 continue
             cells = np.floor(hashes.places(_unit(_matrix(batch.column("vec"), dim)))).astype(np.int64)
-            for t in range(hashes.tables if hashes.m else 1):
+            for t in range(hashes.tables):
                 none = pa.nulls(len(batch), pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(hashes.codes(cells[:, t], t)), pa.array(np.ones(len(batch), np.int32)), batch.column("id"), none, none,
@@ -228,7 +240,7 @@ def _search(classes, queries, hashes: Hashes, probes: int, dim: int, k: int, set
             at = hashes.places(_unit(_matrix(batch.column("vec"), dim)))
             for q in range(len(batch)):
                 codes = [hashes.codes(np.floor(at[q, t]).astype(np.int64) + hashes.probes(at[q, t], probes), t)
-                         for t in range(hashes.tables if hashes.m else 1)]
+                         for t in range(hashes.tables)]
                 codes = np.unique(np.concatenate(codes))
                 take = pa.array(np.full(len(codes), q))
                 yield pa.RecordBatch.from_arrays([

@@ -10,7 +10,7 @@ empty one.
 """
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from curbloop.llm.ranges import order_key, range_index, weighted_splitters
+from curbloop.llm.ranges import MAX_RANGES, order_key, range_index, weighted_splitters, with_range
 
 ROW_COST = 16
 
@@ -20,21 +20,23 @@ def split_ranges(rows: DataFrame, key: Column, key_type: str, size: Column, rows
     """Splitters whose ranges hold about the given rows and bytes.
 
     A range with over twice its share is subdivided by a sample drawn from overfull ranges only. A single key value is
-    never cut. At most ``max_ranges`` ranges are made by the first draw, and twice as many in all."""
+    never cut. At most ``max_ranges`` ranges (65,536, what the driver can hold) are made by the first draw, and twice as many in all."""
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     n_ranges = int(min(max_ranges, max(1, total["n"] // rows_per_range, total["b"] // bytes_per_range)))
-    splitters = weighted_splitters(rows, key, size, n_ranges)
-    for _ in range(rounds):
-        held = rows.groupBy(range_index(key, splitters, key_type).alias("range")).agg(
+    splitters = weighted_splitters(rows, key, size, n_ranges, total["b"])
+    for again in range(rounds):
+        ranged = with_range(rows, key, splitters, key_type, "_over")
+        held = ranged.groupBy(F.col("_over").alias("range")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), (F.min(key) != F.max(key)).alias("divisible"))
         counted = held.collect()  # one row per range
         share = max(1, total["b"] // max(1, n_ranges))
         over = [r["range"] for r in counted if r["divisible"] and r["b"] > 2 * share]
         if not over or len(splitters) >= 2 * max_ranges:
             break
-        inside = rows.filter(range_index(key, splitters, key_type).isin(over))
-        parts = sum(r["b"] for r in counted if r["range"] in set(over)) // share + len(over)
-        more = weighted_splitters(inside, key, size, int(min(parts, 2 * max_ranges - len(splitters))) + 1)
+        inside = ranged.filter(F.col("_over").isin(over))
+        held_over = sum(r["b"] for r in counted if r["range"] in set(over))
+        more = weighted_splitters(inside, key, size, int(min(held_over // share + len(over), 2 * max_ranges - len(splitters))) + 1,
+                                  held_over, seed=again + 2)
         merged = sorted({*map(tuple, splitters), *map(tuple, more)}, key=lambda k: [(v is not None, v if v is not None else 0) for v in k])
         if len(merged) == len(splitters):
             break
@@ -44,7 +46,7 @@ def split_ranges(rows: DataFrame, key: Column, key_type: str, size: Column, rows
 
 def shard(docs: DataFrame, n_shards: int = 40, text="text", doc_id="doc_id", group: Column | None = None,
           size: Column | None = None, rows_per_range: int = 20_000,
-          bytes_per_range: int = 64 << 20, max_ranges: int = 2048, keep=None) -> DataFrame:
+          bytes_per_range: int = 64 << 20, max_ranges: int = MAX_RANGES, keep=None) -> DataFrame:
     """Add ``size``, ``shard`` and ``slot``. Shards are near equal in size: record boundaries are the only difference.
 
     Records are ordered by ``group`` (a 64-bit hash of the text by default, so equal texts are neighbours) and then by id, so a
@@ -59,9 +61,9 @@ def shard(docs: DataFrame, n_shards: int = 40, text="text", doc_id="doc_id", gro
     key = order_key("_group", "_id")
     key_type = f"struct<k0:bigint,k1:{rows.schema['_id'].dataType.simpleString()}>"
     splitters = split_ranges(rows, key, key_type, F.col("size"), rows_per_range, bytes_per_range, max_ranges)
-    rows = rows.withColumn("_range", range_index(key, splitters, key_type))
+    rows = with_range(rows, key, splitters, key_type, "_range")
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range, at most 4096
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range, at most 2 * max_ranges
     starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_rows_before"),
                           F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_size_before"))
     total = sizes.agg(F.coalesce(F.sum("b"), F.lit(1))).first()[0]

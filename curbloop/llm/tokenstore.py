@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curbloop.llm.batches import mapped
 from curbloop.llm.files import CommittedFile, open_store
-from curbloop.llm.ranges import order_key, range_index, weighted_splitters
+from curbloop.llm.ranges import order_key, weighted_splitters, with_range
 from curbloop.llm.tokens import encoder, public_path
 from curbloop.operators.scratch import stage
 
@@ -59,12 +59,21 @@ class EliasFano:
             low |= (self.low[bit // 8] >> bit % 8 & 1) << b
         return (place - k) << self.low_bits | low
 
-    def all(self):
+    def run(self, k: int, n: int):
+        """Numbers k to k + n - 1: the bits from the sample before the first to the sample after the last are decoded, no others."""
         import numpy as np
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[:self.n]
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[:self.n * self.low_bits]
-        low = low.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return (places - np.arange(self.n)) << self.low_bits | low
+        n = min(n, self.n - k)
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        first, after = k // STEP, -(-(k + n) // STEP)
+        begin = int(self.samples[first]) // 8
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8, end - begin, begin), bitorder="little")) + begin * 8
+        places = places[places >= int(self.samples[first])][k - first * STEP:][:n]
+        begin = k * self.low_bits // 8
+        low = np.unpackbits(np.frombuffer(self.low, np.uint8, -(-(k + n) * self.low_bits // 8) - begin, begin), bitorder="little")
+        low = low[k * self.low_bits - begin * 8:][:n * self.low_bits].reshape(n, self.low_bits).astype(np.int64)
+        return (places - np.arange(k, k + n)) << self.low_bits | low @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
@@ -100,7 +109,7 @@ class StoreWriter:
 
 
 class StoreFile:
-    """Random access to one file: ``doc_id(k)``, ``span(k)``, ``ids(first, end)``."""
+    """Random access to one file: ``doc_id(k)``, ``span(k)``, ``ids(first, end)``, and blocks of documents."""
 
     def __init__(self, store, path: str):
         self.stream = store.open_input_file(path)
@@ -121,8 +130,12 @@ class StoreFile:
         k -= self.footer["nulls"]
         return None if k < 0 else self.footer["base"] + self.known.select(k)
 
-    def doc_ids(self) -> list:
-        return [None] * self.footer["nulls"] + (self.known.all() + self.footer["base"]).tolist()
+    def block(self, k: int, n: int = STEP) -> tuple:
+        """Ids of documents k to k + n - 1, and their boundaries, of which there is one more."""
+        ends = self.ends.run(k, n + 1)
+        nulls = min(max(0, self.footer["nulls"] - k), len(ends) - 1)
+        first = max(0, k - self.footer["nulls"])
+        return [None] * nulls + (self.known.run(first, len(ends) - 1 - nulls) + self.footer["base"]).tolist(), ends
 
     def span(self, k: int) -> tuple[int, int]:
         return self.ends.select(k), self.ends.select(k + 1)
@@ -139,9 +152,9 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     path = path or public_path("word_bpe_49k.json")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
-    n_shards = int(rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] // shard_bytes) + 1
-    key = order_key("doc_id", F.lit(0))
-    splitters = weighted_splitters(rows, key, size, n_shards)
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    key = order_key("doc_id", F.xxhash64("text"))  # rows that share an id are cut between texts
+    splitters = weighted_splitters(rows, key, size, int(total // shard_bytes) + 1, total)
     width = 2 if encoder(path).tokenizer.get_vocab_size(True) <= 1 << 16 and end_id < 1 << 16 else 4
 
     def write(batches):
@@ -164,14 +177,16 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "path", "docs", "tokens", "bytes"), d)) for d in done], schema=pa.schema(
             [("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    dealt = rows.withColumn("shard", range_index(key, splitters, "struct<k0:bigint,k1:int>")).select("shard", "doc_id", "text")
+    dealt = with_range(rows, key, splitters, "struct<k0:bigint,k1:bigint>", "shard").select("shard", "doc_id", "text")
     dealt = dealt.repartitionById(len(splitters) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     manifest = mapped(dealt, write, "shard int, path string, docs long, tokens long, bytes long")
     return stage(manifest, "token-manifest")
 
 
 def read_store(manifest: DataFrame, folder: str, batch_ids: int = 1 << 20) -> DataFrame:
-    """Documents (doc_id, start, n_tokens, ids) from the files: start counts the ids of all documents before."""
+    """Documents (doc_id, start, n_tokens, ids) from the files: start counts the ids of all documents before.
+
+    Boundaries are selected 256 documents at a time, so a task holds no table of a whole file."""
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     files = manifest.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
 
@@ -181,16 +196,18 @@ def read_store(manifest: DataFrame, folder: str, batch_ids: int = 1 << 20) -> Da
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns)):
                 file = StoreFile(store, path)
-                ends, names, k = file.ends.all(), file.doc_ids(), 0
-                while k < len(file):
-                    last = max(k + 1, int(ends.searchsorted(ends[k] + batch_ids, "right")) - 1)
-                    ids = file.ids(int(ends[k]), int(ends[last])).astype("<u4")
-                    cuts = ends[k:last + 1] - ends[k]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(names[k:last], pa.int64()), pa.array(ends[k:last] + start), pa.array(cuts[1:] - cuts[:-1]),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"])
-                    k = last
+                for k in range(0, len(file), STEP):
+                    names, ends = file.block(k)
+                    at = 0
+                    while at < len(names):
+                        last = max(at + 1, int(ends.searchsorted(ends[at] + batch_ids, "right")) - 1)
+                        ids = file.ids(int(ends[at]), int(ends[last])).astype("<u4")
+                        cuts = ends[at:last + 1] - ends[at]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(names[at:last], pa.int64()), pa.array(ends[at:last] + start), pa.array(cuts[1:] - cuts[:-1]),
+                            pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                            names=["doc_id", "start", "n_tokens", "ids"])
+                        at = last
 
     n = max(1, manifest.count())
     return mapped(files.repartition(n), read, "doc_id long, start long, n_tokens long, ids binary")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from curbloop.llm.batches import mapped
 from curbloop.llm.files import CommittedFile, open_store
-from curbloop.llm.ranges import order_key, range_index, weighted_splitters
+from curbloop.llm.ranges import order_key, weighted_splitters, with_range
 from curbloop.operators.layout import skew_join
 from curbloop.operators.scratch import stage
 
@@ -84,15 +84,15 @@ def write_archive(pages: DataFrame, folder: str, page_id="page_id", url="url", p
                         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_payload"))
     rows = rows.withColumn("_digest", F.sha1("_payload"))
     size = F.octet_length("_payload") + 256
-    n_shards = int(rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] // shard_bytes) + 1
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     key = order_key("_id", "_digest")
     key_type = "struct<k0:bigint,k1:string>"
-    splitters = weighted_splitters(rows, key, size, n_shards)
+    splitters = weighted_splitters(rows, key, size, int(total // shard_bytes) + 1, total)
     links = _originals(rows, min_bytes).select("_id", F.lit(None).cast("string").alias("_url"), F.lit(None).cast("binary").alias("_payload"),
                                                "_digest", "_first", F.lit(True).alias("_link"))
     records = rows.select("_id", "_url", "_payload", "_digest", F.lit(None).cast("long").alias("_first"), F.lit(False).alias("_link"))
     # links come just before the record they belong to, so payloads move once
-    both = links.unionByName(records).withColumn("_shard", range_index(key, splitters, key_type))
+    both = with_range(links.unionByName(records), key, splitters, key_type, "_shard")
     both = both.repartitionById(len(splitters) + 1, "_shard").sortWithinPartitions(
         "_shard", "_id", "_digest", F.col("_link").desc(), F.col("_url"))
 

@@ -1,8 +1,10 @@
 """Encoding, packing and the token store: exact round trips."""
 import random
+import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from curbloop.llm import packing, queries, tokenstore
@@ -96,12 +98,43 @@ def test_elias_fano():
     for n, top in [(0, 0), (1, 0), (1, 10**9), (3000, 40), (3000, 10**12), (700, 700)]:
         values = sorted(rng.randint(0, top) for _ in range(n))
         coded = tokenstore.EliasFano.from_bytes(tokenstore.EliasFano.build(values).to_bytes())
-        assert coded.all().tolist() == values
+        assert coded.run(0, n).tolist() == values
+        for _ in range(40):
+            k, length = rng.randint(0, n), rng.choice([0, 1, 5, 256, 257, 2000])
+            assert coded.run(k, length).tolist() == values[k:k + length]
         assert [coded.select(k) for k in range(0, n, 7)] == values[::7]
         if n == 3000 and top > 10**9:
             assert len(coded.to_bytes()) < n * 5  # about 2 + log2(top / n) bits each
 
 
+def test_boundaries_are_read_by_blocks():
+    """A run touches the bytes between two samples only: those outside may be anything."""
+    values = [i * 1000 + i % 7 for i in range(100_000)]
+    coded = tokenstore.EliasFano.build(values)
+    k = 51_200
+    begin, end = int(coded.samples[k // 256]) // 8, int(coded.samples[k // 256 + 2]) // 8 + 1
+    coded.high = b"\xff" * begin + coded.high[begin:end] + b"\xff" * (len(coded.high) - end)
+    low = k * coded.low_bits // 8
+    coded.low = b"\xff" * low + coded.low[low:low + 257 * coded.low_bits // 8 + 2] + b"\xff" * (len(coded.low) - low - 257 * coded.low_bits // 8 - 2)
+    assert coded.run(k, 257).tolist() == values[k:k + 257]
+
+
+def test_one_id_holding_most_rows_is_cut(spark):
+    rows = spark.range(0, 4000, 1, 6).select(F.when(F.col("id") % 3 > 0, F.lit(5)).when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"),
+                                             F.concat(F.lit("text "), F.col("id")).alias("text"))
+    folder = new_path(spark, "test-store")
+    manifest = tokenstore.write_store(rows, folder, shard_bytes=4000)
+    share = 4000 / manifest.count()
+    assert manifest.count() > 15 and manifest.agg(F.max("docs")).first()[0] < 2.5 * share
+    got = tokenstore.read_store(manifest, folder).collect()
+    library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    want = sorted((r.doc_id is not None, r.doc_id or 0, tuple([*library.encode(r.text, add_special_tokens=False).ids, 1])) for r in rows.collect())
+    have = sorted((r.doc_id is not None, r.doc_id or 0, struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in got)
+    assert have == want
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order)
+
+
 def test_token_store_round_trip(spark, clashing, empty):
     folder = new_path(spark, "test-store")
     manifest = tokenstore.write_store(clashing, folder, shard_bytes=200)
@@ -118,7 +151,7 @@ def test_token_store_round_trip(spark, clashing, empty):
         at += len(want)
     store, _ = tokenstore.open_store(folder)
     first = tokenstore.StoreFile(store, manifest.orderBy("shard").first().path)
-    assert first.doc_id(0) is None and first.span(0)[0] == 0 and first.doc_ids()[0] is None
+    assert first.doc_id(0) is None and first.span(0)[0] == 0 and first.block(0)[0][0] is None
     other = new_path(spark, "test-store")
     again = tokenstore.write_store(clashing.repartition(5), other, shard_bytes=200)
     def contents(m):

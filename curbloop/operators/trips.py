@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curbloop.functions import clock, geo
 from curbloop.functions.projection import project_columns
-from curbloop.operators.layout import dense_ids, part_of
+from curbloop.operators.layout import dense_ids, part_of, slots
 from curbloop.operators.scratch import stage
 from curbloop.params import Params
 
@@ -20,14 +20,13 @@ def segment_trips(points: DataFrame, params: Params = Params()) -> DataFrame:
     ``points`` needs gid, device_id, ts_ms, t, x, y. A trip is (device_id, trip_start); ``trip_seq`` counts the
     trips of a device and ``ptid`` the points of a trip.
 
-    Points are shuffled once, by device and hour. Everything that crosses an hour travels through summary
-    tables with a few rows per device and hour, joined back on the same keys.
+    Points are shuffled once, by device and hour; an hour of more than ``chunk_rows`` pings is cut into slots between seconds.
+    Everything that crosses an hour or slot travels through summary tables with a few rows for each, joined back on the same keys.
     """
-    chunk = ["device_id", "chunk"]
+    hour, chunk = ["device_id", "chunk"], ["device_id", "chunk", "slot"]
     order = ["t", "ts_ms", "gid"]
-    rows = (points.select("gid", "device_id", "ts_ms", "t", "x", "y",
-                          F.expr(f"t div {params.chunk_secs}").alias("chunk"))
-            .repartition(*chunk))
+    hours = points.select("gid", "device_id", "ts_ms", "t", "x", "y", F.expr(f"t div {params.chunk_secs}").alias("chunk"))
+    rows = slots(hours, hour, "t", params.chunk_rows).repartition(*chunk)
     here = F.struct("t", "x", "y")
     in_chunk = W.partitionBy(*chunk).orderBy(*order)
     by_device = W.partitionBy("device_id")
@@ -35,7 +34,7 @@ def segment_trips(points: DataFrame, params: Params = Params()) -> DataFrame:
     edges = (rows.groupBy(*chunk)
              .agg(F.count(F.lit(1)).alias("n"), F.max_by(here, F.struct(*order)).alias("last"))
              .select(*chunk, F.sum("n").over(by_device).alias("point_count"),
-                     F.lag("last").over(by_device.orderBy("chunk")).alias("carried")))
+                     F.lag("last").over(by_device.orderBy("chunk", "slot")).alias("carried")))
 
     gap = F.abs(F.col("t") - F.col("prev.t"))
     moved = (rows.withColumn("prev", F.lag(here).over(in_chunk))
@@ -54,7 +53,7 @@ def segment_trips(points: DataFrame, params: Params = Params()) -> DataFrame:
     kept = moved.withColumn("piece", F.sum(F.col("start").cast("int")).over(W.partitionBy(*chunk).orderBy("t")))
 
     # a piece is the share of a trip inside one chunk; piece 0 goes on with the trip of the chunk before
-    by_piece = by_device.orderBy("chunk", "piece")
+    by_piece = by_device.orderBy("chunk", "slot", "piece")
     by_trip = W.partitionBy("device_id", "trip_seq")
     before = (W.unboundedPreceding, -1)
     pieces = (kept.groupBy(*chunk, "piece")
@@ -68,7 +67,7 @@ def segment_trips(points: DataFrame, params: Params = Params()) -> DataFrame:
               .withColumns({
                   "trip_start": F.min("first_t").over(by_trip),
                   "carried": F.lag("last").over(by_piece),
-                  "shift": F.coalesce(F.sum("n").over(by_trip.orderBy("chunk", "piece").rowsBetween(*before)), F.lit(0))
+                  "shift": F.coalesce(F.sum("n").over(by_trip.orderBy("chunk", "slot", "piece").rowsBetween(*before)), F.lit(0))
                   - F.coalesce(F.sum("n").over(W.partitionBy(*chunk).orderBy("piece").rowsBetween(*before)), F.lit(0))}))
     # trips inside a chunk are more than trip_gap apart, so the map has a handful of entries
     info = pieces.groupBy(*chunk).agg(F.map_from_entries(F.collect_list(F.struct(

@@ -51,6 +51,7 @@ class Params:
     fix_holidays: bool = False
     # physical layout: no task ever has to hold more of one device or trip than this
     chunk_secs: int = 3600           # time slice of a device or trip
+    chunk_rows: int = 500_000        # pings of a device in one task, about: fuller slices are cut between seconds
     part_rows: int = 50_000          # points of a trip in one part
     viterbi_steps: int = 512         # pings decoded in one group, at most
     viterbi_rows: int = 1_000_000    # links in one group, about

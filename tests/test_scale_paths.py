@@ -45,6 +45,49 @@ def test_dense_ids(spark):
     assert sorted(r.trip_id for r in got.collect()) == list(range(1, 501))
 
 
+@pytest.mark.parametrize("level", [2, 7, 4096])
+def test_buckets_follow_rows(spark, level):
+    rows = spark.range(500).selectExpr("id AS d")
+    got = layout.dense_ids(rows, ["d"], ["d"], buckets=4, rows_per_bucket=3, level=level)
+    assert sorted(r.trip_id for r in got.collect()) == list(range(1, 501))
+    plain = {r.d: r.trip_id for r in layout.dense_ids(rows, ["d"], ["d"], buckets=167).collect()}
+    assert {r.d: r.trip_id for r in got.collect()} == plain
+    assert layout.dense_ids(rows.limit(0), ["d"], ["d"]).count() == 0
+
+
+def busy_pings(spark):
+    """One device holds half of all pings in one hour, most of its seconds several times; ten others are spread out."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        t = rng.randrange(0, 500) if i % 3 else rng.randrange(1500, 3600)
+        rows.append((i, "busy", t * 1000 + rng.randrange(1000), t, rng.uniform(0, 300), rng.uniform(0, 300)))
+    for d in range(10):
+        rows += [(10_000 + 300 * d + i, f"d{d}", (t := d * 977 + i * 45) * 1000, t, i * 20.0, d * 5.0) for i in range(300)]
+    return spark.createDataFrame(rows, "gid long, device_id string, ts_ms long, t long, x double, y double")
+
+
+@pytest.mark.parametrize("chunk_rows, known_keys", [(40, 100), (333, 100), (40, 0)])
+def test_full_hours_are_cut(spark, chunk_rows, known_keys):
+    rows = busy_pings(spark).withColumn("chunk", F.expr("t div 3600"))
+    cut = layout.slots(rows, ["device_id", "chunk"], "t", chunk_rows, known_keys=known_keys)
+    sizes = [r["count"] for r in cut.groupBy("device_id", "chunk", "slot").count().collect()]
+    second = max(r["count"] for r in rows.groupBy("device_id", "t").count().collect())
+    assert max(sizes) < chunk_rows + second and cut.count() == rows.count()
+    assert cut.groupBy("device_id", "t").agg(F.count_distinct("slot").alias("n")).filter("n > 1").count() == 0
+    busy = sorted((r.t, r.slot) for r in cut.filter("device_id = 'busy'").collect())
+    assert [s for _, s in busy] == sorted(s for _, s in busy) and len({s for _, s in busy}) > 3000 // (2 * chunk_rows)
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 40, 333])
+def test_cut_hours_do_not_change_trips(spark, chunk_rows):
+    rows = busy_pings(spark)
+    base = trips.segment_trips(rows, Params(trip_pings_min=5, chunk_rows=10**9))
+    cut = trips.segment_trips(rows, Params(trip_pings_min=5, chunk_rows=chunk_rows))
+    want = sorted(map(tuple, base.select(sorted(base.columns)).collect()), key=repr)
+    assert want and sorted(map(tuple, cut.select(sorted(cut.columns)).collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("size", [2, 3, 7, 100])
 def test_stretches_decode_the_best_chain(spark, size):
     rng = random.Random(4)

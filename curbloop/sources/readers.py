@@ -43,7 +43,7 @@ def read_pings(spark: SparkSession, path: str) -> DataFrame:
     """Headerless quoted CSV (gz or plain): gid, device_id, id_type, latitude, longitude, h_acc, ts_ms.
 
     A gz file is one task, so rows are spread over the cluster by the shuffle that follows. ``gid`` is a hash of the
-    row, the same in every attempt and every later read.
+    row, the same in every attempt and every later read; repeated rows share it.
     """
     rows = spark.read.schema(PING_FILE).option("quote", '"').csv(path)
     kept = rows.select("device_id", "id_type", "latitude", "longitude", "h_acc", F.col("timestamp").alias("ts_ms"))

@@ -73,9 +73,9 @@ _SENT: set = set()
 
 
 def send_package(spark: SparkSession) -> None:
-    """Executors get the package as a zip file, once an application. A session of one process has it."""
+    """Python workers get the package as a zip file, once an application: also those of a local session started in another folder."""
     app = spark.sparkContext.applicationId
-    if app in _SENT or LOCAL.fullmatch(spark.conf.get("spark.master", "")):
+    if app in _SENT:
         return
     root = Path(__file__).resolve().parents[2]
     spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/curbloop", "zip", root, "curbloop"))

@@ -5,6 +5,7 @@ from cases import inputs, studies
 from cases.inputs import rounded
 from curbloop.operators import network, studies as study, trips
 from curbloop.operators.scratch import new_path
+from curbloop.params import Params
 from curbloop.plans import run
 from curbloop.sources import readers
 
@@ -95,5 +96,35 @@ def appended_traces(spark, sf_dir):
 APPENDED_TRACES = """WITH b AS (SELECT user_id % 3 AS batch, count(DISTINCT user_id) AS n FROM events GROUP BY 1)
 SELECT batch, n, n AS n_ids, (1 + sum(n) OVER w - n)::BIGINT AS lowest, (sum(n) OVER w)::BIGINT AS highest FROM b WINDOW w AS (ORDER BY batch)"""
 
-CASES = {"ping_files": (ping_files, PING_FILES), "sensor_files": (sensor_files, SENSOR_FILES), "meter_files": (meter_files, METER_FILES),
+def layer_files(spark, sf_dir):
+    """Streets written as CSV with binary lines and read back with their types."""
+    path = new_path(spark, "layer-files")
+    readers.export_csv(inputs.streets(spark, sf_dir), path)
+    back = readers.read_layer(spark, path, "streets")
+    return rounded(back.selectExpr("id", "osm_id", "source", "target", "cost", "reverse_cost", "km", "kmh", "clazz", "size(geom_way) AS n", "geom_way[0].x AS x1",
+                                   "geom_way[0].y AS y1", "geom_way[1].x AS x2", "geom_way[1].y AS y2"), 6)
+
+
+LAYER_FILES = f"""WITH {inputs.GRID}
+SELECT id, id + 7000000 AS osm_id, source, target, round(cost, 6) AS cost, round(reverse_cost, 6) AS reverse_cost, km, kmh::DOUBLE AS kmh, clazz, 2 AS n,
+       x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM grid"""
+
+
+def trace_files(spark, sf_dir):
+    """Vendor traces as CSV, lines with measures and ends as text, read back into traces and points."""
+    path = new_path(spark, "trace-files")
+    parts = trips.line_parts(inputs.drives(spark, sf_dir), Params())
+    ends = trips.trip_ends(inputs.drives(spark, sf_dir)).selectExpr("trip_id", "named_struct('x', end_x, 'y', end_y) AS end_geom", "trip_id % 3 = 0 AS start_good")
+    readers.export_csv(parts.filter("part = 0").selectExpr("trip_id", "line AS lines_geom").join(ends, "trip_id"), path)
+    traces, points = run.vendor_traces(readers.read_layer(spark, path, "traces"))
+    sizes = points.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    return rounded(traces.join(sizes, "trip_id").join(trips.line_lengths(points), "trip_id"))
+
+
+TRACE_FILES = f"""WITH {inputs.DRIVES},
+s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM drives WINDOW w AS (PARTITION BY trip_id ORDER BY ptid))
+SELECT trip_id, trip_id % 3 = 0 AS start_good, round(arg_min(x, ptid), 3) AS start_x, round(arg_min(y, ptid), 3) AS start_y, round(arg_max(x, ptid), 3) AS end_x,
+       round(arg_max(y, ptid), 3) AS end_y, count(*) AS n, min(t) AS t0, max(t) AS t1, round(coalesce(sum(step), 0), 3) AS length FROM s GROUP BY trip_id"""
+
+CASES = {"layer_files": (layer_files, LAYER_FILES), "trace_files": (trace_files, TRACE_FILES), "ping_files": (ping_files, PING_FILES), "sensor_files": (sensor_files, SENSOR_FILES), "meter_files": (meter_files, METER_FILES),
          "appended_traces": (appended_traces, APPENDED_TRACES), "run_all": (run_all, None)}

@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from cases import inputs
-from cases.inputs import rounded
+from cases.inputs import lambert_sql, rounded
 from curbloop.functions import geo
-from curbloop.operators import spatial, studies, trips
+from curbloop.operators import frechet, spatial, studies, trips
 from curbloop.params import Params
 
 def sensor_rows(spark, sf_dir):
@@ -60,6 +60,18 @@ METER_POINTS = """SELECT event_id, lpad((event_id % 1000)::VARCHAR, 3, '0') || l
    round(-122 - event_id % 777 / 1000::DOUBLE, 6) AS longitude, round(37 + event_id % 1000 / 1000::DOUBLE, 6) AS latitude FROM events"""
 
 
+def meter_metres(spark, sf_dir):
+    """Meters on the plane of their region."""
+    meters = inputs.table(spark, sf_dir, "events").selectExpr(
+        "event_id", "concat(lpad(cast(event_id % 1000 AS string), 3, '0'), '-', lpad(cast(event_id % 97 AS string), 5, '0')) AS post_id",
+        "concat('(', cast(37 + event_id % 1000 / 1000D AS string), ', ', cast(-122 - event_id % 777 / 1000D AS string), ')') AS location")
+    return rounded(studies.meter_points(meters, "sf").select("event_id", "blockid", "x", "y"))
+
+
+METER_METRES = "WITH m AS ({m}) SELECT event_id, blockid, round({x}, 3) AS x, round({y}, 3) AS y FROM m".format(
+    m=METER_POINTS, **dict(zip("xy", lambert_sql("longitude", "latitude", "sf"))))
+
+
 #: Corners of a block around its centre: a box of 200 x 60 m, and a U of 260 x 260 m whose notch, 40 m wide, comes from the north down to
 #: 70 m below the centre, so that streets run from arm to arm through it.
 BOX = [(-100, -30), (100, -30), (100, 30), (-100, 30)]
@@ -184,6 +196,38 @@ JOIN (SELECT traceid, min(t) AS t0, count(*) AS n_points, count(*) FILTER (cruis
       FROM secs GROUP BY traceid) USING (traceid)"""
 
 
+def survey_lines(spark, sf_dir):
+    """Lines, cruise lines and ends in metres, and the numbers of the points."""
+    traces, points, cruising = studies.survey_lines(*survey_inputs(spark, sf_dir), "sf", Params(part_rows=50))
+    few = Params(part_rows=20)
+
+    def line(rows, name):
+        sizes = rows.groupBy("trip_id").agg(F.count(F.lit(1)).alias(f"{name}_points"), F.max("ptid").alias(f"{name}_last"), F.min("t").alias(f"{name}_from"),
+                                            F.max("t").alias(f"{name}_to"))
+        return sizes.join(trips.line_lengths(rows, few).withColumnRenamed("length", f"{name}_length"), "trip_id")
+
+    out = traces.join(line(points, "line"), "trip_id").join(line(cruising, "cruise"), "trip_id", "left")
+    return rounded(out.drop("trip_id", "end_lon", "end_lat", "t0", "n_points", "n_cruise"), 2)
+
+
+_SX, _SY = lambert_sql("lon", "lat", "sf")
+_EX, _EY = lambert_sql("end_lon", "end_lat", "sf")
+SURVEY_LINES = f"""WITH logs AS ({_LOGS.format(f='::DOUBLE', user='user_id::VARCHAR', events='events')}),
+rows AS (SELECT *, start_ms + frametime AS ms, CASE WHEN user_id % 3 <> 0 AND user_id % 4 <> 0 THEN frametime >= 9000 END AS cruise
+         FROM logs WHERE lat IS NOT NULL),
+secs AS (SELECT traceid, ms // 1000 AS t, avg(lon) AS lon, avg(lat) AS lat, coalesce(bool_and(cruise), false) AS cruise FROM rows GROUP BY ALL),
+plane AS (SELECT *, {_SX} AS x, {_SY} AS y FROM secs),
+steps AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM plane WINDOW w AS (PARTITION BY traceid ORDER BY t)),
+cruising AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM plane WHERE cruise WINDOW w AS (PARTITION BY traceid ORDER BY t)),
+ends AS (SELECT traceid, arg_max(lon, ms) AS end_lon, arg_max(lat, ms) AS end_lat,
+                max(CASE WHEN user_id % 3 = 0 OR user_id % 5 < 2 THEN '' ELSE user_id::VARCHAR END) AS dest FROM rows GROUP BY traceid),
+l AS (SELECT traceid, arg_min(x, t) AS sx, arg_min(y, t) AS sy, count(*) AS n, min(t) AS t0, max(t) AS t1, coalesce(sum(d), 0) AS d FROM steps GROUP BY 1),
+c AS (SELECT traceid, count(*) AS n, min(t) AS t0, max(t) AS t1, coalesce(sum(d), 0) AS d FROM cruising GROUP BY 1)
+SELECT traceid, dest, round({_EX}, 2) AS end_x, round({_EY}, 2) AS end_y, round(sx, 2) AS start_x, round(sy, 2) AS start_y, l.n AS line_points, l.n AS line_last,
+       l.t0 AS line_from, l.t1 AS line_to, round(l.d, 2) AS line_length, c.n AS cruise_points, c.n AS cruise_last, c.t0 AS cruise_from, c.t1 AS cruise_to,
+       round(c.d, 2) AS cruise_length FROM ends JOIN l USING (traceid) LEFT JOIN c USING (traceid)"""
+
+
 def video_traces(spark, sf_dir):
     """Device and trip numbers from users; positions in metres; tracts are the block groups without one row."""
     pings = inputs.drives(spark, sf_dir).selectExpr(
@@ -220,6 +264,58 @@ SELECT trip_id AS gpstripid, trip_id % 13 AS sampno, trip_id % 3 AS vehno, max(t
        round(arg_max(y, ptid), 3) AS end_y FROM drives WHERE trip_id % 4 <> 0 GROUP BY trip_id"""
 
 
+def household_lines(spark, sf_dir):
+    """Survey points in degrees, numbered from 1000 in steps of 3, as lines in metres; trips that end away from streets go."""
+    drives = inputs.drives(spark, sf_dir)
+    keys = "trip_id AS gpstripid, trip_id % 13 AS sampno, trip_id % 3 AS vehno"
+    points = drives.selectExpr(*keys.split(", "), "1000 + 3 * ptid AS localid", "t", "x", "y")
+    ends = trips.trip_ends(drives).selectExpr(*keys.split(", "), "end_x + if(trip_id % 4 = 0, 3000, 40) AS end_x", "end_y")
+    traces = studies.household_traces(points, ends, inputs.streets(spark, sf_dir))
+    degrees = points.withColumns({"longitude": F.expr("-122.4D + (x - 20000 * (gpstripid div 10)) / 1e5D"),
+                                  "latitude": F.expr("37.7D + (y - 20000 * (gpstripid div 10)) / 1e5D")}).drop("x", "y")
+    traces, lines = studies.household_lines(degrees, traces, "sf", Params(part_rows=50))
+    sizes = lines.groupBy("trip_id").agg(F.max("ptid").alias("last"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum(F.col("ptid") * F.col("t")).alias("in_order"))
+    out = traces.join(sizes, "trip_id").join(trips.line_lengths(lines, Params(part_rows=20)), "trip_id")
+    return rounded(out.drop("trip_id"), 2)
+
+
+_HX, _HY = lambert_sql("lon", "lat", "sf")
+HOUSEHOLD_LINES = f"""WITH {inputs.DRIVES},
+d AS (SELECT *, -122.4::DOUBLE + (x - 20000 * (trip_id // 10)) / 1e5::DOUBLE AS lon, 37.7::DOUBLE + (y - 20000 * (trip_id // 10)) / 1e5::DOUBLE AS lat
+      FROM drives WHERE trip_id % 4 <> 0),
+m AS (SELECT trip_id, ptid, t, {_HX} AS x, {_HY} AS y FROM d),
+s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM m WINDOW w AS (PARTITION BY trip_id ORDER BY ptid))
+SELECT trip_id AS gpstripid, trip_id % 13 AS sampno, trip_id % 3 AS vehno, max(t) AS endtime, count(*) AS n_points, round(arg_min(x, ptid), 2) AS start_x,
+       round(arg_min(y, ptid), 2) AS start_y, round(arg_max(x, ptid), 2) AS end_x, round(arg_max(y, ptid), 2) AS end_y, max(ptid) AS last, min(t) AS t0,
+       max(t) AS t1, sum(ptid * t)::BIGINT AS in_order, round(coalesce(sum(step), 0), 2) AS length FROM s GROUP BY trip_id"""
+
+
+#: Every third point of a drive, aside of it; each tenth of these lies far back.
+_ROUGH = "(ptid + 2) {div} 3 AS ptid, x + 7 * cos(ptid) - CASE WHEN (ptid + 2) {div} 3 % 10 = 0 THEN 150 ELSE 0 END AS x, y + 25 AS y"
+
+
+def frechet_distance(spark, sf_dir):
+    """Drives against rough copies of them, in blocks of 16 points."""
+    drives = inputs.drives(spark, sf_dir).select("trip_id", "ptid", "x", "y")
+    rough = drives.filter("ptid % 3 = 1").selectExpr("trip_id", *_ROUGH.format(div="div").split(", "))
+    return rounded(frechet.frechet_distance(drives, rough, part_rows=16))
+
+
+FRECHET_DISTANCE = f"""WITH RECURSIVE {inputs.DRIVES},
+a AS (SELECT trip_id, list(x ORDER BY ptid) AS ax, list(y ORDER BY ptid) AS ay FROM drives GROUP BY 1),
+r AS (SELECT trip_id, {_ROUGH.format(div='//')} FROM drives WHERE ptid % 3 = 1),
+b AS (SELECT trip_id, list(x ORDER BY ptid) AS bx, list(y ORDER BY ptid) AS b_y FROM r GROUP BY 1),
+p AS (SELECT *, len(ax) AS n, len(bx) AS m FROM a JOIN b USING (trip_id)),
+-- diagonal s holds the entries (i, s - i) for every i, and those of the diagonal before
+f AS (SELECT trip_id, 1 AS s, list_transform(range(n), lambda i: NULL::DOUBLE) AS now, list_transform(range(n), lambda i: NULL::DOUBLE) AS last FROM p
+      UNION ALL
+      SELECT p.trip_id, s + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN s + 1 - i BETWEEN 1 AND m THEN
+               greatest(sqrt(pow(ax[i] - bx[s + 1 - i], 2) + pow(ay[i] - b_y[s + 1 - i], 2)),
+                        least(now[i], CASE WHEN i > 1 THEN now[i - 1] END, CASE WHEN i > 1 THEN last[i - 1] END)) END), now
+      FROM f JOIN p USING (trip_id) WHERE s < n + m)
+SELECT trip_id, round(now[n], 3) AS frechet FROM f JOIN p USING (trip_id) WHERE s = n + m"""
+
+
 def wkt_lines(spark, sf_dir):
     """Lines to text and back, in parts of at most 20 points."""
     parts = trips.line_parts(inputs.drives(spark, sf_dir), Params(part_rows=20))
@@ -247,4 +343,8 @@ CASES = {
     "video_traces": (video_traces, VIDEO_TRACES),
     "household_traces": (household_traces, HOUSEHOLD_TRACES),
     "wkt_lines": (wkt_lines, WKT_LINES),
+    "meter_metres": (meter_metres, METER_METRES),
+    "survey_lines": (survey_lines, SURVEY_LINES),
+    "household_lines": (household_lines, HOUSEHOLD_LINES),
+    "frechet_distance": (frechet_distance, FRECHET_DISTANCE),
 }

@@ -136,3 +136,78 @@ def point_from_lat_lon_text(text) -> Column:
     def part(n):
         return f"try_cast(regexp_extract({text}, r'\\(([-0-9.]+), ([-0-9.]+)\\)', {n}) AS double)"
     return F.expr(f"named_struct('x', {part(2)}, 'y', {part(1)})")
+
+
+# --- well-known binary ------------------------------------------------------------------------------
+# Hexadecimal text of lines as spatial databases export it: byte order, kind, number of the reference system if there is one, number of points, points.
+# Kind 2 is a line; one bit each says that points have z, that they have m, and that a reference system follows. The other
+# spelling of the same adds 1000 (z), 2000 (m) or 3000 (both) to the kind.
+_HAS_Z, _HAS_M, _HAS_SRID = 0x80000000, 0x40000000, 0x20000000
+
+
+def _swapped(hexed: str, size: int) -> str:
+    """The bytes of a hexadecimal number of ``size`` bytes the other way round."""
+    return f"concat({', '.join(f'substring({hexed}, {2 * k + 1}, 2)' for k in reversed(range(size)))})"
+
+
+def _double_to_hex(value: str) -> str:
+    """The eight bytes of a double, highest first; the parts of its hexadecimal form ``0x1.8p3`` are those of its bits."""
+    text = f"format_string('%a', {value})"
+    part = [f"regexp_extract({text}, r'^(-?)0x([01])\\.([0-9a-f]+)p(-?[0-9]+)$', {k})" for k in range(5)]
+    head = f"if({part[1]} = '-', 2048, 0) + if({part[2]} = '1', cast({part[4]} AS int) + 1023, 0)"
+    return (f"CASE WHEN {value} IS NULL OR isnan({value}) THEN '7FF8000000000000' WHEN {value} = double('Infinity') THEN '7FF0000000000000' "
+            f"WHEN {value} = double('-Infinity') THEN 'FFF0000000000000' ELSE concat(lpad(hex({head}), 3, '0'), upper(rpad({part[3]}, 13, '0'))) END")
+
+
+def _hex_to_int(hexed: str) -> str:
+    return f"cast(conv({hexed}, 16, 10) AS bigint)"
+
+
+def _hex_to_double(hexed: str) -> str:
+    head, rest = _hex_to_int(f"substring({hexed}, 1, 3)"), _hex_to_int(f"substring({hexed}, 4, 13)")
+    exponent = f"({head} & 2047)"
+    size = (f"CASE WHEN {exponent} = 2047 THEN if({rest} = 0, double('Infinity'), double('NaN')) "
+            f"WHEN {exponent} = 0 THEN {rest} / 4503599627370496D * pow(2D, -1022) "
+            f"ELSE (1 + {rest} / 4503599627370496D) * pow(2D, {exponent} - 1023) END")
+    return f"(if({head} >= 2048, -1D, 1D) * ({size}))"
+
+
+def line_to_wkb(line, measured: bool = True, srid: int | None = None) -> Column:
+    """Hexadecimal binary of an array line, lowest byte first, with its measure as a third number if ``measured``. A null line or one with a null
+    point is null; a null coordinate becomes no number."""
+    kind = 2 | (_HAS_M if measured else 0) | (_HAS_SRID if srid is not None else 0)
+    head = "01" + kind.to_bytes(4, "little").hex().upper() + (srid.to_bytes(4, "little").hex().upper() if srid is not None else "")
+    numbers = ["p.x", "p.y"] + (["cast(p.m AS double)"] if measured else [])
+    point = f"element_at(transform(array({_double_to_hex('v')}), h -> {_swapped('h', 8)}), 1)"
+    points = f"transform({line}, p -> concat_ws('', transform(array({', '.join(numbers)}), v -> {point})))"
+    n = f"element_at(transform(array(lpad(hex(size({line})), 8, '0')), h -> {_swapped('h', 4)}), 1)"
+    return F.expr(f"if({line} IS NULL OR exists({line}, p -> p IS NULL), NULL, concat('{head}', {n}, concat_ws('', {points})))")
+
+
+def line_from_wkb(text, measured: bool = True) -> Column:
+    """Array line (x, y, and the whole measure m if ``measured``) of hexadecimal binary in either byte order and spelling, with or without z, m
+    and reference system. Text that is not a whole line is null; a line without a measure has a null m; z is passed over."""
+    def number(at, size):  # a whole number, whatever the byte order
+        raw = f"substring({text}, {at}, {2 * size})"
+        return _hex_to_int(f"if(left({text}, 2) = '01', {_swapped(raw, size)}, {raw})")
+
+    kind = number(3, 4)
+    z = f"(({kind} & {_HAS_Z}) <> 0 OR ({kind} & 65535) div 1000 IN (1, 3))"
+    m = f"(({kind} & {_HAS_M}) <> 0 OR ({kind} & 65535) div 1000 IN (2, 3))"
+    start = f"if(({kind} & {_HAS_SRID}) <> 0, 19, 11)"
+    width = f"(2 + if({z}, 1, 0) + if({m}, 1, 0))"
+    # everything about the head is found once per line
+    shape = f"named_struct('n', {number('q.start', 4)}, 'start', q.start, 'width', q.width, 'z', q.z, 'm', q.m, 'little', q.little)"
+    heads = (f"transform(array(named_struct('start', {start}, 'width', {width}, 'z', {z}, 'm', {m}, 'little', left({text}, 2) = '01')), q -> {shape})")
+
+    def coordinate(place):
+        raw = f"substring({text}, cast(q.start + 8 + 16 * (k * q.width + {place}) AS int), 16)"
+        return (f"element_at(transform(transform(array({raw}), r -> if(q.little, {_swapped('r', 8)}, r)), h -> {_hex_to_double('h')}), 1)")
+
+    measure = f", 'm', if(q.m, try_cast({coordinate('if(q.z, 3, 2)')} AS bigint), NULL)" if measured else ""
+    points = f"transform(sequence(0L, q.n - 1), k -> named_struct('x', {coordinate('0')}, 'y', {coordinate('1')}{measure}))"
+    kind_of_point = "array<struct<x:double,y:double" + (",m:bigint>>" if measured else ">>")
+    lines = (f"transform({heads}, q -> CASE WHEN length({text}) <> q.start + 7 + 16 * q.n * q.width THEN NULL "
+             f"WHEN q.n = 0 THEN cast(array() AS {kind_of_point}) ELSE {points} END)")
+    known = f"{text} RLIKE '^0[01][0-9A-Fa-f]{{16,}}$' AND ({kind} & 65535) % 1000 = 2"
+    return F.expr(f"CASE WHEN {known} THEN element_at({lines}, 1) END")

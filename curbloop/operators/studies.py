@@ -2,10 +2,13 @@
 from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import clock, geo
-from curbloop.operators.layout import skew_join
+from curbloop.functions.projection import project_columns
+from curbloop.operators.layout import dense_ids, renumber, skew_join
 from curbloop.operators.scratch import stage
 from curbloop.operators.spatial import (box_holds_point, box_meets_line, cut_segments, inside_polygons, near_segments, segment_cells,
                                         segments_extent, street_segments)
+from curbloop.operators.trips import trip_ends
+from curbloop.params import Params
 
 # Block ids that one study leaves out because its block map has them wrong.
 WRONG_BLOCKS = [56848, 44312, 36506]
@@ -41,11 +44,12 @@ def sensor_occupancy(sensors: DataFrame, predictions: DataFrame, time_zone: str
     return out
 
 
-def meter_points(meters: DataFrame) -> DataFrame:
-    """blockid from the post id and lon / lat from the "(lat, lon)" text."""
+def meter_points(meters: DataFrame, zone=None) -> DataFrame:
+    """blockid from the post id and lon / lat from the "(lat, lon)" text; with a zone also x / y in its metres."""
     at = geo.point_from_lat_lon_text("location")
-    return (meters.withColumn("blockid", F.concat(F.left("post_id", F.lit(3)), F.substring("post_id", 5, 2)))
-            .withColumns({"longitude": at["x"], "latitude": at["y"]}))
+    points = (meters.withColumn("blockid", F.concat(F.left("post_id", F.lit(3)), F.substring("post_id", 5, 2)))
+              .withColumns({"longitude": at["x"], "latitude": at["y"]}))
+    return points if zone is None else project_columns(points, zone)
 
 
 def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) -> DataFrame:
@@ -154,6 +158,23 @@ def survey_traces(logs: DataFrame, guide: DataFrame) -> tuple[DataFrame, DataFra
     return trips, seconds
 
 
+def survey_lines(logs: DataFrame, guide: DataFrame, zone, params: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Survey logs -> (traces, points, cruise points) in metres of a zone, as ``classify_traces`` takes them.
+
+    Traces have a ``trip_id`` beside their columns in degrees, the start of the line and the end, which is the last raw position. Points are trip_id,
+    ptid, t, x, y; the measure t is the second. The cruise line holds the seconds that cruise, numbered anew, and is empty for a trip without any."""
+    trips, seconds = survey_traces(logs, guide)
+    trips = stage(dense_ids(stage(trips, "survey-trips"), ["traceid"], ["traceid"]), "survey-ids")
+    ids = trips.select("traceid", "trip_id", "t0")
+    rows = skew_join(seconds, ids, ["traceid"], ["t"]).withColumn("ptid", F.col("t") - F.col("t0") + 1)
+    rows = project_columns(rows, zone, "lon", "lat").select("trip_id", "ptid", "t", "x", "y", "cruise")
+    points = stage(renumber(rows, params.part_rows), "survey-points")
+    cruising = renumber(points.filter("cruise"), params.part_rows).select("trip_id", "ptid", "t", "x", "y")
+    starts = trip_ends(points).select("trip_id", "start_x", "start_y")
+    traces = project_columns(trips, zone, "end_lon", "end_lat", "end_x", "end_y").join(starts, "trip_id")
+    return traces, points.select("trip_id", "ptid", "t", "x", "y"), cruising
+
+
 def video_traces(pings: DataFrame, tracts: DataFrame | None, locate, pings_min: int = 20) -> tuple[DataFrame, DataFrame]:
     """Video pings (trip_id, device, epoch, longitude, latitude) -> (trips, points) with more than ``pings_min`` pings
     that end inside the tracts. ``locate`` adds x, y."""
@@ -194,3 +215,22 @@ def household_traces(points: DataFrame, trip_ends: DataFrame, streets: DataFrame
                  F.min_by(at, "localid").alias("s"), F.max_by(at, "localid").alias("e"))
             .select(*HOUSEHOLD, "endtime", "n_points", F.col("s.x").alias("start_x"), F.col("s.y").alias("start_y"),
                     F.col("e.x").alias("end_x"), F.col("e.y").alias("end_y")))
+
+
+def household_lines(points: DataFrame, traces: DataFrame, zone=None, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Household traces with a ``trip_id`` from 1 up, and their lines (trip_id, ptid, t, x, y), as ``classify_traces`` takes them.
+
+    ``points``: three keys, localid, t and x, y, or longitude, latitude if there is a zone to project to; the traces then get the ends of the projected lines.
+    Lines follow localid, a whole number that a trip uses once, from any start and with gaps. Points of other trips are left out."""
+    ids = stage(dense_ids(stage(traces, "household-traces"), HOUSEHOLD, HOUSEHOLD), "household-ids")
+    rows = skew_join(points, ids.select(*HOUSEHOLD, "trip_id"), HOUSEHOLD, ["localid"])
+    if zone is not None:
+        rows = project_columns(rows, zone)
+    first = rows.groupBy("trip_id").agg(F.min("localid").alias("first"))
+    rows = (skew_join(rows.select("trip_id", "localid", "t", "x", "y"), first, ["trip_id"], ["localid"])
+            .select("trip_id", F.expr("cast(localid AS bigint) - first + 1 AS ptid"), "t", "x", "y"))
+    lines = stage(renumber(rows, params.part_rows), "household-points")
+    if zone is not None:
+        ends = trip_ends(lines).select("trip_id", "start_x", "start_y", "end_x", "end_y")
+        ids = ids.drop("start_x", "start_y", "end_x", "end_y").join(ends, "trip_id")
+    return ids, lines

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curbloop.functions import clock, geo
 from curbloop.functions.projection import project_columns
-from curbloop.operators.layout import dense_ids, part_of, slots
+from curbloop.operators.layout import dense_ids, part_of, slots, with_lags
 from curbloop.operators.scratch import stage
 from curbloop.params import Params
 
@@ -159,3 +159,9 @@ def trip_ends(points: DataFrame) -> DataFrame:
                  F.max("ptid").alias("n_points"))
             .select("trip_id", F.col("first.x").alias("start_x"), F.col("first.y").alias("start_y"),
                     F.col("last.x").alias("end_x"), F.col("last.y").alias("end_y"), "t0", "n_points"))
+
+
+def line_lengths(points: DataFrame, params: Params = Params()) -> DataFrame:
+    """trip_id and ``length`` of every line in long form; a line of one point has length 0."""
+    steps = with_lags(points.select("trip_id", "ptid", "x", "y"), ["x", "y"], 1, params.part_rows)
+    return steps.groupBy("trip_id").agg(F.coalesce(F.sum(geo.distance("x", "y", "prev1.x", "prev1.y")), F.lit(0.0)).alias("length"))

@@ -161,11 +161,12 @@ def main(argv=None) -> None:
     p = argparse.ArgumentParser()
     source = p.add_mutually_exclusive_group(required=True)
     source.add_argument("--pings", help="raw ping files")
-    source.add_argument("--traces", help="traces made by a vendor, Parquet")
+    source.add_argument("--traces", help="traces made by a vendor")
     for name in ("streets", "out"):
         p.add_argument("--" + name, required=True)
     for name in ("vertices", "lots", "curbs", "block-groups"):
         p.add_argument("--" + name)
+    p.add_argument("--csv", action="store_true", help="layers and vendor traces are CSV with a header, lines as hexadecimal binary text")
     p.add_argument("--region", help="zone of the planar coordinates; needed for pings and for --degrees")
     p.add_argument("--degrees", action="store_true", help="streets are in degrees and are projected to the region's metres")
     p.add_argument("--time-zone", help="zone of hours and weekdays")
@@ -180,7 +181,7 @@ def main(argv=None) -> None:
     send_package(spark)
 
     def layer(path, table):
-        return readers.read_table(spark, path, table) if path else None
+        return (readers.read_layer if a.csv else readers.read_table)(spark, path, table) if path else None
 
     streets = layer(a.streets, "streets")
     if a.degrees:
@@ -194,7 +195,7 @@ def main(argv=None) -> None:
     made_from["files"] = hashlib.sha256(json.dumps([file_stamps(spark, path) for path in inputs]).encode()).hexdigest()
     stages = Stages(spark, a.out + "/stages", a.force, json.dumps(made_from, sort_keys=True))
     if a.traces:
-        traces, points = vendor_traces(readers.read_table(spark, a.traces, "traces"))
+        traces, points = vendor_traces(layer(a.traces, "traces"))
     else:
         traces, points = pings_to_traces(readers.read_pings(spark, a.pings), a.region, params, stages)
         if a.append_to:

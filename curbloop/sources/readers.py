@@ -1,6 +1,7 @@
 """Readers with fixed schemas, table contracts, and writers."""
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from curbloop.functions import geo
 from curbloop.functions.projection import project_line
 from curbloop.sources.snapshots import SnapshotTable
 
@@ -31,6 +32,20 @@ CONTRACTS = {
     "block_groups": ["bg", "x1", "y1", "x2", "y2"],
 }
 
+# Types of the columns of layers in text files; ``line`` is binary text of a line, ``measured line`` of one with a measure, ``point`` is
+# ``POINT (x y)``. The files may have more columns, which stay text, and may lack those that are not in the contract.
+LAYER_TYPES = {
+    "streets": {"id": "bigint", "osm_id": "bigint", "source": "bigint", "target": "bigint", "cost": "double", "reverse_cost": "double",
+                "km": "double", "kmh": "double", "clazz": "int", "geom_way": "line"},
+    "vertices": {"id": "bigint", "osm_id": "bigint", "restrictions": "string", "x": "double", "y": "double"},
+    "turn_restrictions": {"source_id": "bigint", "target_id": "bigint"},
+    "traces": {"trip_id": "bigint", "lines_geom": "measured line", "start_geom": "point", "end_geom": "point", "start_good": "boolean",
+               "end_good": "boolean", "provider_type": "string"},
+    "lots": {"lot_id": "bigint", "ring": "int", "seq": "int", "x1": "double", "y1": "double", "x2": "double", "y2": "double"},
+    "curbs": {"curb_id": "bigint", "x1": "double", "y1": "double", "x2": "double", "y2": "double"},
+    "block_groups": {"bg": "string", "ring": "int", "seq": "int", "x1": "double", "y1": "double", "x2": "double", "y2": "double"},
+}
+
 
 def check(df: DataFrame, table: str) -> DataFrame:
     missing = [c for c in CONTRACTS[table] if c not in df.columns]
@@ -64,6 +79,27 @@ def read_table(spark: SparkSession, path: str, table: str, schema=None) -> DataF
     return check(df, table) if table in CONTRACTS else df
 
 
+def read_layer(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A layer from CSV with a header, columns in any order, typed by ``LAYER_TYPES``. A cell that is not of its type is refused with the name of
+    its column and the number of such cells; empty cells are null."""
+    raw = check(spark.read.option("header", True).option("multiLine", False).csv(path), table)
+
+    def typed(name, kind):
+        if kind.endswith("line"):
+            return geo.line_from_wkb(f"`{name}`", measured=kind == "measured line")
+        if kind == "point":
+            at = geo.point_from_wkt(f"`{name}`")
+            return F.when(at["x"].isNotNull() & at["y"].isNotNull(), at)
+        return F.col(name).try_cast(kind)
+
+    own = {name: typed(name, kind) for name, kind in LAYER_TYPES[table].items() if name in raw.columns}
+    wrong = raw.agg(*[F.count_if(F.col(name).isNotNull() & value.isNull()).alias(name) for name, value in own.items()]).first().asDict()
+    if any(wrong.values()):
+        found = ", ".join(f"{n} in {name} ({LAYER_TYPES[table][name]})" for name, n in wrong.items() if n)
+        raise ValueError(f"{table}: cells of another type: {found}")
+    return raw.withColumns(own)
+
+
 def reproject_streets(streets: DataFrame, zone) -> DataFrame:
     """Street lines in degrees -> regional metres."""
     return streets.withColumn("geom_way", F.expr("transform(geom_way, p -> named_struct('x', p.x, 'y', p.y, 'm', 0L))")) \
@@ -127,10 +163,16 @@ def append_traces(traces: DataFrame, path: str, number, batch: str | None = None
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Streets or vertices as CSV with a header; lines become text."""
-    kinds = dict(df.dtypes)
-    flat = df.select(*[F.to_json(c).alias(c) if kinds[c].startswith(("array", "struct")) else F.col(c) for c in df.columns])
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    """Streets, vertices or traces as CSV with a header that ``read_layer`` reads; lines become binary text, points ``POINT (x y)``, other
+    nested columns JSON."""
+    def cell(name, kind):
+        if kind.startswith("array<struct<x:double,y:double"):
+            return geo.line_to_wkb(f"`{name}`", measured=",m:" in kind).alias(name)
+        if kind.startswith("struct<x:double,y:double"):
+            return F.when(F.col(name).isNotNull(), geo.point_to_wkt(f"`{name}`.x", f"`{name}`.y")).alias(name)
+        return F.to_json(name).alias(name) if kind.startswith(("array", "struct")) else F.col(name)
+
+    df.select(*[cell(*c) for c in df.dtypes]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def merge_metrics(traces: DataFrame, metrics: DataFrame) -> DataFrame:

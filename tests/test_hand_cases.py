@@ -217,3 +217,61 @@ def test_street_through_the_notch_of_a_block(spark):
                                     "id long, geom_way array<struct<x: double, y: double>>")
     got = {r.id: r.sfpark_id for r in studies.street_block_ids(streets, blocks).collect()}
     assert got == {1: None, 2: "00007", 3: "00007", 4: None, 5: "00007"}
+
+
+def plain_frechet(a, b):
+    best = {}
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            before = [best[k] for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if k in best]
+            best[i, j] = max(math.dist(p, q), min(before, default=0.0))
+    return best[len(a) - 1, len(b) - 1]
+
+
+@pytest.mark.parametrize("part_rows", [1, 4, 100])
+def test_frechet_distance_in_any_blocks(spark, part_rows):
+    import random
+
+    from curbloop.operators.frechet import frechet_distance
+    draw = random.Random(5)
+
+    def lines(sizes):
+        return {k: [(draw.uniform(0, 100), draw.uniform(0, 100)) for _ in range(n)] for k, n in enumerate(sizes)}
+
+    a, b = lines([1, 1, 7, 12, 5, 3, 4]), lines([1, 6, 1, 9, 11, 3])
+
+    def table(of):
+        return spark.createDataFrame([(k, 1 + i, x, y) for k, line in of.items() for i, (x, y) in enumerate(line)], "trip_id long, ptid long, x double, y double")
+
+    unplaced = spark.createDataFrame([(3, 13 + i, None, 1.0) for i in range(7)] + [(3, 20, 1.0, 1.0)], "trip_id long, ptid long, x double, y double")
+    a[3].append((1.0, 1.0))
+    got = {r.trip_id: r.frechet for r in frechet_distance(table(a).filter("trip_id <> 3 OR ptid < 13").unionByName(unplaced), table(b), part_rows).collect()}
+    assert got == {k: plain_frechet(a[k], b[k]) for k in a if k in b}
+    assert frechet_distance(table(a).limit(0), table(b), part_rows).count() == 0
+
+
+@pytest.mark.parametrize("part_rows", [2, 1000])
+def test_household_lines_follow_the_numbers_of_their_points(spark, part_rows):
+    from curbloop.operators import studies
+    points = spark.createDataFrame([(9, 1, 1, 40 + 7 * i, 100 + i, float(i), 0.0) for i in (4, 0, 3, 1, 2)] + [(9, 1, 2, -5, 60, 8.0, 0.0), (9, 1, 2, 1, 61, 8.0, 6.0)]
+                                   + [(8, 1, 1, 1, 5, 0.0, 0.0)], "gpstripid long, sampno long, vehno long, localid long, t long, x double, y double")
+    ends = spark.createDataFrame([(9, 1, 1, 0.0, 0.0), (9, 1, 2, 0.0, 0.0)], "gpstripid long, sampno long, vehno long, end_x double, end_y double")
+    traces, lines = studies.household_lines(points, studies.household_traces(points, ends), params=Params(part_rows=part_rows))
+    ids = {r.vehno: r.trip_id for r in traces.collect()}
+    assert sorted(ids.values()) == [1, 2] and {"start_x", "end_x", "endtime"} <= set(traces.columns)
+    assert [tuple(r)[1:] for r in lines.filter(F.col("trip_id") == ids[1]).orderBy("ptid").collect()] == [(i + 1, 100 + i, float(i), 0.0) for i in range(5)]
+    assert {r.trip_id: r.length for r in trips.line_lengths(lines, Params(part_rows=2)).collect()} == {ids[1]: 4.0, ids[2]: 6.0}
+
+
+def test_survey_lines_have_a_cruise_line_where_the_guide_gives_one(spark):
+    from curbloop.operators import studies
+    logs = spark.createDataFrame([(k, "a" + k, 1, 1_000_000, i, 500 * i, 37.7 + 1e-5 * (i // 2), -122.4) for k in "pq" for i in range(8)],
+                                 "traceid string, trace string, day int, start_ms long, framenum long, frametime long, lat double, lon double")
+    guide = spark.createDataFrame([("ap", 1, "V_home x", "0:00:02")], "trace string, day int, video string, elapsed string")
+    traces, points, cruising = studies.survey_lines(logs, guide, "sf", Params(part_rows=3))
+    ids = {r.traceid: r for r in traces.collect()}
+    assert [(r.ptid, r.t) for r in points.filter(F.col("trip_id") == ids["p"].trip_id).orderBy("ptid").collect()] == [(i + 1, 1000 + i) for i in range(4)]
+    assert [(r.trip_id, r.ptid, r.t) for r in cruising.orderBy("ptid").collect()] == [(ids["p"].trip_id, 1, 1002), (ids["p"].trip_id, 2, 1003)]
+    assert ids["p"].dest == "home" and ids["q"].dest == "" and abs(ids["p"].end_y - ids["p"].start_y - 3.33) < 0.02
+    x, y = project_sql("-122.4D", "37.70003D", "sf")
+    assert abs(spark.range(1).select(F.expr(y)).first()[0] - ids["p"].end_y) < 1e-6 and spark.range(1).select(F.expr(x)).first()[0] > 0

@@ -40,6 +40,62 @@ def run_all(spark, sf_dir):
                               "cruise", "high_cruise", "cruise_time", "use_trip"))
 
 
+# Known tours, one per user, on two kinds of way: up a column of streets without a turn, or clockwise round a block of 120 m. A ping lies on the street
+# every 60 m and 5 s, 30 or 90 m from a crossing, so every result has a closed form. No ban touches these ways.
+_TOURS = """SELECT user_id AS trip_id, user_id {div} 10 AS c, user_id % 2 = 1 AS laps, CASE WHEN user_id % 2 = 1 THEN 12 + user_id % 4 ELSE 10 + user_id % 13 END AS k_last,
+   CASE WHEN user_id % 2 = 1 THEN CASE user_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 11 END
+        ELSE CASE user_id % 8 WHEN 0 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 4 ELSE 7 END END AS i,
+   CASE WHEN user_id % 2 = 1 THEN 6 ELSE 3 END AS j FROM (SELECT DISTINCT user_id FROM {events}) u"""
+
+
+def tour_points(spark, sf_dir):
+    tours = spark.sql(_TOURS.format(div="div", events="{e}"), e=inputs.table(spark, sf_dir, "events"))
+    at = tours.selectExpr("*", "explode(sequence(0L, k_last)) AS k").selectExpr("*", "30 + 60 * k AS p").selectExpr(
+        "*", "if(laps, (p div 120) % 4, 0) AS side", "if(laps, p % 120, p) AS off")
+    return at.selectExpr(
+        "trip_id", "k + 1 AS ptid", "1704103200 + trip_id * 60 + 5 * k AS t",
+        f"{inputs.APART}D * c - 1200 + 120 * i + CASE side WHEN 0 THEN 0 WHEN 1 THEN off WHEN 2 THEN 120 ELSE 120 - off END AS x",
+        f"{inputs.APART}D * c - 1200 + 120 * j + CASE side WHEN 0 THEN off WHEN 1 THEN 120 WHEN 2 THEN 120 - off ELSE 0 END AS y")
+
+
+def run_known(spark, sf_dir):
+    """Known tours through every stage: matched to streets, routed, classified and placed."""
+    points, streets = tour_points(spark, sf_dir), inputs.streets(spark, sf_dir)
+    layers = run.Layers(streets, network.turn_restrictions(inputs.vertices(spark, sf_dir), streets), None,
+                        inputs.curbs(spark, sf_dir), inputs.block_groups(spark, sf_dir))
+    out = run.classify_traces(trips.trip_ends(points), points, layers)
+    return rounded(out.select("trip_id", "npings", "id_first", "id_walk", "id_park", "gpsdist", "matchdist", "netwkdist", "n_gaps", "ids_repeat", "edge_id_start",
+                              "edge_id_end", "end_clazz", "bg", "curb_dist", "pingtime_max", "max_dist", "dist_ratio", "frc_inbuffer", "cruise", "high_cruise",
+                              "cruise_time", "use_trip"))
+
+
+RUN_KNOWN = f"""WITH tours AS ({_TOURS.format(div='//', events='events')}),
+-- the driven part: all of a lap tour, the last 8 pings of a straight one
+d AS (SELECT *, CASE WHEN laps THEN 0 ELSE k_last - 7 END AS k0, 30 + 60 * k_last AS p1 FROM tours),
+e AS (SELECT *, 30 + 60 * k0 AS p0, 60 * (k_last - k0) AS metres, p1 // 120 AS s1, 60 * (k_last - k0) % 480 AS lap_rest FROM d),
+m AS (SELECT *, CASE WHEN laps THEN least(lap_rest, 480 - lap_rest) ELSE metres END AS shortest,
+             CASE WHEN laps THEN 120 * i + CASE s1 % 4 WHEN 0 THEN 0 WHEN 1 THEN p1 % 120 WHEN 2 THEN 120 ELSE 120 - p1 % 120 END ELSE 120 * i END AS ex,
+             120 * j + CASE WHEN laps THEN CASE s1 % 4 WHEN 0 THEN p1 % 120 WHEN 1 THEN 120 WHEN 2 THEN 120 - p1 % 120 ELSE 0 END ELSE p1 END AS ey FROM e),
+far AS (SELECT trip_id, max(sqrt(pow(px - ex, 2) + pow(py - ey, 2))) AS far FROM (
+          SELECT trip_id, ex, ey, 120 * i + CASE p // 120 % 4 WHEN 0 THEN 0 WHEN 1 THEN p % 120 WHEN 2 THEN 120 ELSE 120 - p % 120 END AS px,
+                 120 * j + CASE p // 120 % 4 WHEN 0 THEN p % 120 WHEN 1 THEN 120 WHEN 2 THEN 120 - p % 120 ELSE 0 END AS py
+          FROM (SELECT *, 30 + 60 * unnest(range(0, k_last + 1)) AS p FROM m WHERE laps)) GROUP BY 1),
+-- streets of laps 0, 1, .. s1; side s is driven as often as it comes up among them
+visits AS (SELECT trip_id, sum(n) FILTER (n > 1) AS again FROM (
+             SELECT trip_id, s % 4 AS side, count(*) AS n FROM (SELECT trip_id, unnest(range(0, s1 + 1)) AS s FROM m WHERE laps) GROUP BY 1, 2) GROUP BY 1)
+SELECT trip_id, k_last + 1 AS npings, CASE WHEN laps THEN 1 ELSE k_last - 6 END AS id_first, k_last + 1 AS id_walk, k_last + 1 AS id_park,
+       round(CASE WHEN laps THEN 60 * ((k_last + 1) // 2) + sqrt(1800) * (k_last // 2) ELSE metres END, 3) AS gpsdist, metres::DOUBLE AS matchdist,
+       shortest::DOUBLE AS netwkdist, 0 AS n_gaps, coalesce(again, 0)::BIGINT AS ids_repeat,
+       c * 840 + 420 + i * 20 + j + p0 // 120 + 1 AS edge_id_start,
+       c * 840 + CASE WHEN NOT laps THEN 420 + i * 20 + j + s1 + 1 WHEN s1 % 4 = 0 THEN 420 + i * 20 + j + 1 WHEN s1 % 4 = 1 THEN i * 21 + j + 2
+                      WHEN s1 % 4 = 2 THEN 420 + (i + 1) * 20 + j + 1 ELSE i * 21 + j + 1 END AS edge_id_end,
+       41 AS end_clazz, 'bg' || lpad(c::VARCHAR, 6, '0') || '_' || (ex // 600) || (ey // 600) AS bg, 4::DOUBLE AS curb_dist, 5 AS pingtime_max,
+       round(CASE WHEN laps THEN far ELSE 420 END, 3) AS max_dist, round(metres / shortest, 3) AS dist_ratio,
+       CASE WHEN laps THEN 1 ELSE round(400 / 420, 3) END AS frc_inbuffer, laps AS cruise, laps AS high_cruise,
+       round((metres - shortest) / 12, 3) AS cruise_time, true AS use_trip
+FROM m LEFT JOIN far USING (trip_id) LEFT JOIN visits USING (trip_id)"""
+
+
 def _file_of(rows, schema: str, path: str):
     """Rows as a CSV with the columns of a file schema; columns that the rows lack are 7 or 'x'."""
     columns = [c.split() for c in schema.split(", ")]
@@ -127,4 +183,4 @@ SELECT trip_id, trip_id % 3 = 0 AS start_good, round(arg_min(x, ptid), 3) AS sta
        round(arg_max(y, ptid), 3) AS end_y, count(*) AS n, min(t) AS t0, max(t) AS t1, round(coalesce(sum(step), 0), 3) AS length FROM s GROUP BY trip_id"""
 
 CASES = {"layer_files": (layer_files, LAYER_FILES), "trace_files": (trace_files, TRACE_FILES), "ping_files": (ping_files, PING_FILES), "sensor_files": (sensor_files, SENSOR_FILES), "meter_files": (meter_files, METER_FILES),
-         "appended_traces": (appended_traces, APPENDED_TRACES), "run_all": (run_all, None)}
+         "appended_traces": (appended_traces, APPENDED_TRACES), "run_all": (run_all, None), "run_known": (run_known, RUN_KNOWN)}

@@ -1,5 +1,5 @@
 """Readers with fixed schemas, table contracts, and writers."""
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbloop.functions import geo
 from curbloop.functions.projection import project_line
@@ -107,17 +107,23 @@ def reproject_streets(streets: DataFrame, zone) -> DataFrame:
         .withColumn("geom_way", F.expr("transform(geom_way, p -> named_struct('x', p.x, 'y', p.y))"))
 
 
+def _cells(line: str) -> Column:
+    """Cells of a line of text: commas inside quotes do not part them, a doubled quote is a quote."""
+    bare = r"""if(c LIKE '"%"' AND length(c) > 1, replace(substring(c, 2, length(c) - 2), '""', '"'), c)"""
+    return F.expr(f"""transform(split({line}, r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)', -1), c -> {bare})""")
+
+
 def read_survey_logs(spark: SparkSession, path: str, skip_files=()) -> DataFrame:
     """Camera logs named like ``Data Log May 26 2015 02_51 PM.csv``; day and time come from the name.
 
-    The header row is found by its first name, so files may have a line before it. Files whose name contains one of
+    The header row is found by its first name, so files may have a line before it. Cells may be quoted. Files whose name contains one of
     ``skip_files`` are left out.
     """
     text = spark.read.text(path).select("value", F.input_file_name().alias("path"))
     text = text.withColumn("file", F.regexp_replace(F.element_at(F.split("path", "/"), -1), "%20", " "))
     # columns are looked up by name in the header of each file; one header per file, so the join side is tiny
-    header = text.filter(F.col("value").contains("Frame Number")).select("path", F.split("value", ",").alias("names"))
-    cells = text.join(header, "path").filter(~F.col("value").contains("Frame Number")).withColumn("cells", F.split("value", ","))
+    header = text.filter(F.col("value").contains("Frame Number")).select("path", _cells("value").alias("names"))
+    cells = text.join(header, "path").filter(~F.col("value").contains("Frame Number")).withColumn("cells", _cells("value"))
 
     def cell(name, kind):
         return f"try_cast(get(cells, cast(array_position(transform(names, n -> trim(n)), '{name}') AS int) - 1) AS {kind})"

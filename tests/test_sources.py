@@ -31,6 +31,13 @@ def test_survey_logs(spark, tmp_path):
         studies.survey_traces(logs, twice)[0].collect()
 
 
+def test_survey_logs_with_quoted_cells(spark, tmp_path):
+    names = '"Frame Number","Note, of the driver",Frame Time (ms),Forward Acceleration,"GPS Latitude.1",GPS Longitude.1'
+    (tmp_path / "Data Log May 26 2015 03_10 PM.csv").write_text(f'{names}\n1,"left, then ""right"", then left",0,0.5,"37.7",-122.4\n2,,400,"0.25",,\n3,",",800,,37.8,-122.5\n')
+    rows = sorted((r.framenum, r.frametime, r.forward_accel, r.lat, r.lon) for r in readers.read_survey_logs(spark, str(tmp_path)).collect())
+    assert rows == [(1, 0, 0.5, 37.7, -122.4), (2, 400, 0.25, None, None), (3, 800, None, 37.8, -122.5)]
+
+
 def test_video_pings(spark, tmp_path):
     (tmp_path / "v.csv").write_text("Device,Trip,LocalDateTime,Latitude,Longitude\n3,5,2015-05-01 10:00:00.123,42.2,-83.7\n3,5,2015-05-01 10:00:01.123,0,0\n")
     rows = readers.read_video_pings(spark, str(tmp_path)).collect()

@@ -11,6 +11,12 @@ consecutive points). What has to cross a piece boundary crosses in one of three
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data. Plans see neither how many rows an explode makes nor how far files are packed, so a large
+    side can look small enough to be collected by the driver and broadcast. This join shuffles and sorts both sides instead."""
+    return df.hint("merge")
+
+
 def part_of(ptid, part_rows: int) -> Column:
     return F.expr(f"({ptid} - 1) div {part_rows}")
 
@@ -44,7 +50,7 @@ def attach(points: DataFrame, trips: DataFrame, part_rows: int, n_points="n_poin
     spread = trips.withColumn("part", F.expr(
         f"explode(sequence(0L, greatest(0L, (cast({n_points} AS bigint) - 1) div {part_rows})))"))
     return (points.withColumn("part", part_of("ptid", part_rows))
-            .join(spread, ["trip_id", "part"], how).drop("part"))
+            .join(shuffled(spread), ["trip_id", "part"], how).drop("part"))
 
 
 def with_lags(points: DataFrame, fields, steps: int, part_rows: int) -> DataFrame:
@@ -66,7 +72,7 @@ def renumber(points: DataFrame, part_rows: int) -> DataFrame:
                  W.partitionBy("trip_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)),
                  F.lit(0)).alias("ahead")))
     w = W.partitionBy("trip_id", "part").orderBy("ptid")
-    return (parts.withColumn("rn", F.row_number().over(w)).join(ahead, ["trip_id", "part"])
+    return (parts.withColumn("rn", F.row_number().over(w)).join(shuffled(ahead), ["trip_id", "part"])
             .withColumn("ptid", F.col("ahead") + F.col("rn")).drop("ahead", "rn", "part"))
 
 
@@ -99,17 +105,19 @@ def skew_join(big: DataFrame, small: DataFrame, on, salt_by, max_rows: int = 500
 
     A key with more than ``max_rows`` rows is hot. Its rows are spread by a hash of ``salt_by`` over as many copies as it exceeds
     the limit; its rows of ``small`` are repeated that often. Without hot keys this is a plain join. Up to ``known_keys`` hot keys
-    are broadcast, longer lists are joined.
+    are broadcast, longer lists are joined; ``small`` grows with the data and is shuffled.
     """
     hot = (big.groupBy(*on).agg(F.expr("count(1) AS n")).filter(F.col("n") > max_rows)
            .select(*on, F.ceil(F.col("n") / max_rows).alias("copies")))
     rows = hot.limit(known_keys + 1).collect()
     if not rows:
-        return big.join(small, on, how)
+        return big.join(shuffled(small), on, how)
     if len(rows) <= known_keys:
         hot = F.broadcast(big.sparkSession.createDataFrame(rows, hot.schema))
+    else:
+        hot = shuffled(hot)
     salted = (big.join(hot, on, "left")
               .withColumn("salt", F.expr(f"pmod(xxhash64({', '.join(salt_by)}), coalesce(copies, 1))")).drop("copies"))
     spread = (small.join(hot, on, "left")
               .withColumn("salt", F.expr("explode(sequence(0L, coalesce(copies, 1) - 1))")).drop("copies"))
-    return salted.join(spread, [*on, "salt"], how).drop("salt")
+    return salted.join(shuffled(spread), [*on, "salt"], how).drop("salt")

@@ -7,7 +7,7 @@ is followed by the exact test. Cells crowded with points are salted by ``skew_jo
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbloop.functions import geo
-from curbloop.operators.layout import skew_join
+from curbloop.operators.layout import shuffled, skew_join
 
 CELL = ["cx", "cy"]
 
@@ -48,7 +48,7 @@ def inside_polygons(points: DataFrame, segments: DataFrame, polygon, key, size:
     rows and from the left edge of its polygon to its own right end.
     """
     left = segments.groupBy(polygon).agg(F.min(F.least("x1", "x2")).alias("left"))
-    spread = (segments.join(left, polygon)
+    spread = (segments.join(shuffled(left), polygon)
               .withColumn("cx", _cells("left", "greatest(x1, x2)", size))
               .withColumn("cy", _cells("least(y1, y2)", "greatest(y1, y2)", size))
               .select(polygon, "x1", "y1", "x2", "y2", *CELL))
@@ -74,7 +74,7 @@ def ring_segments(vertices: DataFrame, polygon, ring="ring") -> DataFrame:
     """Closed rings as vertex rows (polygon, ring, seq, x, y) -> boundary rows. An equi-join on the next seq."""
     a = vertices.select(polygon, ring, "seq", F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = vertices.select(polygon, ring, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return a.join(b, [polygon, ring, "seq"])
+    return a.join(shuffled(b), [polygon, ring, "seq"])
 
 
 def polygon_area(segments: DataFrame, polygon, ring="ring") -> DataFrame:
@@ -85,7 +85,7 @@ def polygon_area(segments: DataFrame, polygon, ring="ring") -> DataFrame:
 
 
 def drop_large_polygons(segments: DataFrame, polygon, area_max: float = 250_000) -> DataFrame:
-    return segments.join(polygon_area(segments, polygon).filter(F.col("area") > area_max), polygon, "left_anti")
+    return segments.join(shuffled(polygon_area(segments, polygon).filter(F.col("area") > area_max)), polygon, "left_anti")
 
 
 def street_segments(streets: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import clock, geo
 from curbloop.functions.projection import project_columns
-from curbloop.operators.layout import dense_ids, renumber, skew_join
+from curbloop.operators.layout import dense_ids, renumber, shuffled, skew_join
 from curbloop.operators.scratch import stage
 from curbloop.operators.spatial import (box_holds_point, box_meets_line, cut_segments, inside_polygons, near_segments, segment_cells,
                                         segments_extent, street_segments)
@@ -68,13 +68,13 @@ def street_block_ids(streets: DataFrame, blocks: DataFrame, wrong_blocks=()) ->
     inside = (inside_polygons(ends, blocks, "block_id", ["id", "seq", "at"], size=100)
               .groupBy("id", "block_id").agg(F.count(F.lit(1)).alias("n_in")))
     whole = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_ends"))
-    holding = stage(inside.join(whole, "id").filter("n_in = n_ends").select("id", "block_id"), "holding")
+    holding = stage(inside.join(shuffled(whole), "id").filter("n_in = n_ends").select("id", "block_id"), "holding")
     between = stage(_middles_between_sides(middle, blocks, holding), "between")
-    left = (between.join(inside_polygons(between, blocks, "block_id", ["id", "seq", "k", "target"], size=100).filter("target = block_id").drop("block_id"),
+    left = (between.join(shuffled(inside_polygons(between, blocks, "block_id", ["id", "seq", "k", "target"], size=100).filter("target = block_id").drop("block_id")),
                          ["id", "seq", "k", "target"], "left_anti").select("id", F.col("target").alias("block_id")).distinct())
-    found = (holding.join(left, ["id", "block_id"], "left_anti").groupBy("id").agg(F.min("block_id").alias("block_id"))
+    found = (holding.join(shuffled(left), ["id", "block_id"], "left_anti").groupBy("id").agg(F.min("block_id").alias("block_id"))
              .select("id", F.lpad(F.col("block_id").cast("bigint").cast("string"), 5, "0").alias("sfpark_id")))
-    return streets.join(found, "id", "left")
+    return streets.join(shuffled(found), "id", "left")
 
 
 def _middles_between_sides(segments: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def _middles_between_sides(segments: DataFrame, blocks: DataFrame, pairs: DataFr
     sides = segment_cells(blocks, 0, SIDE_CELL).selectExpr("block_id", *cell, "x1 AS bx", "y1 AS by", "x2 - x1 AS sx", "y2 - y1 AS sy")
     # a segment meets the sides in its own cells only; one that meets none lies where its ends lie
     parts = segment_cells(segments, 0, SIDE_CELL).selectExpr("id", "seq", *cell, "x1", "y1", "x2 - x1 AS rx", "y2 - y1 AS ry")
-    met = (pairs.join(parts, "id").join(sides, ["block_id", *cell])
+    met = (pairs.join(shuffled(parts), "id").join(shuffled(sides), ["block_id", *cell])
            .withColumn("d", F.expr("nullif(rx * sy - ry * sx, 0D)"))
            .withColumns({"t": F.expr("((bx - x1) * sy - (by - y1) * sx) / d"), "u": F.expr("((bx - x1) * ry - (by - y1) * rx) / d")}))
     cuts = met.groupBy("id", "seq", "block_id", "x1", "y1", "rx", "ry").agg(
@@ -153,7 +153,7 @@ def survey_traces(logs: DataFrame, guide: DataFrame) -> tuple[DataFrame, DataFra
                                        F.max("dest").alias("dest"))
     sizes = seconds.groupBy("traceid").agg(F.count(F.lit(1)).alias("n_points"), F.count_if("cruise").alias("n_cruise"),
                                            F.min("t").alias("t0"))
-    trips = ends.join(sizes, "traceid").select("traceid", "dest", F.col("end.lon").alias("end_lon"),
+    trips = ends.join(shuffled(sizes), "traceid").select("traceid", "dest", F.col("end.lon").alias("end_lon"),
                                                F.col("end.lat").alias("end_lat"), "t0", "n_points", "n_cruise")
     return trips, seconds
 
@@ -171,7 +171,7 @@ def survey_lines(logs: DataFrame, guide: DataFrame, zone, params: Params = Param
     points = stage(renumber(rows, params.part_rows), "survey-points")
     cruising = renumber(points.filter("cruise"), params.part_rows).select("trip_id", "ptid", "t", "x", "y")
     starts = trip_ends(points).select("trip_id", "start_x", "start_y")
-    traces = project_columns(trips, zone, "end_lon", "end_lat", "end_x", "end_y").join(starts, "trip_id")
+    traces = project_columns(trips, zone, "end_lon", "end_lat", "end_x", "end_y").join(shuffled(starts), "trip_id")
     return traces, points.select("trip_id", "ptid", "t", "x", "y"), cruising
 
 
@@ -191,7 +191,7 @@ def video_traces(pings: DataFrame, tracts: DataFrame | None, locate, pings_min:
                      F.col("s.y").alias("start_y"), F.col("e.x").alias("end_x"), F.col("e.y").alias("end_y")))
     if tracts is not None:
         ends = trips.select("trip_id", F.col("end_x").alias("x"), F.col("end_y").alias("y"))
-        trips = trips.join(inside_polygons(ends, tracts, "tract", ["trip_id"]).select("trip_id").distinct(), "trip_id", "left_semi")
+        trips = trips.join(shuffled(inside_polygons(ends, tracts, "tract", ["trip_id"]).select("trip_id").distinct()), "trip_id", "left_semi")
     points = skew_join(rows, trips.select("trip_id"), ["trip_id"], ["epoch"])
     return trips, points
 
@@ -232,5 +232,5 @@ def household_lines(points: DataFrame, traces: DataFrame, zone=None, params: Par
     lines = stage(renumber(rows, params.part_rows), "household-points")
     if zone is not None:
         ends = trip_ends(lines).select("trip_id", "start_x", "start_y", "end_x", "end_y")
-        ids = ids.drop("start_x", "start_y", "end_x", "end_y").join(ends, "trip_id")
+        ids = ids.drop("start_x", "start_y", "end_x", "end_y").join(shuffled(ends), "trip_id")
     return ids, lines

@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import geo
-from curbloop.operators.layout import attach, with_lags
+from curbloop.operators.layout import attach, shuffled, with_lags
 from curbloop.operators.spatial import (box_holds_line, extent, inside_polygons, near_segments, street_segments)
 from curbloop.params import Params
 
@@ -38,7 +38,7 @@ def lot_zone(points: DataFrame, streets: DataFrame, lots: DataFrame | None = Non
         found = found.unionByName(more)
     found = found.groupBy(*POINT).agg(F.bool_or("lot").alias("lot"), F.bool_or("street").alias("street"))
     in_lot = F.coalesce("lot", F.lit(False)) & ~F.coalesce("street", F.lit(False))
-    return (points.join(found, POINT, "left")
+    return (points.join(shuffled(found), POINT, "left")
             .withColumn("in_lot", F.when((has_zone["service"] | any_lot) & has_zone["other"], in_lot))
             .drop("lot", "street"))
 
@@ -100,7 +100,7 @@ def approach_metrics(steps: DataFrame, params: Params = Params()) -> DataFrame:
            .selectExpr(*hour, "greatest(1, min(in1) OVER (PARTITION BY trip_id) - 1) AS id_first",
                        "greatest(1, min(in2) OVER (PARTITION BY trip_id) - 1) AS id_firstx2",
                        "coalesce(max(walk) OVER (PARTITION BY trip_id), 1) AS id_walk"))
-    rows = (steps.join(ids, hour)
+    rows = (steps.join(shuffled(ids), hour)
             .withColumns({"buf": F.expr("ptid > id_first AND ptid <= id_walk"),
                           "donut": F.expr("ptid > id_firstx2 AND ptid <= id_first + 1"),
                           "walk": F.expr("ptid > id_walk"),
@@ -141,7 +141,7 @@ def truncate_traces(points: DataFrame, trips: DataFrame, params: Params = Params
 def slice_points(points: DataFrame, trips: DataFrame, metrics: DataFrame, params: Params = Params()) -> DataFrame:
     """Raw points with the slices they belong to; neighbouring slices share their end point."""
     ends = (trips.select("trip_id", "end_x", "end_y", "n_points").filter("n_points > 1")
-            .join(metrics.select("trip_id", "id_first", "id_walk", "id_park"), "trip_id"))
+            .join(shuffled(metrics.select("trip_id", "id_first", "id_walk", "id_park")), "trip_id"))
     rows = with_lags(attach(points.select("trip_id", "ptid", "t", "x", "y"), ends, params.part_rows),
                      ["t", "x", "y"], 1, params.part_rows)
     rows = rows.withColumns({

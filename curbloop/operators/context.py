@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import geo
-from curbloop.operators.layout import skew_join
+from curbloop.operators.layout import shuffled, skew_join
 from curbloop.operators.spatial import inside_polygons, near_segments, polygon_distances, street_segments
 from curbloop.params import Params
 
@@ -34,7 +34,7 @@ def curb_distance(trips: DataFrame, curbs: DataFrame, streets: DataFrame, params
     curb = (near_segments(spots, segments, params.curb_search, TRIP)
             .groupBy("trip_id", "x", "y").agg(F.min(closest).alias("c"))
             .select("trip_id", "x", "y", "c.dist", "c.cx", "c.cy")
-            .join(trips.select("trip_id", "edge_id_end"), "trip_id"))
+            .join(shuffled(trips.select("trip_id", "edge_id_end")), "trip_id"))
     middle = street_segments(streets.select(F.col("id").alias("edge_id_end"), "geom_way")).drop("total", "seq", "off")
     return (skew_join(curb, middle, ["edge_id_end"], TRIP)
             .groupBy("trip_id", "dist").agg(
@@ -52,15 +52,15 @@ def end_class(trips: DataFrame, streets: DataFrame) -> DataFrame:
 
 def add_parking_context(trips: DataFrame, streets: DataFrame, lots: DataFrame | None = None, curbs: DataFrame | None = None,
                         block_groups: DataFrame | None = None, params: Params = Params()) -> DataFrame:
-    out = trips.join(end_class(trips, streets), "trip_id", "left")
+    out = trips.join(shuffled(end_class(trips, streets)), "trip_id", "left")
     if block_groups is None:
         out = out.withColumn("bg", F.lit(None).cast("string"))
     else:
-        out = out.join(end_block_group(trips, block_groups), "trip_id", "left")
+        out = out.join(shuffled(end_block_group(trips, block_groups)), "trip_id", "left")
     if lots is None:
         out = out.withColumn("near_lot_dist", F.lit(None).cast("double"))
     else:
-        out = out.join(nearest_lot(trips, lots, params), "trip_id", "left")
+        out = out.join(shuffled(nearest_lot(trips, lots, params)), "trip_id", "left")
     if curbs is None:
         return out.withColumn("curb_dist", F.lit(None).cast("double"))
-    return out.join(curb_distance(trips, curbs, streets, params), "trip_id", "left")
+    return out.join(shuffled(curb_distance(trips, curbs, streets, params)), "trip_id", "left")

@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from curbloop.operators import approach, classify, cleaning, context, matching, network, trips
+from curbloop.operators.layout import shuffled
 from curbloop.operators.scratch import send_package, stage
 from curbloop.operators.spatial import street_segments
 from curbloop.params import Params
@@ -89,10 +90,10 @@ def classify_traces(traces: DataFrame, points: DataFrame, layers: Layers, params
     stages = stages or Stages(points.sparkSession, None)
     readers.check(layers.streets, "streets")
     if "n_points" not in traces.columns:
-        traces = traces.join(trips.trip_ends(points).select("trip_id", "n_points"), "trip_id", "left")
+        traces = traces.join(shuffled(trips.trip_ends(points).select("trip_id", "n_points")), "trip_id", "left")
     points = stages.keep("clean_points", lambda: cleaning.clean_traces(points, traces, params))
     sizes = trips.trip_ends(points).select("trip_id", "t0", "n_points")
-    ends = stages.keep("ends", lambda: traces.drop("n_points", "t0").join(sizes, "trip_id"))
+    ends = stages.keep("ends", lambda: traces.drop("n_points", "t0").join(shuffled(sizes), "trip_id"))
     zoned = stages.keep("zoned_points", lambda: approach.lot_zone(points, layers.streets, layers.lots, params))
     metrics = stages.keep("approach", lambda: approach.truncate_traces(zoned, ends, params))
     sliced = stages.keep("slices", lambda: approach.slice_points(points, ends, metrics, params))
@@ -109,13 +110,13 @@ def classify_traces(traces: DataFrame, points: DataFrame, layers: Layers, params
     edges = matching.edge_summary(visits)
     inside = classify.length_in_buffer(matching.matched_segments(pieces, layers.streets), ends, params)
 
-    wide = (traces.drop("n_points", "t0").join(sizes, "trip_id", "left").join(metrics, "trip_id", "left")
-            .join(summary, "trip_id", "left").join(scores, "trip_id", "left").join(edges, "trip_id", "left")
-            .join(inside, "trip_id", "left").withColumn("drive_secs", F.col("enterlot_t") - F.col("startpt_t")))
+    wide = (traces.drop("n_points", "t0").join(shuffled(sizes), "trip_id", "left").join(shuffled(metrics), "trip_id", "left")
+            .join(shuffled(summary), "trip_id", "left").join(shuffled(scores), "trip_id", "left").join(shuffled(edges), "trip_id", "left")
+            .join(shuffled(inside), "trip_id", "left").withColumn("drive_secs", F.col("enterlot_t") - F.col("startpt_t")))
     wide = stages.keep("matched_trips", lambda: wide)
     routed = stages.keep("netwkdist", lambda: network.network_distance(
         _route_ends(wide, layers.streets), layers.streets, layers.bans, params))
-    out = classify.add_time_fields(wide.join(routed, "trip_id", "left"), params)
+    out = classify.add_time_fields(wide.join(shuffled(routed), "trip_id", "left"), params)
     out = classify.classify_cruise(classify.add_distances(out), params)
     out = context.add_parking_context(out, layers.streets, layers.lots, layers.curbs, layers.block_groups, params)
     return classify.flag_usable(out, params)
@@ -131,8 +132,8 @@ def _route_ends(wide: DataFrame, streets: DataFrame) -> DataFrame:
         return network.locate_on_edges(spots, segments, ["trip_id"]).withColumnRenamed("frac", name)
 
     return (matched.select("trip_id", F.col("edge_id_start").alias("edge_a"), F.col("edge_id_end").alias("edge_b"))
-            .join(side("edge_id_start", "startpt_x", "startpt_y", "frac_a"), "trip_id")
-            .join(side("edge_id_end", "enterlot_x", "enterlot_y", "frac_b"), "trip_id"))
+            .join(shuffled(side("edge_id_start", "startpt_x", "startpt_y", "frac_a")), "trip_id")
+            .join(shuffled(side("edge_id_end", "enterlot_x", "enterlot_y", "frac_b")), "trip_id"))
 
 
 def vendor_traces(table: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,9 @@
 """Drop errant points of traces; the given points stay untouched as the original line."""
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from curbloop.functions import geo
-from curbloop.operators.layout import attach, part_of, renumber, with_lags
+from curbloop.operators.layout import attach, part_of, renumber, shuffled, with_lags
 from curbloop.operators.scratch import stage
 from curbloop.params import Params
 
@@ -19,21 +18,37 @@ def drop_good_starts(points: DataFrame, trips: DataFrame, params: Params = Param
             .drop("start_good", "n_points"))
 
 
-def _judge(pdf: pd.DataFrame, speed_max: float) -> pd.DataFrame:
-    """Whether each point of a part is kept: those too fast from the last kept point go. ``in_*``: the point kept before."""
-    pdf = pdf.sort_values("ptid", kind="stable")
-    t, x, y = (pdf[c].to_numpy(float) for c in ("t", "x", "y"))
-    last = tuple(pdf[c].iloc[0] for c in ("in_t", "in_x", "in_y"))
-    last = None if pd.isna(last[0]) else tuple(map(float, last))
-    kept = np.ones(len(pdf), bool)
-    for i, (ti, xi, yi) in enumerate(zip(t.tolist(), x.tolist(), y.tolist())):
-        if last is not None:
-            hours, km = (ti - last[0]) / 3600, ((xi - last[1]) ** 2 + (yi - last[2]) ** 2) ** 0.5 / 1000
-            if km / hours > speed_max if hours > 0 else km > 0:
-                kept[i] = False
-                continue
-        last = (ti, xi, yi)
-    return pdf.assign(kept=kept)[["trip_id", "part", "ptid", "kept"]]
+def _judge(batches, speed_max: float):
+    """One row per part: the numbers of the points that are too fast from the last kept point, and the last kept point. Rows come in the order of
+    trip, part and ptid; ``in_*`` is the point kept before the part. A part may go on in the next batch of rows."""
+    part, last, gone, own = None, None, [], None
+    for pdf in batches:
+        out = []
+        columns = (pdf[c].to_list() for c in ("trip_id", "part", "ptid"))
+        numbers = (pdf[c].to_numpy(float).tolist() for c in ("t", "x", "y", "in_t", "in_x", "in_y"))
+        for trip, number, ptid, t, x, y, in_t, in_x, in_y in zip(*columns, *numbers):
+            if (trip, number) != part:
+                if part is not None:
+                    out.append((*part, gone, own))
+                part, last, gone, own = (trip, number), None if in_t != in_t else (in_t, in_x, in_y), [], None
+            if last is not None:
+                hours, km = (t - last[0]) / 3600, ((x - last[1]) ** 2 + (y - last[2]) ** 2) ** 0.5 / 1000
+                if km / hours > speed_max if hours > 0 else km > 0:
+                    gone.append(ptid)
+                    continue
+            last = own = (t, x, y)
+        yield _parts_judged(out)
+    if part is not None:
+        yield _parts_judged([(*part, gone, own)])
+
+
+JUDGED = "trip_id bigint, part bigint, gone array<bigint>, keeps boolean, t double, x double, y double"
+
+
+def _parts_judged(rows) -> pd.DataFrame:
+    own = [r[3] or (None, None, None) for r in rows]
+    return pd.DataFrame({"trip_id": [r[0] for r in rows], "part": [r[1] for r in rows], "gone": [r[2] for r in rows], "keeps": [r[3] is not None for r in rows],
+                         **{c: pd.Series([o[k] for o in own], dtype=float) for k, c in enumerate("txy")}})
 
 
 def drop_fast_points(points: DataFrame, params: Params = Params()) -> DataFrame:
@@ -53,29 +68,28 @@ def drop_fast_points(points: DataFrame, params: Params = Params()) -> DataFrame:
         return rows
     rows = attach(rows, trips.withColumnRenamed("n_points", "n"), params.part_rows, "n", how="left")
     rows = stage(rows.withColumn("part", F.when(F.col("n").isNotNull(), part_of("ptid", params.part_rows))).drop("n"), "clean")
-    open_rows = rows.filter("part is not null").select("trip_id", "part", "ptid", "t", "x", "y")
+    part = ["trip_id", "part"]
+    open_rows = rows.filter("part is not null").selectExpr(*part, "ptid", "cast(t AS double) AS t", "cast(x AS double) AS x", "cast(y AS double) AS y")
     at = F.struct("t", "x", "y")
-    entered = open_rows.groupBy("trip_id", "part").agg(F.max_by(at, "ptid").alias("p"))
-    entered = stage(entered.select("trip_id", (F.col("part") + 1).alias("part"), "p"), "entries")
-    judged, again = None, open_rows.select("trip_id", "part").distinct()
+    parts = stage(open_rows.groupBy(*part).agg(F.max_by(at, "ptid").alias("p")), "parts")
+    entered = stage(parts.select("trip_id", (F.col("part") + 1).alias("part"), "p"), "entries")
+    judged, again = None, None
     while True:
-        work = (open_rows.join(again, ["trip_id", "part"], "left_semi").join(entered, ["trip_id", "part"], "left")
-                .select("trip_id", "part", "ptid", "t", "x", "y", F.col("p.t").alias("in_t"), F.col("p.x").alias("in_x"), F.col("p.y").alias("in_y")))
-        new = work.groupBy("trip_id", "part").applyInPandas(
-            lambda pdf: _judge(pdf, params.clean_speed_max), "trip_id bigint, part bigint, ptid bigint, kept boolean")
-        judged = stage(new if judged is None else judged.join(again, ["trip_id", "part"], "left_anti").unionByName(new), "judged")
-        last = judged.filter("kept").join(open_rows, ["trip_id", "part", "ptid"]).groupBy("trip_id", "part").agg(F.max_by(at, "ptid").alias("own"))
+        mine = open_rows if again is None else open_rows.join(shuffled(again), part, "left_semi")
+        work = (mine.join(shuffled(entered), part, "left")
+                .select(*part, "ptid", "t", "x", "y", F.col("p.t").alias("in_t"), F.col("p.x").alias("in_x"), F.col("p.y").alias("in_y")))
+        new = work.repartition(*part).sortWithinPartitions(*part, "ptid").mapInPandas(lambda batches: _judge(batches, params.clean_speed_max), JUDGED)
+        judged = stage(new if judged is None else judged.join(shuffled(again), part, "left_anti").unionByName(new), "judged")
         # a part that keeps nothing is left from where it was entered
-        parts = open_rows.select("trip_id", "part").distinct()
-        left = (parts.join(last, ["trip_id", "part"], "left").join(entered, ["trip_id", "part"], "left")
+        left = (judged.select(*part, F.when(F.col("keeps"), at).alias("own")).join(shuffled(entered), part, "left")
                 .select("trip_id", (F.col("part") + 1).alias("part"), F.coalesce("own", "p").alias("now")))
-        left = stage(left.join(entered, ["trip_id", "part"], "left").join(parts, ["trip_id", "part"], "left_semi"), "exits")
-        again = stage(left.filter("not (now <=> p)").select("trip_id", "part"), "again")
+        left = stage(left.join(shuffled(entered), part, "left").join(shuffled(parts.select(*part)), part, "left_semi"), "exits")
+        again = stage(left.filter("not (now <=> p)").select(*part), "again")
         if again.isEmpty():
             break
-        entered = left.select("trip_id", "part", F.col("now").alias("p"))
-    dropped = stage(judged.filter("not kept").select("trip_id", "part", "ptid"), "dropped")
-    changed = rows.filter("part is not null").join(dropped, ["trip_id", "part", "ptid"], "left_anti").drop("part")
+        entered = left.select(*part, F.col("now").alias("p"))
+    dropped = judged.select(*part, F.explode("gone").alias("ptid"))
+    changed = rows.filter("part is not null").join(shuffled(dropped), [*part, "ptid"], "left_anti").drop("part")
     return rows.filter("part is null").drop("part").unionByName(renumber(changed, params.part_rows))
 
 

@@ -152,11 +152,11 @@ def _swapped(hexed: str, size: int) -> str:
 
 def _double_to_hex(value: str) -> str:
     """The eight bytes of a double, highest first; the parts of its hexadecimal form ``0x1.8p3`` are those of its bits."""
-    text = f"format_string('%a', {value})"
-    part = [f"regexp_extract({text}, r'^(-?)0x([01])\\.([0-9a-f]+)p(-?[0-9]+)$', {k})" for k in range(5)]
-    head = f"if({part[1]} = '-', 2048, 0) + if({part[2]} = '1', cast({part[4]} AS int) + 1023, 0)"
+    # written and parted once per number: sign and 0, 1 or 0, fraction, exponent
+    parts = f"split(format_string('%a', {value}), '[x.p]')"
+    digits = ("concat(lpad(hex(if(s[0] = '-0', 2048, 0) + if(s[1] = '1', cast(s[3] AS int) + 1023, 0)), 3, '0'), upper(rpad(s[2], 13, '0')))")
     return (f"CASE WHEN {value} IS NULL OR isnan({value}) THEN '7FF8000000000000' WHEN {value} = double('Infinity') THEN '7FF0000000000000' "
-            f"WHEN {value} = double('-Infinity') THEN 'FFF0000000000000' ELSE concat(lpad(hex({head}), 3, '0'), upper(rpad({part[3]}, 13, '0'))) END")
+            f"WHEN {value} = double('-Infinity') THEN 'FFF0000000000000' ELSE element_at(transform(array({parts}), s -> {digits}), 1) END")
 
 
 def _hex_to_int(hexed: str) -> str:
@@ -164,12 +164,12 @@ def _hex_to_int(hexed: str) -> str:
 
 
 def _hex_to_double(hexed: str) -> str:
-    head, rest = _hex_to_int(f"substring({hexed}, 1, 3)"), _hex_to_int(f"substring({hexed}, 4, 13)")
-    exponent = f"({head} & 2047)"
-    size = (f"CASE WHEN {exponent} = 2047 THEN if({rest} = 0, double('Infinity'), double('NaN')) "
-            f"WHEN {exponent} = 0 THEN {rest} / 4503599627370496D * pow(2D, -1022) "
-            f"ELSE (1 + {rest} / 4503599627370496D) * pow(2D, {exponent} - 1023) END")
-    return f"(if({head} >= 2048, -1D, 1D) * ({size}))"
+    bits = f"named_struct('head', {_hex_to_int(f'substring({hexed}, 1, 3)')}, 'rest', {_hex_to_int(f'substring({hexed}, 4, 13)')})"
+    exponent = "(b.head & 2047)"
+    size = (f"CASE WHEN {exponent} = 2047 THEN if(b.rest = 0, double('Infinity'), double('NaN')) "
+            f"WHEN {exponent} = 0 THEN b.rest / 4503599627370496D * pow(2D, -1022) "
+            f"ELSE (1 + b.rest / 4503599627370496D) * pow(2D, {exponent} - 1023) END")
+    return f"element_at(transform(array({bits}), b -> if(b.head >= 2048, -1D, 1D) * ({size})), 1)"
 
 
 def line_to_wkb(line, measured: bool = True, srid: int | None = None) -> Column:
@@ -197,11 +197,12 @@ def line_from_wkb(text, measured: bool = True) -> Column:
     start = f"if(({kind} & {_HAS_SRID}) <> 0, 19, 11)"
     width = f"(2 + if({z}, 1, 0) + if({m}, 1, 0))"
     # everything about the head is found once per line
-    shape = f"named_struct('n', {number('q.start', 4)}, 'start', q.start, 'width', q.width, 'z', q.z, 'm', q.m, 'little', q.little)"
+    shape = f"named_struct('n', {number('q.start', 4)}, 'start', q.start, 'width', q.width, 'z', q.z, 'm', q.m, 'little', q.little, 'bytes', unhex({text}))"
     heads = (f"transform(array(named_struct('start', {start}, 'width', {width}, 'z', {z}, 'm', {m}, 'little', left({text}, 2) = '01')), q -> {shape})")
 
     def coordinate(place):
-        raw = f"substring({text}, cast(q.start + 8 + 16 * (k * q.width + {place}) AS int), 16)"
+        # a place in bytes is found at once, one in text by counting from its start
+        raw = f"hex(substring(q.bytes, cast((q.start + 9) div 2 + 8 * (k * q.width + {place}) AS int), 8))"
         return (f"element_at(transform(transform(array({raw}), r -> if(q.little, {_swapped('r', 8)}, r)), h -> {_hex_to_double('h')}), 1)")
 
     measure = f", 'm', if(q.m, try_cast({coordinate('if(q.z, 3, 2)')} AS bigint), NULL)" if measured else ""

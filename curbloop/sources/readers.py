@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbloop.functions import geo
 from curbloop.functions.projection import project_line
+from curbloop.operators.scratch import stage
 from curbloop.sources.snapshots import SnapshotTable
 
 # Column order of the input files.
@@ -93,11 +94,13 @@ def read_layer(spark: SparkSession, path: str, table: str) -> DataFrame:
         return F.col(name).try_cast(kind)
 
     own = {name: typed(name, kind) for name, kind in LAYER_TYPES[table].items() if name in raw.columns}
-    wrong = raw.agg(*[F.count_if(F.col(name).isNotNull() & value.isNull()).alias(name) for name, value in own.items()]).first().asDict()
+    # cells are read once: lines of text cost far more to read than to write and read again as arrays
+    rows = stage(raw.withColumns(own | {f"_has_{name}": F.col(name).isNotNull() for name in own}), f"layer-{table}")
+    wrong = rows.agg(*[F.count_if(F.col(f"_has_{name}") & F.col(name).isNull()).alias(name) for name in own]).first().asDict()
     if any(wrong.values()):
         found = ", ".join(f"{n} in {name} ({LAYER_TYPES[table][name]})" for name, n in wrong.items() if n)
         raise ValueError(f"{table}: cells of another type: {found}")
-    return raw.withColumns(own)
+    return rows.drop(*[f"_has_{name}" for name in own])
 
 
 def reproject_streets(streets: DataFrame, zone) -> DataFrame:

@@ -77,3 +77,33 @@ def test_link_joins(spark):
                                   "trip_id long, ptid long, t long, x double, y double, arc long, pos double, length double, emission double")
     pairs = matching.link_pairs(cands)
     assert collected(pairs) == [] and pairs.count() == 8
+
+
+@pytest.mark.parametrize("batch", [2, 10_000])
+def test_parts_are_judged_in_one_flow(spark, monkeypatch, batch):
+    """Parts that go on in the next batch of rows, and one row written per part instead of one per point."""
+    from curbloop.operators import cleaning
+    from curbloop.params import Params
+    from tests.test_plans import clean, plain_clean
+    written, real = [], cleaning.stage
+    monkeypatch.setattr(cleaning, "stage", lambda df, name: (written.append((name, out := real(df, name))), out)[1])
+    traces = {trip: [(10 * k, 50.0 * k + (9000.0 if (k * 7 + trip) % 10 < 4 else 0.0), 0.0) for k in range(40)] for trip in range(1, 6)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert clean(spark, traces, part_rows=7) == {trip: plain_clean(points) for trip, points in traces.items()}
+        assert all(df.count() == 5 * 6 for name, df in written if name == "judged")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_text_of_a_layer_is_read_once(spark, tmp_path):
+    from curbloop.sources import readers
+    readers.export_csv(streets(spark), str(tmp_path / "streets"))
+    back = readers.read_layer(spark, str(tmp_path / "streets"), "streets")
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        back.explain()
+    assert "FileScan csv" not in text.getvalue()
+    want = sorted(map(tuple, streets(spark).select("id", "geom_way").collect()))
+    assert sorted(map(tuple, back.select("id", "geom_way").collect())) == want

@@ -37,7 +37,8 @@ def _judge(batches, speed_max: float):
                     gone.append(ptid)
                     continue
             last = own = (t, x, y)
-        yield _parts_judged(out)
+        if out:
+            yield _parts_judged(out)
     if part is not None:
         yield _parts_judged([(*part, gone, own)])
 
@@ -47,7 +48,7 @@ JUDGED = "trip_id bigint, part bigint, gone array<bigint>, keeps boolean, t doub
 
 def _parts_judged(rows) -> pd.DataFrame:
     own = [r[3] or (None, None, None) for r in rows]
-    return pd.DataFrame({"trip_id": [r[0] for r in rows], "part": [r[1] for r in rows], "gone": [r[2] for r in rows], "keeps": [r[3] is not None for r in rows],
+    return pd.DataFrame({"trip_id": [r[0] for r in rows], "part": [r[1] for r in rows], "gone": pd.Series([r[2] for r in rows], dtype=object), "keeps": [r[3] is not None for r in rows],
                          **{c: pd.Series([o[k] for o in own], dtype=float) for k, c in enumerate("txy")}})
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cases import inputs, studies
 from cases.inputs import rounded
 from curbloop.operators import network, studies as study, trips
+from curbloop.operators.layout import shuffled
 from curbloop.operators.scratch import new_path
 from curbloop.params import Params
 from curbloop.plans import run
@@ -167,11 +168,12 @@ SELECT id, id + 7000000 AS osm_id, source, target, round(cost, 6) AS cost, round
 
 
 def trace_files(spark, sf_dir):
-    """Vendor traces as CSV, lines with measures and ends as text, read back into traces and points."""
+    """Vendor traces as CSV, lines with measures and ends as text, read back into traces and points. A line of more than ``part_rows`` points is
+    written in several rows."""
     path = new_path(spark, "trace-files")
     parts = trips.line_parts(inputs.drives(spark, sf_dir), Params())
     ends = trips.trip_ends(inputs.drives(spark, sf_dir)).selectExpr("trip_id", "named_struct('x', end_x, 'y', end_y) AS end_geom", "trip_id % 3 = 0 AS start_good")
-    readers.export_csv(parts.filter("part = 0").selectExpr("trip_id", "line AS lines_geom").join(ends, "trip_id"), path)
+    readers.export_csv(parts.selectExpr("trip_id", "part AS line_part", "line AS lines_geom").join(shuffled(ends), "trip_id"), path)
     traces, points = run.vendor_traces(readers.read_layer(spark, path, "traces"))
     sizes = points.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     return rounded(traces.join(sizes, "trip_id").join(trips.line_lengths(points), "trip_id"))

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curbloop.functions import clock, geo
 from curbloop.functions.projection import project_columns
-from curbloop.operators.layout import dense_ids, part_of, slots, with_lags
+from curbloop.operators.layout import dense_ids, part_of, shuffled, slots, with_lags
 from curbloop.operators.scratch import stage
 from curbloop.params import Params
 
@@ -145,9 +145,16 @@ def line_parts(points: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def explode_lines(traces: DataFrame, line="lines_geom") -> DataFrame:
-    """Array lines -> long form, points numbered from 1."""
-    return (traces.select("trip_id", F.posexplode(line).alias("pos", "p"))
-            .select("trip_id", (F.col("pos") + 1).cast("bigint").alias("ptid"),
+    """Array lines -> long form, points numbered from 1. A long line may come in several rows, its parts, counted from 0 by ``line_part``: their
+    points are numbered on. Only the sizes of the parts are windowed over a trip."""
+    ahead = F.lit(0)
+    if "line_part" in traces.columns:
+        before = W.partitionBy("trip_id").orderBy("line_part").rowsBetween(W.unboundedPreceding, -1)
+        sizes = traces.groupBy("trip_id", "line_part").agg(F.max(F.size(line)).alias("n")).select(
+            "trip_id", "line_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+        traces, ahead = traces.select("trip_id", "line_part", line).join(shuffled(sizes), ["trip_id", "line_part"]), F.col("ahead")
+    return (traces.select("trip_id", ahead.alias("ahead"), F.posexplode(line).alias("pos", "p"))
+            .select("trip_id", (F.col("ahead") + F.col("pos") + 1).cast("bigint").alias("ptid"),
                     F.col("p.m").cast("bigint").alias("t"), "p.x", "p.y"))
 
 

@@ -137,9 +137,12 @@ def _route_ends(wide: DataFrame, streets: DataFrame) -> DataFrame:
 
 
 def vendor_traces(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Traces made by a vendor (trip_id, lines_geom, end_geom, optional start_geom and start_good) as (traces, points)."""
+    """Traces made by a vendor (trip_id, lines_geom, end_geom, optional start_geom and start_good) as (traces, points). With ``line_part`` a trace
+    may have several rows, see ``explode_lines``; its other columns are those of part 0."""
     readers.check(table, "traces")
     points = trips.explode_lines(table)
+    if "line_part" in table.columns:
+        table = table.filter("line_part = 0")
     first = "start_geom" if "start_geom" in table.columns else "try_element_at(lines_geom, 1)"
     keep = [c for c in ("start_good", "end_good", "provider_type") if c in table.columns]
     return table.selectExpr("trip_id", f"({first}).x AS start_x", f"({first}).y AS start_y",

@@ -40,8 +40,8 @@ LAYER_TYPES = {
                 "km": "double", "kmh": "double", "clazz": "int", "geom_way": "line"},
     "vertices": {"id": "bigint", "osm_id": "bigint", "restrictions": "string", "x": "double", "y": "double"},
     "turn_restrictions": {"source_id": "bigint", "target_id": "bigint"},
-    "traces": {"trip_id": "bigint", "lines_geom": "measured line", "start_geom": "point", "end_geom": "point", "start_good": "boolean",
-               "end_good": "boolean", "provider_type": "string"},
+    "traces": {"trip_id": "bigint", "line_part": "bigint", "lines_geom": "measured line", "start_geom": "point", "end_geom": "point",
+               "start_good": "boolean", "end_good": "boolean", "provider_type": "string"},
     "lots": {"lot_id": "bigint", "ring": "int", "seq": "int", "x1": "double", "y1": "double", "x2": "double", "y2": "double"},
     "curbs": {"curb_id": "bigint", "x1": "double", "y1": "double", "x2": "double", "y2": "double"},
     "block_groups": {"bg": "string", "ring": "int", "seq": "int", "x1": "double", "y1": "double", "x2": "double", "y2": "double"},

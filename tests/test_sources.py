@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curbloop.functions import geo
 from curbloop.operators import studies
+from curbloop.params import Params
 from curbloop.plans import run
 from curbloop.sources import readers
 
@@ -64,6 +65,29 @@ def test_vendor_traces(spark):
     assert [tuple(r) for r in points.orderBy("ptid").collect()] == [(7, 1, 10, 1.0, 2.0), (7, 2, 20, 3.0, 4.0)]
 
 
+def test_vendor_traces_in_parts(spark):
+    """Parts of a long line are numbered on, in whatever order their rows come; a trace has one row."""
+    rows = [(7, 1, [(3.0, 4.0, 30)], (9.0, 9.0)), (7, 0, [(1.0, 2.0, 10), (2.0, 2.0, 20)], (9.0, 9.0)), (8, 0, [(5.0, 5.0, 1)], (5.0, 5.0)), (7, 2, [(9.0, 9.0, 40)], (9.0, 9.0))]
+    table = spark.createDataFrame(rows, "trip_id long, line_part long, lines_geom array<struct<x double, y double, m long>>, end_geom struct<x double, y double>")
+    traces, points = run.vendor_traces(table)
+    assert sorted(map(tuple, traces.select("trip_id", "start_x", "end_x").collect())) == [(7, 1.0, 9.0), (8, 5.0, 5.0)]
+    assert sorted(map(tuple, points.select("trip_id", "ptid", "t").collect())) == [(7, 1, 10), (7, 2, 20), (7, 3, 30), (7, 4, 40), (8, 1, 1)]
+
+
+def test_trace_files_hold_whole_lines(spark, tmp_path, monkeypatch):
+    """A trip of more than part_rows points is written and read back to its end."""
+    import duckdb
+    import __spark_entry__ as entry
+    from cases import chain
+    from cases.check import compare
+    monkeypatch.setattr(chain, "Params", lambda: Params(part_rows=30))
+    spark.range(130).selectExpr("id AS event_id", "if(id < 100, 3L, 14L) AS user_id", "timestamp_seconds(1704067200 + id * 7) AS ts").write.parquet(
+        str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert compare(entry.queries()["trace_files"](spark, str(tmp_path)), con, entry.oracle_sql()["trace_files"]) == "ok 2"
+
+
 def test_stages_are_kept_and_redone(spark, tmp_path):
     made = []
 

@@ -99,9 +99,13 @@ def classify_traces(traces: DataFrame, points: DataFrame, layers: Layers, params
     sliced = stages.keep("slices", lambda: approach.slice_points(points, ends, metrics, params))
     summary = stages.keep("slice_summary", lambda: approach.slice_summary(sliced))
 
+    @functools.cache
+    def roads():
+        return network.roads_of(layers.streets, layers.bans, params)
+
     @functools.cache
     def matched():
-        return matching.map_match(sliced.filter("in_lbuff").select("trip_id", "ptid", "t", "x", "y"), layers.streets, layers.bans, params)
+        return matching.map_match(sliced.filter("in_lbuff").select("trip_id", "ptid", "t", "x", "y"), layers.streets, layers.bans, params, roads())
 
     scores = stages.keep("matches", lambda: matched()["trips"])
     visits = stages.keep("edge_visits", lambda: matched()["visits"])
@@ -115,7 +119,7 @@ def classify_traces(traces: DataFrame, points: DataFrame, layers: Layers, params
             .join(shuffled(inside), "trip_id", "left").withColumn("drive_secs", F.col("enterlot_t") - F.col("startpt_t")))
     wide = stages.keep("matched_trips", lambda: wide)
     routed = stages.keep("netwkdist", lambda: network.network_distance(
-        _route_ends(wide, layers.streets), layers.streets, layers.bans, params))
+        _route_ends(wide, layers.streets), layers.streets, layers.bans, params, roads()))
     out = classify.add_time_fields(wide.join(shuffled(routed), "trip_id", "left"), params)
     out = classify.classify_cruise(classify.add_distances(out), params)
     out = context.add_parking_context(out, layers.streets, layers.lots, layers.curbs, layers.block_groups, params)
